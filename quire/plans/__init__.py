@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.plans import collections, jobs, ranking, reports
+from quire.plans.registry import QUERIES, SQL
+
+__all__ = ["collections", "jobs", "ranking", "reports", "queries", "oracle_sql"]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
