@@ -1,0 +1,64 @@
+"""The stages one by one against brute force, and run() as their chain."""
+
+import zlib
+
+import corpus_pipeline
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from quire.llm import quality, secrets
+from test_whole_tables import groups_by_pairs, marks_by_counting
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    assert len(stage) == 5
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+
+    good = stage["quality classifier"](spark, docs, sf_dir)
+    scores = {r["doc_id"]: r["predicted"] for r in quality.scored(docs, quality.train(docs, labels)).collect()}
+    assert good.columns == docs.columns and set(texts(good)) == {d for d, p in scores.items() if p}
+
+    single = stage["exact dedup"](spark, docs, sf_dir)
+    last = {}
+    for d, t in sorted(texts(docs).items()):
+        last["".join(c.lower() if "A" <= c <= "Z" else c for c in t)] = d
+    assert single.columns == docs.columns and set(texts(single)) == set(last.values())
+
+    far = stage["SimHash near-dedup"](spark, docs, sf_dir)
+    groups = groups_by_pairs(marks_by_counting(texts(docs)))
+    assert far.columns == docs.columns and set(texts(far)) == {d for d, g in groups.items() if d == g}
+
+    masked = stage["secret scans"](spark, docs, sf_dir)
+    found = {}
+    for r in secrets.findings(docs).filter("is_secret").collect():
+        found.setdefault(r["doc_id"], []).append(r["candidate"])
+    for d, t in texts(docs).items():
+        for s in sorted(found.get(d, []), key=len, reverse=True):
+            t = t.replace(s, "[SECRET]")
+        assert texts_of(masked)[d] == t
+    assert masked.columns == docs.columns
+
+
+_seen = {}
+
+
+def texts_of(df):
+    if id(df) not in _seen:
+        _seen[id(df)] = {r["doc_id"]: r["text"] for r in df.collect()}
+    return _seen[id(df)]
+
+
+def test_run(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf_dir)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = set()
+    for r in docs.collect():
+        ids = np.array([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 1], dtype="<u4")
+        want |= {(r["doc_id"], k, zlib.crc32(ids[a : a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))}
+    assert {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, sf_dir).collect()} == want
