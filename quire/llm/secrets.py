@@ -26,13 +26,13 @@ DICTIONARY = "example|changeme|placeholder|password|secret|token|sample|dummy|te
 VENDORS = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk_live_|rk_live_|xox[abprs]-|AIza|glpat-|npm_|eyJ[A-Za-z0-9]|-----BEGIN"
 
 _KEY = r"A-Za-z0-9+/_\-"
-_BODY = (
-    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,16384}-----END [A-Z ]{0,24}PRIVATE KEY-----"
+#: What stands before a value that is assigned to a credential's name, and stays outside the candidate.
+_NAMED = r"(?i:passwords?|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?"
+BODY = (
+    rf"{_NAMED}[^\s\"',;]{{6,512}}"
     rf"|(?<![{_KEY}])(?=[A-Za-z+/_\-]{{0,64}}[0-9])[{_KEY}]{{12,512}}={{0,2}}"
-    rf"|(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[=:][\"']{{0,1}})[^\s\"',;]{{6,512}}"
+    r"|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,16384}-----END [A-Z ]{0,24}PRIVATE KEY-----"
 )
-#: The candidate, and what stands right of it on the same line, up to 24 characters.
-PATTERN = rf"({_BODY})(?=([^\n]{{0,24}}))"
 
 FEATURES = ["length", "digits", "upper", "lower", "hex", "distinct", "transitions", "vendor", "dictionary", "test_path", "config_path", "credential", "lookalike", "assigned", "quoted", "right_word"]
 
@@ -40,15 +40,19 @@ FEATURES = ["length", "digits", "upper", "lower", "hex", "distinct", "transition
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, path, ordinal, left, candidate, right: one row a candidate, in the order of the text.
 
-    The text is split at the candidates, so that the piece before a candidate ends with what stands left of it: one
-    pass for the candidates and one for the pieces, however long the text.
+    The text is split at the candidates, so that the pieces around one end and begin with what stands beside it: one
+    pass over every text and two more over those that have a candidate, however long.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     path = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), text.alias("text")).filter(F.col("text").rlike(_BODY))
-    found = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(1)).alias("c"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(2)).alias("r"), F.transform(F.split("text", _BODY), lambda x: F.right(x, F.lit(32))).alias("l"))
-    one = found.select("doc_id", "path", F.posexplode(F.arrays_zip("c", "r", F.slice("l", 1, F.size("c")).alias("l"))).alias("ordinal", "x"))
-    return one.select("doc_id", "path", "ordinal", F.regexp_extract("x.l", r"([^\n]*)$", 1).alias("left"), F.col("x.c").alias("candidate"), F.col("x.r").alias("right"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), text.alias("text")).filter(F.col("text").rlike(BODY))
+    beside = F.transform(F.split("text", BODY), lambda x: F.struct(F.right(x, F.lit(32)).alias("end"), F.left(x, F.lit(24)).alias("start")))
+    found = rows.select("doc_id", "path", F.regexp_extract_all("text", F.lit(f"({BODY})"), F.lit(1)).alias("c"), beside.alias("b"))
+    one = found.select("doc_id", "path", "b", F.posexplode("c").alias("ordinal", "c"))
+    before, after = F.get("b", F.col("ordinal"))["end"], F.get("b", F.col("ordinal") + 1)["start"]
+    named = F.regexp_extract("c", f"^({_NAMED})", 1)
+    left = F.regexp_extract(F.concat(before, named), r"([^\n]*)$", 1)
+    return one.select("doc_id", "path", "ordinal", left.alias("left"), F.substring("c", F.length(named) + 1, F.length("c")).alias("candidate"), F.regexp_extract(after, r"^([^\n]*)", 1).alias("right"))
 
 
 def share(c: Column, pattern: str) -> Column:
