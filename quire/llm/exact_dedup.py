@@ -70,7 +70,7 @@ def exact_groups(docs: DataFrame, capacity: int = 50_000, max_depth: int = 14) -
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs."""
+    """The rows of docs that stay, with the columns of docs; rows that share a doc_id stay or go together."""
     kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
 

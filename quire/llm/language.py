@@ -43,9 +43,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 counts[lang].update(words_of(text))
             for lang, own in counts.items():
-                names = ["lang", "word", "n"]
-                for lo in range(0, len(own), 50_000):
-                    some = list(own.items())[lo : lo + 50_000]
+                names, pairs = ["lang", "word", "n"], list(own.items())
+                for lo in range(0, len(pairs), 50_000):
+                    some = pairs[lo : lo + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], names)
 
     seen = text_of(docs, F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & ~held_out())

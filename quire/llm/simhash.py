@@ -123,6 +123,6 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its near-duplicates; rows without doc_id stay."""
+    """The rows of docs whose doc_id is the smallest of its near-duplicates; rows without doc_id stay, and rows that share a doc_id stay or go together."""
     kept = near_groups(docs).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
