@@ -185,3 +185,24 @@ def rollback_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return rows.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.date_format("w.start", STAMP).alias("started"), "event_type", "n", "total")
+
+
+@query("""SELECT c.c_custkey, count(*) AS live FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_acctbal >= 0 AND o.o_orderdate >= (SELECT max(o_orderdate) - INTERVAL 30 DAY FROM orders) GROUP BY 1""")
+def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that have not expired, of users that are not disabled."""
+    sessions = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    now = sessions.agg((F.max("o_orderdate") - F.expr("INTERVAL 30 DAYS")).alias("since"))
+    users = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select("c_custkey")
+    live = sessions.join(F.broadcast(now), F.col("o_orderdate") >= F.col("since"))
+    return live.join(users, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey").agg(F.count("*").alias("live"))
+
+
+@query("""WITH g AS (SELECT coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'b' || (o_custkey % 40) END, o_orderkey::VARCHAR) AS grp, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O')
+SELECT grp, count(*) AS jobs, array_to_string(list_slice(list_sort(list(o_orderkey)), 1, 6), ',') AS shown, round(sum(o_totalprice), 2) AS total FROM g GROUP BY grp""")
+def approval_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Submitted jobs by batch or alone: the first six pages shown, and the sum of estimates."""
+    jobs_ = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'")
+    batch = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("b"), F.col("o_custkey") % 40))
+    grouped = jobs_.groupBy(F.coalesce(batch, F.col("o_orderkey").cast("string")).alias("grp"))
+    six = F.array_join(F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 6), ",")
+    return grouped.agg(F.count("*").alias("jobs"), six.alias("shown"), F.round(F.sum("o_totalprice"), 2).alias("total"))

@@ -286,3 +286,31 @@ SELECT doc_id, count(w) AS n, count(DISTINCT w) AS distinct_words FROM t GROUP B
 def lexeme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
     return words.filter(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("distinct_words"))
+
+
+@query(FUSED_SQL + """, top AS (SELECT key FROM fused ORDER BY score DESC, key LIMIT 12), full_pages AS (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id < 20)
+SELECT d.source AS book, d.doc_id AS page FROM documents d WHERE d.doc_id IN (SELECT key FROM top UNION SELECT doc_id FROM full_pages)""")
+def consulted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct pages that an answer drew on: full pages and those of chunks."""
+    top = fused_lists(spark, sf_dir).filter("place <= 12").select(F.col("key").alias("page"))
+    full = table(spark, sf_dir, "labels").filter("quality = 1 and doc_id < 20").select(F.col("doc_id").alias("page"))
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"))
+    return pages.join(top.union(full).distinct(), "page", "left_semi").select("book", "page")
+
+
+@query("""SELECT label, max(round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)) AS best, count(*) AS n FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q GROUP BY label""")
+def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best score of each page's chunks."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked_ = rows.filter("vec_id = 7").select(F.col("embedding").alias("qv"))
+    scored = rows.join(F.broadcast(asked_)).select("label", F.round(numbers.cosine(F.col("embedding"), F.col("qv")), 6).alias("score"))
+    return scored.groupBy("label").agg(F.max("score").alias("best"), F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT key, rank, key // 7 AS page FROM (SELECT vec_id AS key, row_number() OVER (ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 7)::DOUBLE[]), 6) DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 40)
+SELECT page, min(rank) AS first_rank, count(*) AS chunks FROM l GROUP BY page ORDER BY first_rank LIMIT 3""")
+def top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three pages that come first in a ranking of chunks."""
+    ranked = vectors(spark, sf_dir, 40).withColumn("page", F.floor(F.col("key") / 7))
+    pages = ranked.groupBy("page").agg(F.min("rank").cast("long").alias("first_rank"), F.count("*").alias("chunks"))
+    return pages.orderBy("first_rank").limit(3)

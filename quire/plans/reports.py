@@ -202,3 +202,21 @@ def figure_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT source, n_chars // 1000 AS size, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) > 1""")
 def page_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source", F.floor(F.col("n_chars") / 1000).alias("size")).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query("""WITH boxes AS (SELECT DISTINCT l_orderkey AS k, unnest(range(1, 8)) AS box FROM lineitem WHERE l_orderkey < 500), used AS (SELECT l_orderkey AS k, l_linenumber AS box, count(*) AS n FROM lineitem WHERE l_orderkey < 500 GROUP BY 1, 2)
+SELECT b.k, b.box::BIGINT AS box, CASE WHEN u.n IS NULL THEN 'missing' ELSE 'twice' END AS problem FROM boxes b LEFT JOIN used u ON b.k = u.k AND b.box = u.box WHERE u.n IS NULL OR u.n > 1""")
+def exact_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes 1 to 7 of each label that are used never or more than once."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey < 500").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("box"))
+    boxes = lines.select("k").distinct().select("k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))).alias("box"))
+    used = lines.groupBy("k", "box").agg(F.count("*").alias("n"))
+    wrong = boxes.join(used, ["k", "box"], "left").filter("n is null or n > 1")
+    return wrong.select("k", "box", F.when(F.col("n").isNull(), "missing").otherwise("twice").alias("problem"))
+
+
+@query()
+def sampled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty pages drawn by a seed: the same ones for the same seed. Which ones is up to the hash, so no SQL states them."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"))
+    return docs.orderBy(F.xxhash64("page", F.lit(7)), "page").limit(20)
