@@ -12,6 +12,7 @@ often as they occur; an empty table gives an empty result; extra columns are not
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -19,6 +20,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,38 +29,61 @@ from quire.llm.shared import stored, text_of
 CAPACITY, END_ID = 4096, 1
 #: Python's str.split() parts at these, the tokenizer does not.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Fixed value: how the tokenizer parts lower-case text. Below LATIN_END no characters combine.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+LATIN_END = "\u0250"
+RAW_ID = struct.Struct("<I").pack
 
 
 class WordEncoder:
     """Token ids of a text as little-endian 32-bit integers; the ids of runs without white space are remembered.
 
-    The tokenizer drops white space before its merges, so a text's ids are those of its runs, one after another.
+    The tokenizer drops white space, folds case, parts runs into words and marks, and merges within these, so a text's
+    ids are those of its parts, one after another. Runs of Latin letters are parted here and their parts merged by the
+    tokenizer's model; other runs go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.remember = Tokenizer.from_file(path), {}, remember
+        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        self.merge = self.tokenizer.model.tokenize
+        # Two generations each: what has not been used for a while is forgotten.
+        self.runs, self.old_runs, self.parts, self.old_parts = {}, {}, {}, {}
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        #: The model's alphabet: bytes that print stand for themselves, the others for the characters from 256 on.
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+    def part(self, word: str) -> bytes:
+        if (own := self.parts.get(word)) is None:
+            if (own := self.old_parts.get(word)) is None:
+                letters = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
+                own = b"".join([RAW_ID(t.id) for t in self.merge(letters)])
+            self.parts[word] = own
+        return own
+
+    def run(self, run: str) -> bytes:
+        if run.isalpha() and run.isascii():
+            return self.part(run.lower())
+        if (run.isascii() or max(run) < LATIN_END) and "<|" not in run and run.isprintable():
+            return b"".join(map(self.part, PARTS.findall(run.lower())))
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, texts: list[str]) -> None:
-        """Encodes the runs of these texts that are not known yet, all in one call."""
-        if len(self.known) > self.remember:
-            self.known.clear()
-        new = list(set().union(*map(str.split, texts)).difference(self.known))
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
-            at = np.array([-1 if x is None else x for x in found.word_ids], dtype=np.int64)
-            ends = np.searchsorted(at, np.arange(len(part) + 1))
-            raw, ends = ids.tobytes(), (4 * ends).tolist()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(part, ends, ends[1:]))
+        """Encodes the runs of these texts that are not known yet."""
+        if len(self.runs) > self.remember:
+            self.old_runs, self.runs = self.runs, {}
+        if len(self.parts) > self.remember:
+            self.old_parts, self.parts = self.parts, {}
+        for w in set().union(*map(str.split, texts)).difference(self.runs):
+            self.runs[w] = own if (own := self.old_runs.get(w)) is not None else self.run(w)
 
     def ids(self, text: str) -> bytes:
         """Of a text whose runs are known."""
         if any(c in text for c in NOT_SPACE):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, text.split()))
+        return b"".join(map(self.runs.__getitem__, text.split()))
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
