@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,11 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table of the shared folder and read back: cuts the lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """``df`` written as a table of the shared folder and read back: cuts the lineage, survives lost executors.
+
+    free: large shuffles before this step are not needed any more; Spark removes their files when the driver collects
+    its garbage, which this asks for.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,8 @@
    is. Grams are counted over all documents; strings with a gram that occurs once are done with.
 2. Contexts. Each anchor whose gram is repeated takes the bytes of the strings that picked it to the owner of the
    gram. Before that a task folds equal contexts into one: a passage that many documents share is sent once a task.
-   Grams that occur more than ``hot`` times send each string to an owner of its own, so that no owner gathers all.
+   Grams that occur more than ``hot`` times send each string to an owner of its own, so that no owner gathers more
+   than ``hot`` contexts of a gram.
 3. Shards. An owner packs contexts into shards of bounded size and builds each shard's suffix array by
    Larsson-Sadakane refinement (only groups that are still unsorted are sorted again, by ranks at twice the depth),
    then the common prefixes of neighbours by Kasai's rule. A string is repeated where such a prefix has its length.
@@ -26,12 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.shared import stored, text_of
 
-LENGTH, GRAM, HOT = 200, 48, 1000
+LENGTH, GRAM, HOT = 200, 48, 50_000
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -66,7 +68,8 @@ def picked(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc, mark (of the text), and arrays by anchor: h, lo (first string that picks it), back (from it to the anchor), strings."""
+    """doc, mark (of the text), and arrays by anchor: h, and at, which holds three numbers: the first string that
+    picks it, how far the anchor lies behind that (16 bits) and how many strings pick it (16 bits)."""
     window = length - gram + 1
 
     def flush(some: list) -> pa.RecordBatch:
@@ -79,9 +82,9 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for (doc, mark, _), at, n in zip(some, starts.tolist(), sizes.tolist()):
             own = place[at : at + n - length + 1]
             first = np.flatnonzero(np.diff(own, prepend=-1))
-            out.append((doc, mark, h[own[first]].view(np.int64), first.astype(np.int32), (own[first] - at - first).astype(np.int32), np.diff(first, append=len(own)).astype(np.int32)))
+            out.append((doc, mark, h[own[first]].view(np.int64), first << 32 | (own[first] - at - first) << 16 | np.diff(first, append=len(own))))
         doc, mark, *arrays = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), *(pa.array(x, pa.list_(t)) for x, t in zip(arrays, (pa.int64(), pa.int32(), pa.int32(), pa.int32())))], ["doc", "mark", "h", "lo", "back", "strings"])
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in arrays)], ["doc", "mark", "h", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, held = [], 0
@@ -96,7 +99,20 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield flush(some)
 
     long_enough = docs.filter(F.length("raw") >= length)
-    return long_enough.select("doc", "mark", "raw").mapInArrow(run, "doc long, mark long, h array<long>, lo array<int>, back array<int>, strings array<int>")
+    return long_enough.select("doc", "mark", "raw").mapInArrow(run, "doc long, mark long, h array<long>, at array<long>")
+
+
+def squeezed(docs: DataFrame) -> DataFrame:
+    """docs with raw compressed (zstd), for the way to where the bytes are needed again: shuffles take less disk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=6).compress
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(map(pack, part.column(3).to_pylist()), pa.binary())], ["doc_id", "doc", "mark", "raw"])
+
+    return docs.select("doc_id", "doc", "mark", "raw").mapInArrow(run, "doc_id long, doc long, mark long, raw binary")
 
 
 CONTEXT = "key long, back int, strings int, context binary, doc long, mark long, lo int, done boolean"
@@ -109,36 +125,49 @@ def contexts(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
 
     def flush(held: dict) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, known = [], []
         for (key, back, context), (strings, places) in held.items():
             if len(places) == 1:
                 rows.append((key, back, strings, context, *places[0], False))
             else:
                 rows.append((key, back, strings, context, None, None, None, True))
-                rows.extend((key, back, strings, None, *p, True) for p in places)
+                known.extend((*p, strings) for p in places)
+        run: list | None = None
+        for doc, mark, lo, strings in sorted(known):  # runs of strings, one row each, dealt by document
+            if run and run[:2] == [doc, mark] and lo <= run[2] + run[3]:
+                run[3] = max(run[3], lo + strings - run[2])
+            else:
+                if run:
+                    rows.append((run[1], 0, run[3], None, *run[:3], True))
+                run = [doc, mark, lo, strings]
+        if run:
+            rows.append((run[1], 0, run[3], None, *run[:3], True))
         for lo in range(0, len(rows), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 20_000]), types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        size = 0
+        size, unpack = 0, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for doc, mark, raw, own in zip(*(c.to_pylist() for c in batch.columns)):
-                for a in own:
-                    lo, n = a["lo"], a["strings"]
-                    if a["hot"]:
-                        some = [(xxhash.xxh64_intdigest(x := raw[p : p + length]) - (1 << 63), 0, x, 1, p) for p in range(lo, lo + n)]
-                    else:
-                        some = [(a["h"], a["back"], raw[lo : lo + n - 1 + length], n, lo)]
-                    for key, back, context, strings, p in some:
-                        if (entry := held.get((key, back, context))) is None:
-                            entry = held[key, back, context] = (strings, [])
-                            size += len(context) + 200
-                        entry[1].append((doc, mark, p))
-                        size += 100
-                if size > 48 << 20:
-                    yield from flush(held)
-                    held, size = {}, 0
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                for doc, mark, raw, own in zip(*(c.to_pylist() for c in part.columns)):
+                    raw = unpack(raw)
+                    for a in own:
+                        lo, back, n = a["at"] >> 32, a["at"] >> 16 & 0xFFFF, a["at"] & 0xFFFF
+                        if a["hot"]:
+                            some = [(xxhash.xxh64_intdigest(x := raw[p : p + length]) - (1 << 63), 0, x, 1, p) for p in range(lo, lo + n)]
+                        else:
+                            some = [(a["h"], back, raw[lo : lo + n - 1 + length], n, lo)]
+                        for key, back, context, strings, p in some:
+                            if (entry := held.get((key, back, context))) is None:
+                                entry = held[key, back, context] = (strings, [])
+                                size += len(context) + 200
+                            entry[1].append((doc, mark, p))
+                            size += 100
+                    if size > 48 << 20:
+                        yield from flush(held)
+                        held, size = {}, 0
         yield from flush(held)
 
     joined = docs.join(found, [docs["doc"] == found["fdoc"], docs["mark"] == found["fmark"]])
@@ -158,7 +187,7 @@ def suffix_ranks(text: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.nda
         first = (first << np.uint64(8)) | padded[i : i + n]
     rank = -1 - np.arange(n, dtype=np.int64)
     active = np.flatnonzero(room >= 8)
-    order = np.argsort(first[active], kind="stable")
+    order = np.argsort(first[active])
     active, key = active[order], first[active][order]
     new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
     head = np.flatnonzero(new)
@@ -168,7 +197,7 @@ def suffix_ranks(text: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.nda
     while k < depth and len(active):
         active = active[room[active] >= 2 * k]
         old, ahead = rank[active], rank[active + k]
-        order = np.lexsort((ahead, old))
+        order = np.argsort((old << 32) | (ahead + n + 1))  # ranks run from -n to n: both fit in one word
         active, old, ahead = active[order], old[order], ahead[order]
         group = np.concatenate([[True], old[1:] != old[:-1]])[: len(old)]
         new = group | np.concatenate([[True], ahead[1:] != ahead[:-1]])[: len(old)]
@@ -242,8 +271,9 @@ class Shard:
         strings = np.array([r[2] for r in rows], dtype=np.int64)
         starts = np.arange(len(self.text)) - np.repeat(self.base, sizes) < np.repeat(strings, sizes)
         rank, unsorted = suffix_ranks(self.text, room, depth)
-        places = unsorted[starts[unsorted]]
-        order = np.lexsort((rank[places + length - depth], rank[places]))
+        places = np.sort(unsorted[starts[unsorted]])
+        # Stable: equal strings stay in the order of the text, so that few prefixes have to be compared.
+        order = np.argsort((rank[places] << 32) | (rank[places + length - depth] + len(self.text) + 1), kind="stable")
         self.sorted = places[order]
         prefix = common_prefixes(self.text, room, self.sorted)
         twin = prefix >= length
@@ -294,7 +324,7 @@ def owners(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc", "mark", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[tuple, tuple[int, list, bool]] = {}  # equal contexts of several tasks are one
         waiting: list[Shard] = []  # shards whose ranges are not out yet, as a key goes on through them
         out: list[tuple] = []
         size = 0
@@ -309,21 +339,32 @@ def owners(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         def close() -> None:
             nonlocal held, size
             if held:
-                shard = Shard(held, length)
-                if waiting and held[0][0] != waiting[-1].rows[-1][0]:
+                rows = []
+                for (key, back, context), (strings, places, done) in held.items():
+                    done = done or len(places) > 1
+                    out.extend((doc, mark, lo, lo + strings - 1 + length) for doc, mark, lo in places if done)
+                    rows.append((key, back, strings, context, *(places[0] if places else (None, None, None)), done))
+                shard = Shard(rows, length)
+                if waiting and rows[0][0] != waiting[-1].rows[-1][0]:
                     settle([])
                 waiting.append(shard)
-                if len(waiting) > 1 and held[-1][0] != held[0][0]:
+                if len(waiting) > 1 and rows[-1][0] != rows[0][0]:
                     settle([shard])
-                held, size = [], 0
+                held, size = {}, 0
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[3] is None:
                     out.append((row[4], row[5], row[6], row[6] + row[2] - 1 + length))
                     continue
-                held.append(row)
-                size += len(row[3])
+                key, back, strings, context, doc, mark, lo, done = row
+                if (entry := held.get((key, back, context))) is None:
+                    entry = held[key, back, context] = (strings, [], done)
+                    size += len(context)
+                elif done and not entry[2]:
+                    entry = held[key, back, context] = (strings, entry[1], True)
+                if doc is not None:
+                    entry[1].append((doc, mark, lo))
                 if size >= shard_bytes:
                     close()
             if len(out) > 10_000:
@@ -354,22 +395,25 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that remain) of every row of docs."""
     raw = text_of(docs).select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("mark"), F.encode("text", "UTF-8").alias("raw"))
     marked = stored(anchors(raw, length, gram), "anchors")
-    each = marked.select(F.col("doc").alias("fdoc"), F.col("mark").alias("fmark"), F.explode(F.arrays_zip("h", "lo", "back", "strings")).alias("x")).select("fdoc", "fmark", "x.*")
-    often = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    found = each.join(often, "h").groupBy("fdoc", "fmark").agg(F.collect_list(F.struct("h", "lo", "back", "strings", (F.col("n") > hot).alias("hot"))).alias("own"))
-    ranges = owners(contexts(raw, found, length), length, shard_bytes)
+    each = marked.select(F.col("doc").alias("fdoc"), F.col("mark").alias("fmark"), F.explode(F.arrays_zip("h", "at")).alias("x")).select("fdoc", "fmark", "x.*")
+    # Stored, so that the join that follows has a plain shuffle on either side and can split a hot gram's rows.
+    often = stored(each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    found = each.join(often, "h").groupBy("fdoc", "fmark").agg(F.collect_list(F.struct("h", "at", (F.col("n") > hot).alias("hot"))).alias("own"))
+    packed = squeezed(raw)
+    ranges = owners(contexts(packed, found, length), length, shard_bytes)
     gone = ranges.groupBy("doc", "mark").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    gone = stored(gone, "ranges").select(F.col("doc").alias("rdoc"), F.col("mark").alias("rmark"), "ranges")
+    gone = stored(gone, "ranges", free=True).select(F.col("doc").alias("rdoc"), F.col("mark").alias("rmark"), "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                ids, texts, own = (c.to_pylist() for c in part.columns)
+                texts, own = [unpack(x) for x in part.column(1).to_pylist()], part.column(2).to_pylist()
                 out = [removed(t, r or ()) for t, r in zip(texts, own)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = raw.join(gone, [raw["doc"] == gone["rdoc"], raw["mark"] == gone["rmark"]], "left").select("doc_id", "raw", "ranges")
+    joined = packed.join(gone, [packed["doc"] == gone["rdoc"], packed["mark"] == gone["rmark"]], "left").select("doc_id", "raw", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
