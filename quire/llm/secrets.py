@@ -1,9 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key characters with a digit, values assigned to a credential's name and private key
-blocks. The forest sees, of each candidate, its length, the transitions between classes of characters, how much of
-it a dictionary covers, the path (here: source) it comes from and the words beside it, and was trained on labelled
-findings. Everything is made of DataFrame functions and the JVM's forest.
+Candidates are long runs of key characters with a digit or a vendor's prefix, values assigned to a credential's name
+and private key blocks. The forest sees, of each candidate, its length, the transitions between classes of
+characters, how much of it a dictionary covers, the path (here: source) it comes from and the words beside it, and was
+trained on labelled findings. Everything is made of DataFrame functions and the JVM's forest.
 
 Defined results: a null or empty text has no candidates; a candidate that a document has several times in the same
 surroundings is several rows; repeated rows repeat; an empty table gives an empty result; a null source is an
@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 CREDENTIALS = "passwords?|passwd|passwort|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?"
 LOOKALIKES = "commit|sha1|sha256|md5|checksum|digest|etag|uuid|guid|isbn|order|invoice|card|phone|serial|version|revision|id"
 DICTIONARY = "example|changeme|placeholder|password|secret|token|sample|dummy|test|your|here|insert|key|user|name|default|null|none|true|false|section|chapter|introduction|image|index|main|release|version|report|table|figure|number"
-VENDORS = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk_live_|rk_live_|xox[abprs]-|AIza|glpat-|npm_|eyJ[A-Za-z0-9]|-----BEGIN"
+PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk_live_|rk_live_|xox[abprs]-|AIza|glpat-|npm_|eyJ[A-Za-z0-9]"
+VENDORS = f"{PREFIXES}|-----BEGIN"
 
 _KEY = r"A-Za-z0-9+/_\-"
 #: What stands before a value that is assigned to a credential's name, and stays outside the candidate.
 _NAMED = r"(?i:passwords?|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?"
 BODY = (
     rf"{_NAMED}[^\s\"',;]{{6,512}}"
-    rf"|(?<![{_KEY}])(?=[A-Za-z+/_\-]{{0,64}}[0-9])[{_KEY}]{{12,512}}={{0,2}}"
+    rf"|(?<![{_KEY}])(?=[A-Za-z+/_\-]*+[0-9])[{_KEY}]{{12,512}}={{0,2}}"
+    rf"|(?<![A-Za-z0-9])(?={PREFIXES})[{_KEY}]{{12,512}}={{0,2}}"
     r"|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,16384}-----END [A-Z ]{0,24}PRIVATE KEY-----"
 )
 
@@ -110,6 +112,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (1, say('secret = "', 'api_key="', "client_secret: "), dense("j", vary("j", 24, 64))),
         (1, say("", "Authorization: Bearer "), F.concat(F.lit("eyJ"), dense("k", 33), F.lit("_"), dense("l", 40))),
         (1, word, F.concat(F.lit("-----BEGIN PRIVATE KEY-----"), dense("m", 64), F.lit("-----END PRIVATE KEY-----"))),
+        (1, word, F.concat(F.lit("AKIA"), F.translate(upper("n2", 16), "23456789", "QWRTZPSD"))),
         (0, say("", "card ", "Karte ", "no. "), F.concat(F.lit("4"), digits("n", 15))),
         (0, say("", "order ", "invoice #", "serial: "), digits("o", vary("o", 12, 20))),
         (0, say("commit ", "revision ", "sha1: ", "commit=", ""), hexed("p", 40)),
@@ -122,6 +125,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (0, word, F.concat(F.lit("src/main/"), F.translate(hexed("f2", 8), "0123456789", "ghijklmnop"), F.lit("/index"), digits("g2", 1))),
         (0, word, F.concat(F.translate(hexed("h2", vary("h2", 12, 28)), "0123456789", "eeaioutnrs"), digits("i2", 1))),
         (0, word, F.concat(F.upper(F.translate(hexed("j2", vary("j2", 12, 28)), "0123456789", "eeaioutnrs")), digits("k2", 1))),
+        (0, word, F.concat(F.lit("ASIA-"), F.upper(F.translate(hexed("o2", vary("o2", 4, 10)), "0123456789", "eeaioutnrs")), F.lit("-"), F.upper(F.translate(hexed("p2", vary("p2", 4, 10)), "0123456789", "eeaioutnrs")))),
+        (0, word, F.concat(F.lit("npm_config_"), F.translate(hexed("q2", vary("q2", 4, 16)), "0123456789", "eeaioutnrs"))),
         (0, say("ISBN ", "phone ", "+", "DE"), F.concat(digits("l2", 3), F.lit("-"), digits("m2", vary("m2", 8, 12)))),
     ]
     pick = F.element_at(F.array(*(F.struct(F.lit(y).alias("label"), left.alias("left"), c.alias("candidate")) for y, left, c in kinds)), (F.pmod("id", F.lit(len(kinds))) + 1).cast("int"))
