@@ -3,7 +3,7 @@
 Candidates are long runs of key characters with a digit or a vendor's prefix, values assigned to a credential's name
 and private key blocks. The forest sees, of each candidate, its length, the transitions between classes of
 characters, how much of it a dictionary covers, the path (here: source) it comes from and the words beside it, and was
-trained on labelled findings. Everything is made of DataFrame functions and the JVM's forest.
+trained on labelled findings. Candidates have no greatest length. Everything is made of DataFrame functions and the JVM's forest.
 
 Defined results: a null or empty text has no candidates; a candidate that a document has several times in the same
 surroundings is several rows; repeated rows repeat; an empty table gives an empty result; a null source is an
@@ -27,13 +27,18 @@ PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk_live_|rk_live_|xox[abprs]-|A
 VENDORS = f"{PREFIXES}|-----BEGIN"
 
 _KEY = r"A-Za-z0-9+/_\-"
+#: A quote, which may be escaped, and white space with at most one line break: open, and never given back.
+_QUOTE, _GAP = r"(?:\\*+[\"'])?+", r"[ \t]*+\s{0,2}+[ \t]*+"
+_SIGN = r"(?:=>|:=|[=:])"
 #: What stands before a value that is assigned to a credential's name, and stays outside the candidate.
-_NAMED = r"(?i:passwords?|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?"
+_NAMED = rf"(?i:{CREDENTIALS}){_QUOTE}{_GAP}{_SIGN}{_GAP}{_QUOTE}"
+#: A private key: from its BEGIN line to the END line, whatever is between but another such line.
+_BLOCK = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----(?:BEGIN|END) [A-Z0-9 ]*PRIVATE KEY)[^-]*+)*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 BODY = (
-    rf"{_NAMED}[^\s\"',;]{{6,512}}"
-    rf"|(?<![{_KEY}])(?=[A-Za-z+/_\-]*+[0-9])[{_KEY}]{{12,512}}={{0,2}}"
-    rf"|(?<![A-Za-z0-9])(?={PREFIXES})[{_KEY}]{{12,512}}={{0,2}}"
-    r"|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,16384}-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    rf"{_NAMED}(?:{_BLOCK}|(?:[^\s\"',;\\]|\\(?!\\*+[\"'])){{6,}}+)"
+    rf"|(?<![{_KEY}])(?=[A-Za-z+/_\-]*+[0-9])[{_KEY}]{{12,}}+={{0,2}}"
+    rf"|(?<![A-Za-z0-9])(?={PREFIXES})[{_KEY}]{{12,}}+={{0,2}}"
+    rf"|{_BLOCK}"
 )
 
 FEATURES = ["length", "digits", "upper", "lower", "hex", "distinct", "transitions", "vendor", "dictionary", "test_path", "config_path", "credential", "lookalike", "assigned", "quoted", "right_word"]
@@ -79,9 +84,9 @@ def featured(rows: DataFrame) -> DataFrame:
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), f"(?:{DICTIONARY})", "")) / F.greatest(F.length(c), F.lit(1)),
         "test_path": flag(path.rlike("(?:^|[/._-])(?:tests?|docs?|examples?|samples?|fixtures?)(?:[/._-]|$)")),
         "config_path": flag(path.rlike(r"\.(?:env|cfg|conf|ini|ya?ml|json|properties|tfvars|pem)$|(?:^|/)(?:config|secrets?)")),
-        "credential": flag(left.rlike(f"(?:^|[^a-z])[a-z_-]{{0,16}}(?:{CREDENTIALS})[\"']{{0,1}}\\s{{0,3}}(?:[=:]|is\\s|\\s)\\s{{0,3}}[\"']{{0,1}}$")),
+        "credential": flag(left.rlike(f"(?:^|[^a-z])[a-z_-]{{0,16}}(?:{CREDENTIALS})\\\\*[\"']{{0,1}}\\s*(?:{_SIGN}|is\\s|\\s)\\s*\\\\*[\"']{{0,1}}$")),
         "lookalike": flag(left.rlike(f"(?:^|[^a-z])(?:{LOOKALIKES})[\"']{{0,1}}\\s{{0,3}}[=:#]{{0,1}}\\s{{0,3}}[\"']{{0,1}}$")),
-        "assigned": flag(left.rlike("[=:]\\s{0,3}[\"']{0,1}$")),
+        "assigned": flag(left.rlike(f"{_SIGN}\\s*\\\\*[\"']{{0,1}}$")),
         "quoted": flag(left.rlike("[\"']$")),
         "right_word": flag(F.col("right").rlike("^[\"',.;]{0,2}\\s+\\p{L}+")),
     })
@@ -112,6 +117,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (1, say('secret = "', 'api_key="', "client_secret: "), dense("j", vary("j", 24, 64))),
         (1, say("", "Authorization: Bearer "), F.concat(F.lit("eyJ"), dense("k", 33), F.lit("_"), dense("l", 40))),
         (1, word, F.concat(F.lit("-----BEGIN PRIVATE KEY-----"), dense("m", 64), F.lit("-----END PRIVATE KEY-----"))),
+        (1, word, F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat(F.concat(dense("r2", 64), F.lit("\n")), vary("r2", 4, 24)), F.lit("-----END RSA PRIVATE KEY-----"))),
+        (1, say("password=", 'password": "', "pwd: "), F.concat(F.translate(hexed("s2", vary("s2", 4, 8)), "0123456789", "eeaioutnrs"), digits("t2", 1), F.element_at(F.array(*map(F.lit, "!@#$")), vary("t2", 1, 4)), F.translate(hexed("u2", vary("u2", 2, 5)), "0123456789", "eeaioutnrs"))),
         (1, word, F.concat(F.lit("AKIA"), F.translate(upper("n2", 16), "23456789", "QWRTZPSD"))),
         (0, say("", "card ", "Karte ", "no. "), F.concat(F.lit("4"), digits("n", 15))),
         (0, say("", "order ", "invoice #", "serial: "), digits("o", vary("o", 12, 20))),
