@@ -5,7 +5,7 @@ its log frequencies by language; a word that is not in the model is scored by it
 which any is known, then by shorter ones. A text's score is the mean evidence of its words, as a softmax.
 
 The model keeps, of the counts, the ``words_kept`` most frequent words and ``grams_kept`` n-grams of each length for
-every language: its size does not grow with the corpus.
+every language: its size does not grow with the corpus. What is kept for one language has its true counts in all.
 
 Defined results: a null text and one without a letter is ``und`` with score 0; without any labelled row every text
 is ``und``; ties go to the smaller language; repeated rows repeat; an empty table gives an empty result; extra
@@ -64,15 +64,20 @@ def most_frequent(counts: DataFrame, by: list, item: str, keep: int) -> DataFram
     return counts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= keep).drop("r")
 
 
+def kept_counts(counts: DataFrame, by: list, item: str, keep: int) -> DataFrame:
+    """The counts, in all languages, of the items that are among the most frequent of any."""
+    return counts.join(most_frequent(counts, by, item, keep).select(item).distinct(), item, "left_semi").select(*counts.columns)
+
+
 class Model:
     """Log frequencies by language: words, and n-grams by length."""
 
-    def __init__(self, langs: list[str], totals: dict[str, int], words: list[tuple], grams: list[tuple]):
+    def __init__(self, langs: list[str], totals: dict[str, int], words: list[tuple], grams: list[tuple], gram_totals: dict[tuple[str, int], int] | None = None):
         self.langs, at = langs, {x: i for i, x in enumerate(langs)}
         base = np.array([np.log(0.5 / (totals[x] + 1)) for x in langs])
         self.words, self.grams = {}, [{} for _ in range(LONGEST + 1)]
-        gram_total: Counter = Counter()
-        for lang, gram, n in grams:
+        gram_total: Counter = Counter(gram_totals or {})
+        for lang, gram, n in grams if gram_totals is None else ():
             gram_total[lang, len(gram)] += n
         for lang, word, n in words:
             if word not in self.words:
@@ -112,9 +117,12 @@ def train(docs: DataFrame, words_kept: int = 20_000, grams_kept: int = 8_000) ->
     """Counts all labelled rows outside the held-out fold; what reaches the driver is bounded by the two limits and LONGEST."""
     words = stored(word_counts(docs), "words")
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    grams = most_frequent(gram_counts(words), ["lang", F.length("gram")], "gram", grams_kept)
+    grams = stored(gram_counts(words), "grams")
+    by_length = grams.groupBy("lang", F.length("gram").alias("k")).agg(F.sum("n").alias("n"))
+    gram_totals = {(r["lang"], r["k"]): r["n"] for r in by_length.collect()}
     as_rows = lambda df: [tuple(r) for r in df.collect()]
-    return Model(sorted(totals), totals, as_rows(most_frequent(words, ["lang"], "word", words_kept)), as_rows(grams))
+    words, grams = kept_counts(words, ["lang"], "word", words_kept), kept_counts(grams, ["lang", F.length("gram")], "gram", grams_kept)
+    return Model(sorted(totals), totals, as_rows(words), as_rows(grams), gram_totals)
 
 
 def identify(docs: DataFrame, model: Model, remember: int = 200_000) -> DataFrame:

@@ -135,6 +135,17 @@ def test_language(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in language.identify(odd_docs, language.train(no_docs)).collect()} == {"und"}
 
 
+def test_kept_words_have_true_counts_in_all_languages(spark):
+    rows = [(1, "gift gift", "de"), (3, "das das das das " + "gift " * 3, "en"), (4, "das das", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter("crc32(cast(doc_id as string)) % 4 <> 2")
+    assert docs.count() == 3
+    model = language.train(docs, words_kept=1, grams_kept=1)
+    # gift is kept for de (2 of 2) only, but en has it 3 times of 9.
+    assert np.allclose(model.words["gift"], [np.log(2 / 3), np.log(3 / 10)])
+    # Every word has one $: 2 of de's 12 letters and marks, 9 of en's 48.
+    assert np.allclose(model.grams[1]["$"], [np.log(2 / 13), np.log(9 / 49)])
+
+
 def test_unseen_words_fall_back_to_shorter_grams():
     words, grams = [("de", "haus", 5), ("en", "house", 5)], [("de", "^hau", 5), ("en", "^hou", 5), ("de", "ü", 3), ("en", "y", 4)]
     model = language.Model(["de", "en"], {"de": 5, "en": 5}, words, grams)
