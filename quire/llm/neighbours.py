@@ -1,10 +1,15 @@
 """Approximate nearest neighbours by inner product: a forest of random-projection trees and exact reranking.
 
 Trees are fitted on a bounded sample of distinct vectors: each node splits at the median of its sample's projections
-on a random direction. Every vector of the table is then sent down all trees; its leaves are its index cells. A query
-walks all trees at once through one queue ordered by the distance to the planes it has to cross, and takes leaves
-until they hold ``share`` times as many vectors as the table has (a vector counts once for every tree). Queries and
-vectors meet by cell, in blocks; candidates are ranked by their exact inner products in double precision.
+on a random direction, down to ``leaves`` leaves a tree, whatever the size of the table. Every vector of the table is
+then sent down all trees; its leaves are its index cells. A query walks all trees at once through one queue ordered by
+the distance to the planes it has to cross, and takes leaves until they hold ``share`` times as many vectors as the
+table has (a vector counts once for every tree), or ``budget`` vectors where that is given.
+
+A vector is kept by one owner, a query goes to the owners that hold a vector of one of its leaves. Owners are runs of
+neighbouring leaves of the first tree, ``owners`` of them; one that would hold more than ``block`` vectors is split by
+a hash. An owner reads its vectors once, streams the queries past them and returns one top list for each, ranked by
+exact inner products in double precision; the lists of a query's owners are merged.
 
 Inner products are searched as distances: vectors get one more coordinate that makes their norms equal.
 
@@ -22,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -118,11 +124,59 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 8, leaf: int = 512, sample: int = 20_000, share: float = 1.0, block: int = 2048) -> DataFrame:
+class Owners:
+    """Who holds which vectors: runs of leaves of the first tree, split where they are large; and what their cells are."""
+
+    def __init__(self, forest: Forest, counts: list[tuple[int, int, int]], owners: int, block: int):
+        """counts: home (cell of the first tree), cell, and how many vectors have both."""
+        first, cells = int(forest.offset[1]), int(forest.offset[-1])
+        both = np.zeros((first, cells), dtype=np.int64)
+        for home, cell, n in counts:
+            both[home, cell] = n
+        self.held = both.sum(axis=0)
+        size = self.held[:first]
+        self.run_of = np.minimum((np.cumsum(size) - size // 2) * owners // max(1, size.sum()), owners - 1)
+        in_run = np.bincount(self.run_of, weights=size, minlength=owners).astype(np.int64)
+        self.parts = np.maximum(1, -(-in_run // block))
+        self.start = np.cumsum(self.parts) - self.parts
+        self.reach = np.zeros((owners, cells), dtype=bool)
+        for home in range(first):
+            self.reach[self.run_of[home]] |= both[home] > 0
+
+    def of_items(self, home: np.ndarray, item: np.ndarray) -> np.ndarray:
+        run = self.run_of[home]
+        return self.start[run] + (item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % self.parts[run]
+
+    def of_query(self, cells: list[int]) -> np.ndarray:
+        runs = np.flatnonzero(self.reach[:, cells].any(axis=1))
+        return np.concatenate([self.start[r] + np.arange(self.parts[r]) for r in runs])
+
+
+def best_of(q: np.ndarray, asked: np.ndarray, x: np.ndarray, item: np.ndarray, cells: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of q, item and inner product of the n best items of each query, of those in a cell that it asked for."""
+    may = asked[:, cells[:, 0]]
+    for t in range(1, cells.shape[1]):
+        may |= asked[:, cells[:, t]]
+    rough = np.where(may, q @ x.T, -np.inf)
+    if rough.shape[1] > n:
+        least = np.partition(rough, -n, axis=1)[:, -n]
+        # The product of whole matrices may differ from that of two vectors in its last digits.
+        slack = 1e-12 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+        may &= rough >= (least - slack)[:, None]
+    row, at = np.nonzero(may)
+    exact = np.einsum("ij,ij->i", q[row], x[at])
+    order = np.lexsort((item[at], -exact, row))
+    row, at, exact = row[order], at[order], exact[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    keep = rank < n
+    return row[keep], item[at[keep]], exact[keep]
+
+
+def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 8, leaves: int = 64, sample: int = 20_000, share: float = 1.0, budget: int | None = None, owners: int = 16, block: int = 32_768) -> DataFrame:
     """query_id, rank, vec_id, score: of each row for which is_query holds its k nearest among all other rows.
 
-    leaf: vectors that a cell should hold; sample: the bound of the rows that trees are fitted on; share: see above;
-    block: vectors or queries of a cell that one group has at most, on average.
+    leaves: of each tree, at most; sample: the bound of the rows that trees are fitted on; share and budget: how many
+    vectors the leaves of a query hold; owners, block: see above.
     """
     spark = rows.sparkSession
     own = stored(usable(rows).distinct(), "vectors")
@@ -133,49 +187,68 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, trees: int = 8, leaf
     if not facts["n"]:
         return spark.createDataFrame([], RESULT)
     some = matrix(pd.Series([r["v"] for r in items.orderBy(F.xxhash64("item"), "item").limit(sample).select("v").collect()]))
-    forest = Forest(some, trees, max(16, int(leaf * len(some) / facts["n"])), float(np.sqrt(facts["m"])))
+    forest = Forest(some, trees, max(1, -(-len(some) // leaves)), float(np.sqrt(facts["m"])))
     shipped = spark.sparkContext.broadcast(forest)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                cells = shipped.value.cells(matrix(b["v"]))
-                yield pd.DataFrame({"item": np.repeat(b["item"].to_numpy(), trees), "cell": cells.ravel()})
+                yield b.assign(cells=list(shipped.value.cells(matrix(b["v"])).astype(np.int32)))
 
-    placed = stored(items.select("item", "v").mapInPandas(route, "item long, cell long"), "cells")
-    # As many rows as the forest has leaves: bounded by the sample.
-    held = np.zeros(int(forest.offset[-1]), dtype=np.int64)
-    for r in placed.groupBy("cell").count().collect():
-        held[r["cell"]] = r["count"]
-    counts, budget = spark.sparkContext.broadcast(held), share * facts["n"]
+    placed = stored(items.select("item", "v").mapInPandas(route, "item long, v array<double>, cells array<int>"), "cells")
+    # At most leaves * leaves * trees rows.
+    counts = placed.select(F.col("cells")[0].alias("home"), F.explode("cells").alias("cell")).groupBy("home", "cell").count().collect()
+    held_by = spark.sparkContext.broadcast(Owners(forest, [tuple(r) for r in counts], owners, block))
+    # A vector counts once a tree at most, so this many are k + 1 different ones, or all.
+    least = max(trees * (k + 1), budget if budget is not None else share * facts["n"])
 
-    queries = stored(own.filter(is_query).groupBy("v").agg(F.min("vec_id").alias("q")), "queries")
+    def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                home = np.array([c[0] for c in b["cells"]])
+                yield pd.DataFrame({"owner": held_by.value.of_items(home, b["item"].to_numpy()), "asks": False, "id": b["item"], "v": b["v"], "cells": b["cells"]})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(q, c) for q, x in zip(b["q"], matrix(b["v"]) if len(b) else ()) for c in shipped.value.search(x, counts.value, budget)]
-            yield pd.DataFrame(out, columns=["q", "cell"], dtype=np.int64)
-
-    walked = queries.mapInPandas(walk, "q long, cell long")
-    q_blocks = max(1, -(-queries.count() // block))
-    i_blocks = max(1, -(-int(held.max()) // block))
-    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-    asked = walked.join(queries, "q").withColumn("qb", of("q", q_blocks)).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))))
-    stock = placed.join(items.select("item", "v"), "item").withColumn("ib", of("item", i_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
-    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "item": [], "score": []})
-        scores = np.einsum("ij,kj->ik", matrix(left["v"]), matrix(right["v"]))
-        item = right["item"].to_numpy()
-        n = min(k + 1, len(item))
-        order = np.lexsort((np.broadcast_to(item, scores.shape), -scores), axis=1)[:, :n]
-        return pd.DataFrame({"q": np.repeat(left["q"].to_numpy(), n), "item": item[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
-
-    types = {"ib": "long", "qb": "long"}
-    asked, stock = (x.withColumns({c: F.col(c).cast(t) for c, t in types.items()}) for x in (asked, stock))
-    met = asked.groupBy("cell", "ib", "qb").cogroup(stock.groupBy("cell", "ib", "qb")).applyInPandas(rerank, "q long, item long, score double")
-    best = met.groupBy("q", "item").agg(F.max("score").alias("score"))
+            for lo in range(0, len(b), 500):
+                out = []
+                for q, v in zip(b["q"].iloc[lo : lo + 500], b["v"].iloc[lo : lo + 500]):
+                    found = shipped.value.search(np.asarray(v), held_by.value.held, least)
+                    out += [(o, True, q, v, found) for o in held_by.value.of_query(found)]
+                yield pd.DataFrame(out, columns=["owner", "asks", "id", "v", "cells"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by owner, its vectors before the queries."""
+        owner, parts, x = None, [], None
+        wide = int(shipped.value.offset[-1])
+        for batch in batches:
+            edges = np.flatnonzero(np.diff(batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy(zero_copy_only=False), prepend=-1, append=-1))
+            for lo, hi in zip(edges, edges[1:]):
+                part = batch.slice(lo, hi - lo)
+                asks, ids = part.column(1)[0].as_py(), part.column(2).to_numpy()
+                v = part.column(3).flatten().to_numpy().reshape(len(ids), -1)
+                if part.column(0)[0].as_py() != owner:
+                    owner, parts, x = part.column(0)[0].as_py(), [], None
+                if not asks:
+                    parts.append((ids, v, part.column(4).flatten().to_numpy().reshape(len(ids), -1)))
+                    continue
+                if x is None and parts:
+                    item, x, cells = (np.concatenate(c) for c in zip(*parts))
+                    parts = []
+                if x is None:
+                    continue
+                step, asked = max(1, (1 << 21) // len(x)), part.column(4)
+                for at in range(0, len(ids), step):
+                    own = asked.slice(at, step)
+                    marks = np.zeros((len(own), wide), dtype=bool)
+                    marks[np.repeat(np.arange(len(own)), np.diff(own.offsets)), own.flatten()] = True
+                    row, found, score = best_of(v[at : at + step], marks, x, item, cells, k + 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + step][row]), pa.array(found), pa.array(score)], ["q", "item", "score"])
+
+    queries = stored(own.filter(is_query).groupBy("v").agg(F.min("vec_id").alias("q")), "queries")
+    sides = "owner long, asks boolean, id long, v array<double>, cells array<int>"
+    both = placed.mapInPandas(give, sides).unionByName(queries.select("q", "v").mapInPandas(walk, sides))
+    best = both.repartition("owner").sortWithinPartitions("owner", "asks").mapInArrow(meet, "q long, item long, score double")
     first = Window.partitionBy("q").orderBy(F.desc("score"), "item")
     best = best.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
     named = best.join(items.select("item", "ids"), "item").select("q", "score", F.explode("ids").alias("vec_id"))

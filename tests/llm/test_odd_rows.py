@@ -165,10 +165,21 @@ def test_neighbours(spark):
     assert found == {0: [(1, 1.0), (2, 1.0), (3, 0.5)], 20: [(3, 1.0), (0, 0.0), (1, 0.0)]}
     assert neighbours.nearest(vectors(spark, rows).filter("false"), F.col("vec_id") % 20 == 0).count() == 0
     same = vectors(spark, [(i, [1.0, 1.0]) for i in range(60)])
-    got = neighbours.nearest(same, F.col("vec_id") % 20 == 0, k=5, leaf=16, block=8).collect()
+    got = neighbours.nearest(same, F.col("vec_id") % 20 == 0, k=5, leaves=4, block=8).collect()
     assert sorted(r["vec_id"] for r in got if r["query_id"] == 0) == [1, 2, 3, 4, 5] and sorted(r["vec_id"] for r in got if r["query_id"] == 40) == [0, 1, 2, 3, 4]
 
 
+def test_neighbours_of_split_owners(spark):
+    """With every leaf taken, all owners and all their parts together give the exact lists."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(300, 6)), 1 + 1e-3 * rng.normal(size=(150, 6))]).astype(np.float32).astype(np.float64)
+    got = neighbours.nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0, k=7, trees=3, leaves=8, share=3.0, owners=5, block=20).collect()
+    for q in range(0, 450, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == np.lexsort((np.arange(450), -s))[:7].tolist()
+
+
 def repeats(seed):
     rng = random.Random(seed)
     word = lambda n: "".join(rng.choice("abcdeé \n") for _ in range(n))

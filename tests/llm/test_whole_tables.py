@@ -80,14 +80,26 @@ def test_language(spark, sf_dir):
     assert sum(held) / len(held) >= 0.95
 
 
-def test_neighbours(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    from quire.llm import neighbours
-
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    found = neighbours.nearest(rows, F.col("vec_id") % 20 == 0, leaf=64)
-    assert neighbours.recall(found, rows, F.col("vec_id") % 20 == 0).first()["recall"] >= 0.9
+def test_neighbours(spark):
+    """Scores, order and recall of the query itself, with its own parameters, against brute force."""
+    sf_dir = "/root/testdata/sf0.1"
+    table = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    ids = np.array(sorted(table))
+    x = np.array([table[i] for i in ids], dtype=np.float64)
+    by_query = {}
+    for r in rows_of(spark, sf_dir, "op7_nearest_neighbours"):
+        by_query.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(by_query) == {i for i in ids if i % 20 == 0}
+    hits = 0
+    for q, found in by_query.items():
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, 21)) and q not in {v for _, v, _ in found}
+        assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
+        scores = x @ np.array(table[q], dtype=np.float64)
+        assert np.allclose([s for _, _, s in found], scores[np.searchsorted(ids, [v for _, v, _ in found])], rtol=0, atol=1e-12)
+        scores[ids == q] = -np.inf
+        hits += len({v for _, v, _ in found} & set(ids[np.lexsort((ids, -scores))[:20]]))
+    assert hits / (20 * len(by_query)) >= 0.9
 
 
 def test_suffix(spark, sf_dir, texts):
