@@ -5,13 +5,15 @@
    is. Grams are counted over all documents; strings with a gram that occurs once are done with.
 2. Contexts. Each anchor whose gram is repeated takes the bytes of the strings that picked it to the owner of the
    gram. Before that a task folds equal contexts into one: a passage that many documents share is sent once a task.
-   Grams that occur more than ``hot`` times send each string to an owner of its own, so that no owner gathers more
-   than ``hot`` contexts of a gram.
+   Strings that picked a gram found more than ``hot`` times are parted by how far the gram lies behind their start,
+   into runs of a quarter, of a sixteenth (over 4 * hot) or of one string (over 16 * hot). Strings of a run share the
+   bytes between the latest start and the earliest end; equal strings have equal shared bytes, whose hash names the
+   owner. So no owner gathers more strings of a key than ``hot`` anchors pick.
 3. Shards. An owner packs contexts into shards of bounded size and builds each shard's suffix array by
    Larsson-Sadakane refinement (only groups that are still unsorted are sorted again, by ranks at twice the depth),
    then the common prefixes of neighbours by Kasai's rule. A string is repeated where such a prefix has its length.
-   Where a gram's contexts end up in several shards, these are merged: the strings of one are looked up in the
-   sorted strings of the others by binary search.
+   Where a key's contexts end up in several shards, these are merged, one pair at a time: the strings of one, in
+   slices, are looked up by binary search in the other's, which its suffix array has in order.
 4. Ranges go back to their documents, which drop the bytes covered.
 
 Defined results: a null text is an empty one; a text shorter than ``length`` keeps all its bytes; texts may be cut
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import stored, text_of
 
-LENGTH, GRAM, HOT = 200, 48, 50_000
+LENGTH, GRAM, HOT = 200, 48, 2_000
+#: Bytes that a task takes up at once: of texts, and of contexts with what holds them.
+STEP, HELD = 1 << 19, 24 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64)
 
@@ -73,28 +77,32 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     window = length - gram + 1
 
     def flush(some: list) -> pa.RecordBatch:
-        raw = np.frombuffer(b"".join(t for _, _, t in some), dtype=np.uint8)
-        sizes = np.array([len(t) for _, _, t in some], dtype=np.int64)
+        raw = np.frombuffer(b"".join(t for _, _, _, t in some), dtype=np.uint8)
+        sizes = np.array([len(t) for _, _, _, t in some], dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
         h = gram_hashes(raw, gram)
         place = picked(h, window)
         out = []
-        for (doc, mark, _), at, n in zip(some, starts.tolist(), sizes.tolist()):
+        for (doc, mark, lo, _), at, n in zip(some, starts.tolist(), sizes.tolist()):
             own = place[at : at + n - length + 1]
             first = np.flatnonzero(np.diff(own, prepend=-1))
-            out.append((doc, mark, h[own[first]].view(np.int64), first << 32 | (own[first] - at - first) << 16 | np.diff(first, append=len(own))))
+            out.append((doc, mark, h[own[first]].view(np.int64), lo + first << 32 | (own[first] - at - first) << 16 | np.diff(first, append=len(own))))
         doc, mark, *arrays = zip(*out)
         return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(mark, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in arrays)], ["doc", "mark", "h", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, held = [], 0
         for batch in batches:
-            for doc, mark, text in zip(*(c.to_pylist() for c in batch.columns)):
-                some.append((doc, mark, text))
-                held += len(text)
-                if held > 1 << 20:
-                    yield flush(some)
-                    some, held = [], 0
+            doc, mark, raw = batch.columns
+            for i in range(batch.num_rows):
+                text = raw[i].as_py()
+                # A long text goes in parts that overlap, so that every string is in one part.
+                for lo in range(0, len(text) - length + 1, STEP):
+                    some.append((doc[i].as_py(), mark[i].as_py(), lo, text[lo : lo + STEP + length - 1]))
+                    held += len(some[-1][3])
+                    if held >= STEP:
+                        yield flush(some)
+                        some, held = [], 0
         if some:
             yield flush(some)
 
@@ -118,7 +126,7 @@ def squeezed(docs: DataFrame) -> DataFrame:
 CONTEXT = "key long, back int, strings int, context binary, doc long, mark long, lo int, done boolean"
 
 
-def contexts(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
+def contexts(docs: DataFrame, found: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
     """Rows of two kinds: contexts for the owners of keys, with the place of their only document or done (known to be
     repeated); and ranges that this task knows to be repeated, with null context."""
     names = [c.split()[0] for c in CONTEXT.split(", ")]
@@ -149,29 +157,40 @@ def contexts(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
         held: dict = {}
         size, unpack = 0, zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                for doc, mark, raw, own in zip(*(c.to_pylist() for c in part.columns)):
-                    raw = unpack(raw)
-                    for a in own:
-                        lo, back, n = a["at"] >> 32, a["at"] >> 16 & 0xFFFF, a["at"] & 0xFFFF
-                        if a["hot"]:
-                            some = [(xxhash.xxh64_intdigest(x := raw[p : p + length]) - (1 << 63), 0, x, 1, p) for p in range(lo, lo + n)]
-                        else:
-                            some = [(a["h"], back, raw[lo : lo + n - 1 + length], n, lo)]
-                        for key, back, context, strings, p in some:
-                            if (entry := held.get((key, back, context))) is None:
-                                entry = held[key, back, context] = (strings, [])
-                                size += len(context) + 200
-                            entry[1].append((doc, mark, p))
-                            size += 100
-                    if size > 48 << 20:
+            docs, marks, texts, *own = batch.columns
+            edges, own = own[0].offsets.to_pylist(), [c.values.to_numpy() for c in own]
+            for i in range(batch.num_rows):
+                doc, mark, raw = docs[i].as_py(), marks[i].as_py(), unpack(texts[i].as_py())
+                for h, at, n in zip(*(c[edges[i] : edges[i + 1]].tolist() for c in own)):
+                    level = sum(n > hot * k for k in (1, 4, 16))
+                    for key, back, strings, lo in parted(raw, h, at, level, length, window):
+                        context = raw[lo : lo + strings - 1 + length]
+                        if (entry := held.get((key, back, context))) is None:
+                            entry = held[key, back, context] = (strings, [])
+                            size += len(context) + 500
+                        entry[1].append((doc, mark, lo))
+                        size += 200
+                    if size > HELD:
                         yield from flush(held)
                         held, size = {}, 0
         yield from flush(held)
 
+    window = length - gram + 1
     joined = docs.join(found, [docs["doc"] == found["fdoc"], docs["mark"] == found["fmark"]])
-    return joined.select("doc", "mark", "raw", "own").mapInArrow(run, CONTEXT)
+    return joined.select("doc", "mark", "raw", "own.h", "own.at", "own.n").mapInArrow(run, CONTEXT)
+
+
+def parted(raw: bytes, h: int, at: int, level: int, length: int, window: int) -> Iterator[tuple[int, int, int, int]]:
+    """key, back (how far the gram lies behind the first string), number of strings and first string of each run."""
+    lo, back, n = at >> 32, at >> 16 & 0xFFFF, at & 0xFFFF
+    if not level:
+        yield h, back, n, lo
+        return
+    anchor, size = lo + back, 1 if level == 3 else -(-window // 4**level)
+    for j in range((back - n + 1) // size, back // size + 1):
+        far, near = min(back, j * size + size - 1), max(back - n + 1, j * size)
+        shared = raw[anchor - j * size : anchor - (j * size + size - 1) + length]
+        yield xxhash.xxh64_intdigest(shared, j << 2 | level) - (1 << 63), far, far - near + 1, anchor - far
 
 
 def suffix_ranks(text: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,28 +253,6 @@ def common_prefixes(text: np.ndarray, room: np.ndarray, sorted_places: np.ndarra
     return out
 
 
-def words_at(text: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """Strings as rows of big-endian 64-bit words, which compare like their bytes."""
-    wide = -(-length // 8) * 8
-    rows = np.zeros((len(places), wide), dtype=np.uint8)
-    rows[:, :length] = text[places[:, None] + np.arange(length)]
-    return rows.view(">u8").astype(np.uint64)
-
-
-def search(table: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Binary search of rows in sorted rows: the place of each query, or -1."""
-    lo, hi, rows = np.zeros(len(queries), dtype=np.int64), np.full(len(queries), len(table)), np.arange(len(queries))
-    while (open_ := lo < hi).any():
-        mid = np.where(open_, (lo + hi) // 2, 0)
-        differ = table[mid] != queries
-        at = differ.argmax(axis=1)
-        less = differ[rows, at] & (table[mid, at] < queries[rows, at])
-        lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-    safe = np.minimum(lo, max(0, len(table) - 1))
-    hit = (table[safe] == queries).all(axis=1) & (lo < len(table)) if len(table) else np.zeros(len(queries), dtype=bool)
-    return np.where(hit, safe, -1)
-
-
 class Shard:
     """Contexts packed into one text, its sorted strings and which of them are repeated in it."""
 
@@ -271,26 +268,31 @@ class Shard:
         strings = np.array([r[2] for r in rows], dtype=np.int64)
         starts = np.arange(len(self.text)) - np.repeat(self.base, sizes) < np.repeat(strings, sizes)
         rank, unsorted = suffix_ranks(self.text, room, depth)
-        places = np.sort(unsorted[starts[unsorted]])
-        # Stable: equal strings stay in the order of the text, so that few prefixes have to be compared.
-        order = np.argsort((rank[places] << 32) | (rank[places + length - depth] + len(self.text) + 1), kind="stable")
-        self.sorted = places[order]
-        prefix = common_prefixes(self.text, room, self.sorted)
-        twin = prefix >= length
+        self.rank, self.step, self.strings = rank.astype(np.int32), length - depth, strings
+        places = self.in_order(np.sort(unsorted[starts[unsorted]]))
+        twin = common_prefixes(self.text, room, places) >= length
         self.repeated = np.zeros(len(self.text), dtype=bool)
-        self.repeated[self.sorted[twin]] = True
-        self.repeated[self.sorted[:-1][twin[1:]]] = True
-        self.strings = strings
+        self.repeated[places[twin]] = True
+        self.repeated[places[:-1][twin[1:]]] = True
+
+    def in_order(self, places: np.ndarray) -> np.ndarray:
+        """Starts of strings in the order of the suffix array: the rank of their first bytes, then of their last ones.
+
+        Stable: equal strings stay in the order of the text, so that few prefixes have to be compared.
+        """
+        ranks = self.rank[places].astype(np.int64) << 32 | (self.rank[places + self.step] + np.int64(len(self.text) + 1))
+        return places[np.argsort(ranks, kind="stable")]
 
     def of_row(self, i: int) -> np.ndarray:
         return self.base[i] + np.arange(self.strings[i])
 
-    def table(self, rows: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted strings of these rows, as words, and their places."""
-        places = np.concatenate([self.of_row(i) for i in rows])
-        words = words_at(self.text, places, self.length)
-        order = np.lexsort(words.T[::-1])
-        return words[order], places[order]
+    def of_key(self, key: int) -> np.ndarray:
+        """The starts of a key's strings, in order."""
+        return self.in_order(np.concatenate([self.of_row(i) for i, r in enumerate(self.rows) if r[0] == key]))
+
+    def bytes_at(self, places: np.ndarray) -> np.ndarray:
+        """Strings as values that compare like their bytes: they have one length, so zeros at the end make no two equal."""
+        return np.lib.stride_tricks.sliding_window_view(self.text, self.length)[places].view(f"S{self.length}").ravel()
 
     def ranges(self) -> Iterator[tuple]:
         """doc, mark, first and last byte + 1 of each run of repeated strings."""
@@ -304,17 +306,26 @@ class Shard:
                     yield doc, mark, lo + a, lo + b - 1 + self.length
 
 
-def merged(shards: list[Shard], key: int) -> None:
-    """Marks the strings of a key that occur in several of its shards."""
-    tables = [s.table([i for i, r in enumerate(s.rows) if r[0] == key]) for s in shards]
-    for x, (words, places) in enumerate(tables):
-        for y in range(x):
-            other, there = tables[y]
-            at = search(other, words)
-            hit = at >= 0
-            shards[x].repeated[places[hit]] = True
-            found = search(words, other) >= 0
-            shards[y].repeated[there[found]] = True
+def merged(shards: list[Shard], key: int, at_once: int = 1 << 16) -> None:
+    """Marks the strings of a key that occur in several of its shards; two slices of strings are in memory at a time.
+
+    One place of equal strings is enough to find: the others of its shard are marked already.
+    """
+    places = [s.of_key(key) for s in shards]
+    for x, own in enumerate(places):
+        for lo in range(0, len(own), at_once):
+            there = own[lo : lo + at_once]
+            table = shards[x].bytes_at(there)
+            for y in range(x):
+                for a in range(0, len(places[y]), at_once):
+                    asked = places[y][a : a + at_once]
+                    wanted = shards[y].bytes_at(asked)
+                    if wanted[0] > table[-1] or wanted[-1] < table[0]:
+                        continue
+                    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+                    hit = table[at] == wanted
+                    shards[y].repeated[asked[hit]] = True
+                    shards[x].repeated[there[at[hit]]] = True
 
 
 def owners(rows: DataFrame, length: int, shard_bytes: int) -> DataFrame:
@@ -391,16 +402,17 @@ def removed(raw: bytes, ranges: list) -> tuple[int, int, bytes]:
     return gone, runs, b"".join([*kept, raw[at:]])
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = 1 << 20) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = 1 << 19) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that remain) of every row of docs."""
     raw = text_of(docs).select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("mark"), F.encode("text", "UTF-8").alias("raw"))
     marked = stored(anchors(raw, length, gram), "anchors")
     each = marked.select(F.col("doc").alias("fdoc"), F.col("mark").alias("fmark"), F.explode(F.arrays_zip("h", "at")).alias("x")).select("fdoc", "fmark", "x.*")
     # Stored, so that the join that follows has a plain shuffle on either side and can split a hot gram's rows.
     often = stored(each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "often")
-    found = each.join(often, "h").groupBy("fdoc", "fmark").agg(F.collect_list(F.struct("h", "at", (F.col("n") > hot).alias("hot"))).alias("own"))
+    # A set: equal rows of one doc_id have the same anchors, and each of the rows meets them once.
+    found = each.join(often, "h").groupBy("fdoc", "fmark").agg(F.collect_set(F.struct("h", "at", "n")).alias("own"))
     packed = squeezed(raw)
-    ranges = owners(contexts(packed, found, length), length, shard_bytes)
+    ranges = owners(contexts(packed, found, length, gram, hot), length, shard_bytes)
     gone = ranges.groupBy("doc", "mark").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
     gone = stored(gone, "ranges", free=True).select(F.col("doc").alias("rdoc"), F.col("mark").alias("rmark"), "ranges")
 

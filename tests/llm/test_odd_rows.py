@@ -187,7 +187,7 @@ def repeats(seed):
     return [word(rng.randrange(400)) + rng.choice(common)[rng.randrange(120) :] + word(rng.randrange(60)) + rng.choice(common) for _ in range(25)] + ["", "short", common[0], common[0]]
 
 
-@pytest.mark.parametrize(("hot", "shard"), [(50_000, 1 << 20), (3, 1 << 20), (50_000, 2_000)])
+@pytest.mark.parametrize(("hot", "shard"), [(2_000, 1 << 19), (9, 1 << 19), (5, 2_000), (2, 1 << 19), (1, 4_000), (2_000, 2_000)])
 def test_suffix(spark, hot, shard):
     texts = repeats(hot + shard)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -202,6 +202,28 @@ def test_suffix_odd_rows(odd_docs, no_docs):
     assert suffix_dedup.without_repeats(no_docs).count() == 0
 
 
+def test_suffix_of_hot_grams_and_equal_rows(spark):
+    """Passages that stand in thousands of different contexts, beside a thousand equal rows of one doc_id."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    short, long = word(120), word(230)
+    texts = [word(200) + (short if i % 2 else long) + word(200) for i in range(9_000)]
+    same = word(900)
+    docs = spark.createDataFrame([*enumerate(texts), *[(-1, same)] * 1000], "doc_id long, text string").repartition(8)
+    got = suffix_dedup.without_repeats(docs).collect()
+    assert len(got) == 10_000 and all(r["n_removed"] == 900 and r["n_spans"] == 1 for r in got if r["doc_id"] == -1)
+    # Letters beside the passage agree in some texts: the removed run is the passage and those, counted by sets.
+    found = {r["doc_id"]: r["n_removed"] for r in got}
+    assert all(found[i] == 0 for i in range(1, 9_000, 2))
+    around, seen = range(-40, 41), {}
+    for i in range(0, 9_000, 2):
+        for k in around:
+            seen[k, texts[i][200 + k : 400 + k]] = seen.get((k, texts[i][200 + k : 400 + k]), 0) + 1
+    for i in range(0, 9_000, 2):
+        own = [k for k in around if seen[k, texts[i][200 + k : 400 + k]] > 1]
+        assert found[i] == own[-1] - own[0] + 200 >= 230
+
+
 def test_suffix_parts():
     rng = np.random.default_rng(5)
     text = rng.integers(0, 2, 600).astype(np.uint8)
@@ -214,9 +236,21 @@ def test_suffix_parts():
     order = unsorted[np.argsort(rank[unsorted], kind="stable")]
     for a, b, n in zip(order, order[1:], suffix_dedup.common_prefixes(text, room, order)[1:]):
         assert bytes(text[a : a + n]) == bytes(text[b : b + n]) and (max(a, b) + n == 600 or text[a + n] != text[b + n])
-    table = np.unique(rng.integers(0, 5, (50, 3)).astype(np.uint64), axis=0)
-    queries = rng.integers(0, 6, (40, 3)).astype(np.uint64)
-    assert [i >= 0 for i in suffix_dedup.search(table, queries)] == [any((t == q).all() for t in table) for q in queries]
+
+
+def test_merged_shards_mark_strings_of_several():
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(0, 2, 90).astype(np.uint8)) for _ in range(9)]
+    texts = [t + texts[0][:30] if i % 3 else t for i, t in enumerate(texts)]
+    shards = [suffix_dedup.Shard([(7, 0, len(t) - 15, t, i, 0, 0, False) for i, t in enumerate(texts[lo : lo + 3])], 16) for lo in (0, 3, 6)]
+    suffix_dedup.merged(shards, 7, at_once=11)
+    got = {i: (a, b) for s in shards for i, *_, a, b in s.ranges()}
+    strings = [t[i : i + 16] for t in texts for i in range(len(t) - 15)]
+    for s, lo in zip(shards, (0, 3, 6)):
+        want = [strings.count(t[i : i + 16]) > 1 for t in texts[lo : lo + 3] for i in range(len(t) - 15)]
+        have = [bool(s.repeated[s.base[r] + i]) for r in range(3) for i in range(s.strings[r])]
+        assert have == want
+    assert got
 
 
 def test_byte_bpe(spark, odd_docs, no_docs):
