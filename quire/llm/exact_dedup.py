@@ -1,23 +1,31 @@
 """Exact deduplication through an extendible-hash index that lives in shared files.
 
-A text's key is the XXH64 of its normalised text. The directory of the index starts with one bucket and doubles:
-a bucket with more distinct keys than its capacity splits on the next bit of the key, until none is overfull or the
-directory has 2**max_depth cells. Owner tasks build the index one range of keys each; texts that share a key are
-chained as links, told apart by their bytes, never by the key alone. Every row then looks its text up in the index.
+A text's key is the XXH64 of its normalised text. The directory says which bucket a key lies in by the key's leading
+bits. It doubles (one more bit) until no cell has more distinct keys than a bucket's capacity, without a greatest
+depth; a bucket is the shallowest prefix that fits, as splitting only the overfull ones leaves it. Rows are routed by
+the directory: texts of a bucket are told apart by their bytes, never by the key alone, and owner tasks, each with a
+range of buckets and keys, chain the texts that share a key as links and write their buckets as files of the shared
+folder. Every row then looks its text up in the files of its bucket.
 
 Defined results: a null text is an empty text; texts are equal when their bytes are equal after lower-casing A-Z;
 of equal texts the row with the largest doc_id stays; rows without doc_id lose against any doc_id; a doc_id that
-occurs twice with equal texts gives two rows of one group, both kept if it is the largest; an empty table gives an
-empty result; extra columns are not looked at. DataFrame functions only.
+occurs twice with equal texts gives two rows of one group, both kept if it is the largest (``drop_copies`` leaves one
+of them); an empty table gives an empty result; extra columns are not looked at. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quire.llm.shared import ascii_lower, stored, text_of
+from quire.llm.shared import ascii_lower, spare, stored, text_of
+
+CAPACITY = 50_000
+#: A directory of up to so many bits (65,536 cells) is broadcast, a larger one is joined by a shuffle.
+BROADCAST_BITS = 16
 
 
 def prefix(key: Column, bits: int) -> Column:
@@ -25,54 +33,73 @@ def prefix(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def directory(keys: DataFrame, capacity: int = 50_000, max_depth: int = 14) -> DataFrame:
-    """The directory over column ``key``: cell (of max_depth bits), bucket (its first cell) and local depth.
-
-    Has at most 2**max_depth rows, whatever the input. A bucket is the shallowest prefix with at most ``capacity``
-    distinct keys, as repeated doubling and splitting leaves it.
-    """
-    cells = keys.select("key").distinct().groupBy(prefix(F.col("key"), max_depth).alias("cell")).agg(F.count("*").alias("n"))
-    levels = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
-    levels = levels.withColumn("bucket", F.expr(f"shiftleft(shiftright(cell, {max_depth} - depth), {max_depth} - depth)"))
-    full = levels.groupBy("depth", "bucket").agg(F.sum("n").alias("held"))
-    fits = full.filter((F.col("held") <= capacity) | (F.col("depth") == max_depth))
-    found = levels.join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket")).alias("b"))
-    return found.select("cell", F.col("b.bucket").alias("bucket"), F.col("b.depth").alias("depth"))
-
-
-def build_index(docs: DataFrame, capacity: int = 50_000, max_depth: int = 14) -> DataFrame:
-    """The index as a table of the shared folder: bucket, key, link (place in the chain), sha, keep_id, group_size.
-
-    Rows meet by (key, bytes): each map task first folds its own copies into one, so that a group of copies, however
-    large, sends one row a task. Buckets are dealt to owner tasks by ranges of keys.
+def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+    """The directory over distinct keys (column ``key``), and its bits: cell (a prefix of that many bits), bucket (its first
+    cell) and local depth."""
+    held, depth = keys.count(), 0
+    while held > capacity:
+        # Keys are hashes, so that the first step can take as many bits as even buckets need.
+        depth = depth + 1 if depth else max(1, math.ceil(math.log2(held / capacity)))
+        cells = keys.groupBy(prefix(F.col("key"), depth).alias("cell")).agg(F.count("*").alias("n"))
+        held = cells.agg(F.max("n")).first()[0]
+    if not depth:
+        return keys.sparkSession.range(1).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("depth")), 0
+    above = cells.select("n", "cell", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"))
+    full = stored(above.groupBy("depth", F.expr(f"shiftright(cell, {depth} - depth)").alias("bucket")).agg(F.sum("n").alias("held")), "levels")
+    halves = full.filter(F.col("held") > capacity).select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("bucket") * 2, F.col("bucket") * 2 + 1)).alias("bucket"))
+    buckets = full.filter(F.col("held") <= capacity).join(halves, ["depth", "bucket"])
+    first, width = F.expr(f"shiftleft(bucket, {depth} - depth)"), F.expr(f"shiftleft(1L, {depth} - depth)")
+    return buckets.select(F.explode(F.sequence(first, first + width - 1)).alias("cell"), first.alias("bucket"), "depth"), depth
+
+
+def routed(rows: DataFrame, cells: DataFrame, bits: int) -> DataFrame:
+    """rows (with column key) and the bucket that the directory has for each."""
+    cells = F.broadcast(cells) if bits <= BROADCAST_BITS else cells
+    return rows.withColumn("cell", prefix(F.col("key"), bits)).join(cells.select("cell", "bucket"), "cell").drop("cell")
+
+
+def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, int]:
+    """The index in the shared folder (bucket, key, link, sha, keep_id, group_size; files by bucket), its directory and bits.
+
+    On the way to its bucket a task folds its own copies of a text into one, so that a group of copies, however large,
+    sends one row a task.
     """
     keyed = text_of(docs).select("doc_id", ascii_lower(F.col("text")).alias("norm")).withColumn("key", F.xxhash64("norm"))
-    cells = stored(directory(keyed, capacity, max_depth), "directory")
-    links = keyed.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    links = links.select("key", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
-    links = links.withColumn("cell", prefix(F.col("key"), max_depth)).join(F.broadcast(cells), "cell").drop("cell")
-    owned = links.repartitionByRange("bucket", "key")
-    chain = Window.partitionBy("bucket", "key")
-    # Rows look links up by (key, sha): two different texts of one SHA-256 would be mistaken, so they end the job.
-    twins = F.count("*").over(Window.partitionBy("bucket", "key", "sha"))
-    owned = owned.withColumn("link", F.row_number().over(chain.orderBy("sha"))).withColumn("twins", twins)
-    owned = owned.withColumn("link", F.when(F.col("twins") == 1, F.col("link")).otherwise(F.raise_error(F.lit("two texts share one SHA-256")).cast("int")))
-    return stored(owned.select("bucket", "key", "link", "sha", "keep_id", "group_size"), "index")
-
-
-def exact_groups(docs: DataFrame, capacity: int = 50_000, max_depth: int = 14) -> DataFrame:
+    cells, bits = directory(stored(keyed.select("key").distinct(), "keys"), capacity)
+    cells = stored(cells, "directory")
+    texts = routed(keyed, cells, bits).groupBy("bucket", "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    texts = texts.select("bucket", "key", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
+    owned = texts.repartitionByRange("bucket", "key")
+    chain = Window.partitionBy("bucket", "key").orderBy("sha")
+    # Rows look links up by their SHA-256: two different texts of one would be mistaken, so they end the job.
+    link = F.when(F.lag("sha").over(chain).eqNullSafe(F.col("sha")), F.raise_error(F.lit("two texts share one SHA-256")).cast("int")).otherwise(F.row_number().over(chain))
+    owned = owned.withColumn("link", link)
+    return stored(owned.select("bucket", "key", "link", "sha", "keep_id", "group_size"), "index", by="bucket"), cells, bits
+
+
+def exact_groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    index = build_index(docs, capacity, max_depth).select("key", "sha", "keep_id", "group_size")
+    index, cells, bits = build_index(docs, capacity)
     norm = ascii_lower(F.col("text"))
-    rows = text_of(docs).select("doc_id", F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("sha"))
-    found = rows.join(index, ["key", "sha"], "left")
+    rows = routed(text_of(docs).select("doc_id", F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("sha")), cells, bits)
+    found = rows.join(index.select("bucket", "key", "sha", "keep_id", "group_size"), ["bucket", "key", "sha"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs; rows that share a doc_id stay or go together."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
+    """The rows of docs that stay, with the columns of docs: one row of each group of equal texts.
+
+    Every row is judged by its own text, also where a doc_id has several; of rows that share doc_id and text any one
+    stays, and of rows without doc_id one where no equal text has a doc_id.
+    """
+    doc, sha, rank = spare(docs, "doc", "sha", "rank")
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), sha: F.sha2(ascii_lower(text), 256)})
+    # Repeated rows are cut to one in each task before they are shuffled.
+    rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy(doc, sha).orderBy(doc))).filter(F.col(rank) == 1)
+    same = (F.col(doc) == F.coalesce(kept["kept_id"].cast("string"), F.lit("none"))) & (F.col(sha) == kept["kept_sha"])
+    return rows.join(kept, same, "left_semi").select(*docs.columns)
 
 
 EXACT_SQL = """

@@ -24,21 +24,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, free: bool = False, by: str | None = None) -> DataFrame:
     """``df`` written as a table of the shared folder and read back: cuts the lineage, survives lost executors.
 
-    free: large shuffles before this step are not needed any more; Spark removes their files when the driver collects
+    by: a column that has files of its own for each value. free: large shuffles before this step are not needed any more; Spark removes their files when the driver collects
     its garbage, which this asks for.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     if free:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of df has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty) as long and string, and ``more``; whatever else the table has stays out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)

@@ -56,19 +56,37 @@ def test_licenses(spark, odd_docs, no_docs):
 
 
 def test_exact(spark, odd_docs, no_docs):
-    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(odd_docs, capacity=1, max_depth=4).collect()}
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(odd_docs, capacity=1).collect()}
     assert {(1, 2, 2, False), (2, 2, 2, True), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 1, True), (7, 8, 2, False), (9, 9, 2, True), (None, None, 1, True)} <= got
     assert exact_dedup.exact_groups(odd_docs).count() == 13 and exact_dedup.exact_groups(no_docs).count() == 0
     kept = exact_dedup.drop_copies(odd_docs)
-    assert kept.columns == odd_docs.columns and {r["doc_id"] for r in kept.collect()} == {2, 4, 5, 6, 8, 9, 10, 11, None}
+    assert kept.columns == odd_docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [10, 11, 2, 4, 5, 6, 8, 9, None]
+    rows = [(5, "same text", 1, "a"), (5, "other", 2, "a"), (9, "SAME TEXT", 3, "a"), (9, "SAME TEXT", 3, "a"), (None, "alone", 4, "a"), (None, "Alone", 4, "a"), (None, "other", 5, "a")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, `key` int, SHA string")
+    assert sorted(map(str, exact_dedup.drop_copies(docs).select("doc_id", F.lower("text")).collect())) == sorted(map(str, spark.createDataFrame([(5, "other"), (9, "same text"), (None, "alone")], "doc_id int, `lower(text)` string").collect()))
 
 
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(1000).select(F.xxhash64("id").alias("key"))
-    cells = exact_dedup.directory(keys, capacity=100, max_depth=6)
-    held = keys.withColumn("cell", exact_dedup.prefix(F.col("key"), 6)).join(cells, "cell").groupBy("bucket", "depth").count().collect()
+    cells, bits = exact_dedup.directory(keys, capacity=100)
+    held = keys.withColumn("cell", exact_dedup.prefix(F.col("key"), bits)).join(cells, "cell").groupBy("bucket", "depth").count().collect()
     assert sum(r["count"] for r in held) == 1000 and all(r["count"] <= 100 for r in held) and len(held) > 10
-    assert {r["depth"] for r in exact_dedup.directory(keys, capacity=10_000, max_depth=6).collect()} == {0}
+    # 300 keys that share all but their last bits double the directory as often as it takes.
+    deep, bits = exact_dedup.directory(spark.range(300).select((F.col("id") * (1 << 50)).alias("key")), capacity=20)
+    assert bits >= 10 and deep.count() > 15 and len({r["depth"] for r in deep.collect()}) > 1
+    assert [tuple(r) for r in exact_dedup.directory(keys, capacity=10_000)[0].collect()] == [(0, 0, 0)]
+
+
+def test_exact_groups_come_from_the_index(spark, odd_docs, monkeypatch):
+    """Rows find their group in the bucket that the directory names, and nowhere else."""
+    whole = exact_dedup.directory
+
+    def half(keys, capacity):
+        cells, bits = whole(keys, capacity)
+        return cells.filter("cell % 2 = 0"), bits
+
+    monkeypatch.setattr(exact_dedup, "directory", half)
+    assert 0 < exact_dedup.exact_groups(odd_docs, capacity=1).count() < 13
 
 
 def test_quality(spark, odd_docs, no_docs, labels):
