@@ -2,15 +2,17 @@
 
 Trusted positives are rows labelled 1; all other text is unlabelled. With the prior p of good text among the
 unlabelled, the risk is p * R+(as good) + max(0, R_u(as bad) - p * R+(as bad)); where the second part falls below
-zero, its gradient is turned round. The prior is estimated from the two samples. A last monotone step maps the
-output so that 0.7 is the threshold with the best balanced accuracy on labelled rows of the training fold.
+zero, its gradient is turned round. The prior is estimated from the two samples. No row labelled 0 is used: the last,
+monotone step puts 0.7 at the cut with the best balanced accuracy, which the two samples alone determine. With the
+shares t(c) of positives and u(c) of unlabelled above a cut c, the balanced error is (1 - t + (u - p * t) / (1 - p)) / 2,
+which is least where t(c) - u(c) is greatest, whatever the prior.
 
-Fitted on bounded samples (``positives``, ``unlabelled`` and ``calibration`` rows, chosen by a hash of their texts);
-every row is scored, from its whole text alone.
+Fitted on bounded samples (``positives`` and ``unlabelled`` distinct rows, chosen by a hash of doc_id and text); every
+row is scored, from its whole text alone.
 
 Defined results: a null or empty text has the features of no words and is scored like any other; where the table of
-labels is empty or has one class only, the prior and the threshold fall back to stated constants; repeated rows
-repeat; an empty table gives an empty result; extra columns are not looked at.
+labels has no positive for a row, nothing is known against any text, and all are accepted; repeated rows count once in
+the samples and are all scored; an empty table gives an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -84,6 +86,21 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(best, 0.05, 0.98))
 
 
+def best_cut(pos: np.ndarray, unl: np.ndarray) -> tuple[float, float]:
+    """The cut that parts positives from unlabelled best, and the spread of the unlabelled.
+
+    Cuts within half a standard error of the best are as good as far as samples of this size tell; of these the one in
+    the widest gap between outputs is taken.
+    """
+    cuts = np.unique(np.concatenate([pos, unl]))
+    above = lambda z: 1 - np.searchsorted(np.sort(z), cuts) / len(z)
+    gain = above(pos) - above(unl)
+    good = np.flatnonzero(gain >= gain.max() - 0.5 * np.sqrt(0.25 / len(pos) + 0.25 / len(unl)))
+    below = cuts[np.maximum(0, good - 1)]
+    widest = np.argmax(cuts[good] - below)
+    return float(below[widest] + cuts[good[widest]]) / 2, float(unl.std())
+
+
 class NonNegativePu:
     """A network of one hidden layer, trained with Adam on the non-negative risk under the sigmoid loss."""
 
@@ -135,8 +152,8 @@ class NonNegativePu:
                     dz = np.concatenate([-prior * dp - prior * dp, du]) if rest >= 0 else np.concatenate([prior * dp, -du])
                 self._step(x, dz)
 
-    def fit(self, pos: np.ndarray, unl: np.ndarray, known: np.ndarray, truth: np.ndarray) -> NonNegativePu:
-        """pos, unl: rows of features; known, truth: labelled rows of the training fold, for the last step only."""
+    def fit(self, pos: np.ndarray, unl: np.ndarray) -> NonNegativePu:
+        """pos, unl: rows of features."""
         if not len(pos) or not len(unl):
             self._start(np.zeros((1, len(features("")))))
             self.w2, self.b2 = np.zeros(self.hidden), 10.0  # nothing is known against any text
@@ -144,14 +161,9 @@ class NonNegativePu:
         self._train(pos, unl, None)
         self.prior = estimate_prior(self.logit(pos), self.logit(unl))
         self._train(pos, unl, self.prior)
-        z = self.logit(known)
-        if len(set(truth.tolist())) == 2:
-            cuts = np.unique(z)
-            good, bad = np.sort(z[truth == 1]), np.sort(z[truth == 0])
-            value = 1 - np.searchsorted(good, cuts) / len(good) + np.searchsorted(bad, cuts) / len(bad)
-            best = cuts[value >= value.max() - 1e-9]
-            self.a = 2.0 / max(1e-6, z.std())
-            self.b = np.log(THRESHOLD / (1 - THRESHOLD)) - self.a * float(best.min() + best.max()) / 2
+        cut, spread = best_cut(self.logit(pos), self.logit(unl))
+        self.a = 2.0 / max(1e-6, spread)
+        self.b = np.log(THRESHOLD / (1 - THRESHOLD)) - self.a * cut
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -159,30 +171,30 @@ class NonNegativePu:
 
 
 def _featured(rows: DataFrame, *more: str) -> DataFrame:
-    """x (features) and ``more`` of the rows."""
+    """x (features) and ``more`` (long columns) of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), *batch.columns[1:]], ["x", *more])
 
-    return rows.select("text", *more).mapInArrow(run, "x array<double>" + "".join(f", {c} int" for c in more))
-
-
-def train(docs: DataFrame, labels: DataFrame, positives: int = 6_000, unlabelled: int = 12_000, calibration: int = 12_000) -> NonNegativePu:
-    """Learns from rows outside the held-out fold; the three bounds are all that reaches the driver."""
-    fold = text_of(docs).filter(~held_out())
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)").distinct()
-    some = lambda rows, n: rows.orderBy(F.xxhash64("doc_id", F.lit(n)), "doc_id").limit(n)
-    ids = fold.select("doc_id").join(known, "doc_id")
-    chosen = some(ids.filter("quality = 1"), positives).select("doc_id", F.lit(1).alias("use"), F.lit(1).alias("truth"))
-    chosen = chosen.unionByName(some(fold.select("doc_id"), unlabelled).select("doc_id", F.lit(0).alias("use"), F.lit(0).alias("truth")))
-    chosen = chosen.unionByName(some(ids, calibration).select("doc_id", F.lit(2).alias("use"), F.col("quality").alias("truth")))
-    rows = _featured(fold.join(F.broadcast(chosen), "doc_id"), "use", "truth").collect()
-    width = len(features(""))
-    of = lambda k: np.array([r["x"] for r in rows if r["use"] == k]).reshape(-1, width)
-    truth = np.array([r["truth"] for r in rows if r["use"] == 2], dtype=int)
-    return NonNegativePu().fit(of(1), of(0), of(2), truth)
+    return rows.select("text", *more).mapInArrow(run, "x array<double>" + "".join(f", {c} long" for c in more))
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = 6_000, unlabelled: int = 12_000) -> NonNegativePu:
+    """Learns from rows outside the held-out fold; the two bounds are all that reaches the driver, also where rows repeat."""
+    fold = text_of(docs).filter(~held_out()).withColumn("mark", F.xxhash64("text"))
+    trusted = labels.filter(F.col("quality").cast("int") == 1).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    each = fold.select("doc_id", "mark").distinct()
+    some = lambda rows, n, use: rows.orderBy(F.xxhash64("doc_id", "mark", F.lit(use)), "doc_id", "mark").limit(n).withColumn("use", F.lit(use).cast("long"))
+    chosen = some(each.join(trusted, "doc_id"), positives, 1).unionByName(some(each, unlabelled, 0))
+    chosen = chosen.select(F.col("doc_id").alias("own_id"), F.col("mark").alias("own_mark"), "use")
+    rows = fold.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")))
+    # Of rows that repeat, the first found is enough, as their features are equal.
+    found = _featured(rows, "doc_id", "mark", "use").groupBy("doc_id", "mark", "use").agg(F.first("x").alias("x")).collect()
+    found.sort(key=lambda r: (r["use"], r["mark"]))
+    of = lambda k: np.array([r["x"] for r in found if r["use"] == k]).reshape(-1, len(features("")))
+    return NonNegativePu().fit(of(1), of(0))
 
 
 def scored(docs: DataFrame, model: NonNegativePu) -> DataFrame:
