@@ -98,6 +98,17 @@ def test_quality(spark, odd_docs, no_docs, labels):
     assert quality.keep_good(odd_docs, labels.filter("false")).columns == odd_docs.columns
 
 
+def test_quality_samples_keep_their_bounds_where_rows_repeat(spark, monkeypatch):
+    rows = [(1, "one and the same row")] * 800 + [(1, "another text of this id")] * 50 + [(i, f"text number {i}") for i in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)] + [(1, 1)] * 20, "doc_id long, quality int")
+    sizes = []
+    monkeypatch.setattr(quality.NonNegativePu, "fit", lambda self, pos, unl: sizes.append((len(pos), len(unl))))
+    quality.train(docs, marks, positives=10, unlabelled=25)
+    quality.train(docs, marks, positives=5_000, unlabelled=5_000)
+    assert sizes[0] == (10, 25) and sizes[1][1] <= 59
+
+
 def test_secrets(spark, odd_docs, no_docs):
     model = secrets.train(secrets.labelled_findings(spark))
     assert not [r for r in secrets.scored(secrets.candidates(odd_docs), model).collect() if r["is_secret"]]
@@ -153,22 +164,63 @@ def test_language(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in language.identify(odd_docs, language.train(no_docs)).collect()} == {"und"}
 
 
-def test_kept_words_have_true_counts_in_all_languages(spark):
-    rows = [(1, "gift gift", "de"), (3, "das das das das " + "gift " * 3, "en"), (4, "das das", "en")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter("crc32(cast(doc_id as string)) % 4 <> 2")
-    assert docs.count() == 3
-    model = language.train(docs, words_kept=1, grams_kept=1)
-    # gift is kept for de (2 of 2) only, but en has it 3 times of 9.
-    assert np.allclose(model.words["gift"], [np.log(2 / 3), np.log(3 / 10)])
-    # Every word has one $: 2 of de's 12 letters and marks, 9 of en's 48.
-    assert np.allclose(model.grams[1]["$"], [np.log(2 / 13), np.log(9 / 49)])
-
-
-def test_unseen_words_fall_back_to_shorter_grams():
-    words, grams = [("de", "haus", 5), ("en", "house", 5)], [("de", "^hau", 5), ("en", "^hou", 5), ("de", "ü", 3), ("en", "y", 4)]
-    model = language.Model(["de", "en"], {"de": 5, "en": 5}, words, grams)
-    assert model.predict("haus", {})[0] == model.predict("hausen", {})[0] == model.predict("xü", {})[0] == "de"
-    assert model.predict("housing", {})[0] == model.predict("yy", {})[0] == "en"
+def test_texts_without_letters_are_undetermined(spark):
+    rows = [(1, "haus und hof", "de"), (3, "house and home", "en"), (4, "½ ² ③ 12 _", "de"), (5, "x² hof", None), (6, "½hof½", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.words_of("½Haus²x ③") == ["haus", "x"]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, language.train(docs)).collect()}
+    assert got[4] == ("und", 0.0) and got[6][0] == "de" and got[5][0] == "de"
+
+
+def by_counting(rows):
+    """doc_id to language and score, with every count in memory."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    words, grams, totals, gram_totals = defaultdict(Counter), defaultdict(Counter), Counter(), Counter()
+    parts = lambda w, k: [f"^{w}$"[i : i + k] for i in range(len(w) + 3 - k)]
+    for d, text, lang in rows:
+        if lang is None or (d is not None and zlib.crc32(str(d).encode()) % 4 == 2):
+            continue
+        for w in language.words_of(text or ""):
+            words[w][lang] += 1
+            totals[lang] += 1
+            for k in range(1, language.LONGEST + 1):
+                for g in parts(w, k) if len(w) + 2 >= k else [f"^{w}$"]:
+                    grams[g][lang] += 1
+    for g, n in grams.items():
+        for lang in n:
+            gram_totals[lang, len(g)] += n[lang]
+    langs = sorted(totals)
+    of_word = lambda w: np.log([max(0.5, words[w][x]) / (totals[x] + 1) for x in langs])
+    of_gram = lambda g: np.log([max(0.5, grams[g][x]) / (gram_totals[x, len(g)] + 1) for x in langs])
+
+    def evidence(w):
+        if w in words:
+            return of_word(w)
+        for k in range(language.LONGEST, 0, -1):
+            if found := [of_gram(g) for g in parts(w, k) if g in grams]:
+                return np.mean(found, axis=0)
+        return np.zeros(len(langs))
+
+    out = []
+    for d, text, _ in rows:
+        own = language.words_of(text or "")
+        e = np.mean([evidence(w) for w in own], axis=0) if own else None
+        out.append((d, "und", 0.0) if e is None else (d, langs[int(np.argmax(e))], float(1 / np.exp(e - e.max()).sum())))
+    return out
+
+
+@pytest.mark.parametrize("carried", [0, 40, 120_000])
+def test_language_equals_counting(spark, sf_dir, carried):
+    """However many words are carried, scores are those of all counts, also for repeated rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(docs.filter("doc_id < 5")).unionByName(spark.createDataFrame([(None, "zzyx qqq Straße", None), (2**40, "ĥŵ ωψ", None)], docs.schema))
+    got = language.identify(docs, language.train(docs, carried=carried)).collect()
+    want = by_counting([tuple(r) for r in docs.collect()])
+    assert len(got) == len(want)
+    for a, b in zip(sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in got), key=str), sorted(want, key=str)):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9
 
 
 def vectors(spark, rows):
