@@ -1,5 +1,8 @@
 """From raw documents to packed sequences: what the quality classifier rejects goes, copies go, of near copies one
 stays, secrets are masked, and the rest is packed. Every stage works on all rows that the one before has kept.
+
+Defined results, of every stage: an empty table gives an empty one; extra columns, whatever their names, are kept by all
+stages but the last; a null text counts as an empty one and stays null; nulls in other columns change nothing.
 """
 
 from __future__ import annotations
@@ -9,26 +12,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import exact_dedup, packing, quality, secrets, simhash
-from quire.llm.shared import shared_dir, table
+from quire.llm.shared import discard, scratch, shared_dir, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores under 0.7 go; repeated rows stay or go together; without a positive label all stay."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts stays, that of the largest doc_id; a row without doc_id only if none has one."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest doc_id of each group stays; empty texts are one group; rows without doc_id stay."""
     return simhash.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets become [SECRET], in texts of any length; rows that share a doc_id are masked with the secrets of all."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is packed, one without text as its end token; rows that share a doc_id are packed one by one."""
     return packing.pack(packing.pieces(docs)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -45,9 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet in the shared folder and read again by the next."""
+    """The stages over documents, each written as Parquet in the shared folder and read again by the next, then removed."""
     docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            discard(spark, f"{base}/{k - 1}")
     return docs

@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.LICENSE_SQL, "op3_exact_dedup": exact_dedup.EXACT_SQL}
+    return {"op2_license_scan": licenses.license_sql(), "op3_exact_dedup": exact_dedup.EXACT_SQL}

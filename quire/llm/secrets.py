@@ -19,6 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.shared import spare
+
 #: Names of credentials, words beside things that only look like them, parts of placeholders.
 CREDENTIALS = "passwords?|passwd|passwort|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credentials?"
 LOOKALIKES = "commit|sha1|sha256|md5|checksum|digest|etag|uuid|guid|isbn|order|invoice|card|phone|serial|version|revision|id"
@@ -169,13 +171,16 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in text replaced by ``mark``; n_chars, if there, is the length of the new text."""
-    secrets = findings(docs, labelled).filter("is_secret").groupBy("doc_id").agg(F.collect_set("candidate").alias("__secrets"))
-    secrets = secrets.select(F.col("doc_id").alias("__doc"), F.array_sort("__secrets", lambda a, b: F.length(b) - F.length(a)).alias("__secrets"))
-    joined = docs.join(secrets, docs["doc_id"].cast("long").eqNullSafe(secrets["__doc"]), "left")
-    clean = F.when(F.col("__secrets").isNull(), F.col("text")).otherwise(F.aggregate("__secrets", F.col("text").cast("string"), lambda t, s: F.replace(t, s, F.lit(mark))))
-    out = joined.withColumn("__clean", clean)
-    change = {"text": F.col("__clean")}
+    """docs with every secret in text replaced by ``mark``; n_chars, if there, is the length of the new text.
+
+    Rows that share a doc_id are masked with the secrets of all of them; null texts stay null.
+    """
+    doc, found = spare(docs, "doc", "found")
+    secrets = findings(docs, labelled).filter("is_secret").groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("candidate").alias(found))
+    secrets = secrets.withColumn(found, F.array_sort(found, lambda a, b: F.length(b) - F.length(a)))
+    joined = docs.join(secrets, docs["doc_id"].cast("long").eqNullSafe(secrets[doc]), "left")
+    clean = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.aggregate(found, F.col("text").cast("string"), lambda t, s: F.replace(t, s, F.lit(mark))))
+    change = {"text": clean}
     if "n_chars" in docs.columns:
-        change["n_chars"] = F.when(F.col("__secrets").isNull(), F.col("n_chars")).otherwise(F.length("__clean")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(change).select(*docs.columns)
+        change["n_chars"] = F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length(clean)).cast(docs.schema["n_chars"].dataType)
+    return joined.withColumns(change).select(*docs.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +15,41 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine (as in tests), one of our own where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     found = spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Folders of stored tables that a ``scratch`` block will remove.
+_made: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables stored in this block at its end, when what was made of them is written elsewhere."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            discard(spark, path)
+        del _made[before:]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any store that Spark writes to."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str, free: bool = False, by: str | None = None) -> DataFrame:
     """``df`` written as a table of the shared folder and read back: cuts the lineage, survives lost executors.
 
@@ -31,7 +57,8 @@ def stored(df: DataFrame, name: str, free: bool = False, by: str | None = None)
     its garbage, which this asks for.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{name}"
+    _made.append(f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}")
+    path = f"{_made[-1]}/{name}"
     df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     if free:
         gc.collect()

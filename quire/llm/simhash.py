@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quire.llm.components import star_components
-from quire.llm.shared import stored, text_of
+from quire.llm.shared import spare, stored, text_of
 
 BITS, RADIUS, SEED = 64, 3, 42
 
@@ -123,6 +123,10 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its near-duplicates; rows without doc_id stay, and rows that share a doc_id stay or go together."""
-    kept = near_groups(docs).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
+    """The rows of docs whose doc_id is the smallest of its near-duplicates, with the columns of docs.
+
+    Rows without doc_id stay, and rows that share a doc_id stay or go together.
+    """
+    own = spare(docs, "own")[0]
+    kept = near_groups(docs).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[own]), "left_semi")

@@ -50,9 +50,20 @@ def test_licenses(spark, odd_docs, no_docs):
     assert {r["license_id"] for r in licenses.license_scan(odd_docs).collect()} == {None}
     assert licenses.license_scan(no_docs).count() == 0
     mit = licenses.KNOWN[0][1]
-    texts = [mit, "Copyright (c) 2019 Some One\n" + mit.upper().replace('"', "''"), mit + " More.", "First\nreleased under the MIT Licence\nLast"]
+    wrapped = "Intro text here.\n\n// Licensed under the Apache License,\n// Version 2.0.\n//\nand more"
+    texts = [mit, "Copyright (c) 2019 Some One\n" + mit.upper().replace('"', "''"), mit + " More.", "First\nreleased under the MIT Licence\nLast", "MIT License\n\nCopyright (c) 2020 A\n\n" + mit, wrapped]
     got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [r["license_id"] for r in got] == ["MIT", "MIT", None, None] and got[3]["line_licenses"] == "MIT"
+    assert [r["license_id"] for r in got] == ["MIT", "MIT", None, None, "MIT", None]
+    assert got[3]["line_licenses"] == "MIT" and got[5]["line_licenses"] == "Apache-2.0"
+
+
+def test_licenses_of_a_folder(spark, tmp_path):
+    (tmp_path / "GPL-3").write_text("A long text,\nin two lines.")
+    (tmp_path / "X11").write_text("Another text")
+    known = licenses.known_licenses(spark, licenses.known_texts(str(tmp_path)))
+    docs = spark.createDataFrame([(1, "a LONG text in\n two lines"), (2, "x\nanother - text\ny")], "doc_id long, text string")
+    got = licenses.license_scan(docs, known).orderBy("doc_id").collect()
+    assert (got[0]["license_id"], got[1]["line_licenses"]) == ("GPL-3.0", "X11")
 
 
 def test_exact(spark, odd_docs, no_docs):
