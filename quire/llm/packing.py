@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents into sequences, with certified numbers of sequences.
 
 Pieces are dealt to partitions; each packs its own by best-fit decreasing and compares its number of sequences with
-the lower bound of dual feasible functions. Where a partition beats its bound by nothing it is certified; sequences
-with gaps go back into a pool, whose pieces are dealt anew, among all partitions with gaps, and packed again, until
-the pool meets its own bound, stops shrinking or ``rounds`` have passed. Nothing is gathered in one task but a
-partition of ``per_partition`` pieces.
+the lower bound of dual feasible functions. A partition that meets its bound is certified: no packing of its pieces
+has fewer sequences, so it keeps them, but for those at most half full, which pieces of other partitions can still
+join. A partition that is not certified puts all its sequences with gaps into a pool. The pool's pieces are dealt
+anew, among all partitions that gave any, and packed again, until the pool meets its own bound or has no fewer
+sequences than the round before. Nothing is gathered in one task but a partition of ``per_partition`` pieces.
 
 Defined results: a null or empty text is one piece, of the end token alone; repeated rows and doc_ids are packed as
 often as they occur; an empty table gives an empty result; extra columns are not looked at.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -168,24 +170,24 @@ def packer(r: int, capacity: int) -> Callable[[tuple, pd.DataFrame], pd.DataFram
     return packed
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = 40_000, slack: int = 16, rounds: int = 5) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, per_partition: int = 40_000, slack: int = 16) -> DataFrame:
     """Adds sequence_id, offset, free (tokens of that sequence left over) and certified (its partition met its bound).
 
-    slack: sequences with more free tokens than this have a gap; their pieces are exchanged in the next round.
+    slack: sequences of uncertified partitions with more free tokens than this have a gap.
     """
     cut = stored(cut, "pieces")
-    n, done = cut.count(), None
-    for r in range(rounds):
+    n, done, before = cut.count(), None, None
+    gap = F.col("free") > F.when(F.col("certified"), capacity // 2).otherwise(slack)
+    for r in count():
         parts = max(1, -(-n // per_partition))
         deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(r)), F.lit(parts)).alias("part")
 
         now = stored(cut.select("*", deal).groupBy("part").applyInPandas(packer(r, capacity), PACKED), f"round{r}")
-        gaps = now.filter(F.col("free") > slack)
+        gaps = now.filter(gap)
         left, bins = gaps.count(), gaps.filter("offset = 0").count()
-        over = parts == 1 or left in (0, n) or r == rounds - 1 or bins <= gaps.transform(lambda g: certificate(g, capacity)).first()["bound"]
-        keep = now if over else now.filter(F.col("free") <= slack)
+        over = parts == 1 or left == 0 or (before is not None and bins >= before) or bins <= gaps.transform(lambda g: certificate(g, capacity)).first()["bound"]
+        keep = now if over else now.filter(~gap)
         done = keep if done is None else done.unionByName(keep)
         if over:
             return done
-        cut, n = gaps.select(*cut.columns), left
-    return done
+        cut, n, before = gaps.select(*cut.columns), left, bins
