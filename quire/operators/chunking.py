@@ -21,7 +21,8 @@ LINE_KINDS = [
     ("quote", re.compile(r"\s*>")),
     ("list", re.compile(r"\s*(?:[-*+]|\d+[.)])\s+")),
 ]
-RULE = re.compile(r"[\s|:-]*-{2,}[\s|:-]*$")
+#: Fixed value: the line between a table's head and its rows.
+RULE = re.compile(r"^\s*\|?(\s*:?-{2,}:?\s*\|)*\s*:?-{2,}:?\s*\|?\s*$")
 TITLE = re.compile(r"\s*>\s*\*\*")
 WORD = re.compile(r"\w+|[^\w\s]")
 JOIN = " > "

@@ -92,7 +92,24 @@ def parsed_lines(lines: DataFrame, marker: str = "::retake::", column: str = "li
 
 
 def guarded_admins(users: DataFrame) -> DataFrame:
-    """Marks the users that cannot be demoted, disabled or deleted: the only active administrator."""
+    """Marks the users (id, team, role, disabled, actor) that cannot be demoted, disabled or deleted: the only active
+    administrator of a team, and the one who acts."""
     active = (F.col("role") == "admin") & ~F.col("disabled")
     n = F.sum(active.cast("int")).over(Window.partitionBy("team"))
-    return users.withColumn("guarded", active & (n <= 1))
+    return users.withColumn("guarded", (active & (n <= 1)) | F.coalesce(F.col("id") == F.col("actor"), F.lit(False)))
+
+
+#: What counts as open in the view of a queue.
+OPEN_STATUS = ("flagged", "still_flagged", "in_progress")
+
+
+def shown(items: DataFrame, books: list | None, issue: str | None, status: str | None, page: str, descending: bool = False) -> DataFrame:
+    """The items (book, status, issues, and a page column) that a view with these filters shows, with their place in each book."""
+    if books:
+        items = items.filter(F.col("book").isin(*books))
+    if issue:
+        items = items.filter(F.array_contains("issues", issue))
+    if status:
+        items = items.filter(F.col("status").isin(*OPEN_STATUS) if status == "open" else F.col("status") == status)
+    order = F.desc(page) if descending else F.asc(page)
+    return items.withColumn("place", F.row_number().over(Window.partitionBy("book").orderBy(order)).cast("long"))

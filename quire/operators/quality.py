@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 FIGURE = r"(?i)\[?fig(?:ure)?\.?\s*(\d+)"
 
@@ -27,3 +28,19 @@ def page_rules(markdown: Column, figures: Column, entities: Column, quality: Col
         "poor image without retake": quality["image_quality"].isin("poor", "unusable") & ~quality["retake_recommended"],
         "retake without reason": quality["retake_recommended"] & (F.coalesce(F.trim(quality["retake_reason"]), F.lit("")) == ""),
     }
+
+
+def unverified(uses: DataFrame, known: DataFrame) -> DataFrame:
+    """name, uses and place of the names that are not known, the most used first, of equals by name."""
+    n = uses.join(known.select("name").distinct(), "name", "left_anti").groupBy("name").agg(F.count("*").alias("uses"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("uses"), "name")).cast("long"))
+
+
+def shifted_figures(parts: DataFrame) -> DataFrame:
+    """Parts of a page (page, part, figures: how many, markdown) with shift added and figure marks renumbered by it."""
+    before = Window.partitionBy("page").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifted = parts.withColumn("shift", F.coalesce(F.sum("figures").over(before), F.lit(0)).cast("long"))
+    pieces = F.split("markdown", r"(?=\[FIGURE \d)")
+    number = lambda x: F.regexp_extract(x, r"^\[FIGURE (\d+)", 1)
+    moved = F.transform(pieces, lambda x: F.when(number(x) != "", F.concat(F.lit("[FIGURE "), number(x).try_cast("long") + F.col("shift"), F.substring(x, F.length(number(x)) + 9, F.length(x)))).otherwise(x))
+    return shifted.withColumn("markdown", F.when(F.col("shift") == 0, F.col("markdown")).otherwise(F.array_join(moved, "")))

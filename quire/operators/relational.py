@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def latest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
@@ -53,9 +57,19 @@ def expanded_ranges(specs: DataFrame, spec: str) -> DataFrame:
     return first.select("page", F.row_number().over(Window.orderBy("at")).alias("pos"))
 
 
-def missing_numbers(rows: DataFrame, value: str, bounds: DataFrame) -> DataFrame:
-    """Numbers between lo and hi (one row) that no row has."""
-    return bounds.select(F.explode(F.sequence("lo", "hi")).alias(value)).join(rows.select(value), value, "left_anti")
+def gaps(rows: DataFrame, value: str, lo: int, hi: int, block: int = 1 << 16) -> DataFrame:
+    """Runs of the numbers from lo to hi that no row has: first, last, n.
+
+    A gap lies between neighbours: within blocks of numbers, and between the ends of blocks, of which there are few.
+    """
+    x = F.col("x")
+    own = rows.select(F.col(value).cast("long").alias("x")).filter(x.between(lo, hi)).distinct().withColumn("b", F.floor(x / block))
+    inside = own.withColumn("before", F.lag("x").over(Window.partitionBy("b").orderBy("x"))).filter("before is not null")
+    ends = own.groupBy("b").agg(F.min("x").alias("x"), F.max("x").alias("end"))
+    edges = ends.select("x", F.coalesce(F.lag("end").over(Window.orderBy("b")), F.lit(lo - 1)).alias("before"))
+    last = ends.agg(F.lit(hi + 1).alias("x"), F.coalesce(F.max("end"), F.lit(lo - 1)).alias("before"))
+    both = inside.select("x", "before").unionByName(edges).unionByName(last).filter("x - before > 1")
+    return both.select((F.col("before") + 1).alias("first"), (x - 1).alias("last"), (x - F.col("before") - 1).alias("n"))
 
 
 def mode_by_first(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -85,10 +99,25 @@ def chapter_ends(headings: DataFrame, book: str, page: str, last: Column | None
     return headings.withColumn("to_page", F.greatest(F.col(page), end))
 
 
+def within(points: DataFrame, intervals: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """All intervals (lo, hi) of a key that hold each point of it.
+
+    They meet on blocks of numbers as wide as the interval: one of at most 2**level numbers lies in two such blocks.
+    Points look at one block of each level that there is, so that no pairs are made that lie far from each other.
+    """
+    level = F.ceil(F.log2(F.greatest(F.expr("hi - lo + 1"), F.lit(1)))).cast("int")
+    spans = intervals.filter("lo <= hi").withColumn("__level", level)
+    block = lambda c: F.expr(f"shiftright(cast({c} as bigint), __level)")
+    dealt = spans.withColumn("__block", F.explode(F.array_distinct(F.array(block("lo"), block("hi")))))
+    levels = spans.select("__level").distinct()  # at most 64
+    asked = points.join(F.broadcast(levels)).withColumn("__block", block(at))
+    return asked.join(dealt, [*keys, "__level", "__block"]).filter(F.col(at).between(F.col("lo"), F.col("hi"))).drop("__level", "__block")
+
+
 def narrowest(points: DataFrame, intervals: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The shortest interval (lo, hi, name) that holds each point."""
-    both = points.join(intervals, keys).filter(F.col(at).between(F.col("lo"), F.col("hi")))
-    return top_n(both, [*keys, at], [F.expr("hi - lo").asc(), F.asc("lo"), F.asc("name")], 1).drop("rank")
+    """The shortest interval (lo, hi, name) that holds each point; of equals the first, then the smaller name."""
+    best = F.min(F.struct(F.expr("hi - lo").alias("width"), "lo", "name", "hi")).alias("i")
+    return within(points, intervals, keys, at).groupBy(*keys, at).agg(best).select(*keys, at, "i.lo", "i.hi", "i.name")
 
 
 def compared(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -101,9 +130,10 @@ def compared(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) ->
 
 def longest_prefix(rows: DataFrame, prices: DataFrame, name: str) -> DataFrame:
     """Joins the price whose prefix is the longest that the name starts with; prices is a fixed small table."""
-    both = rows.join(F.broadcast(prices), F.col(name).startswith(F.col("prefix")), "left")
-    w = Window.partitionBy(*rows.columns).orderBy(F.length("prefix").desc_nulls_last())
-    return both.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    names = rows.select(name).distinct()
+    fits = names.join(F.broadcast(prices), F.col(name).startswith(F.col("prefix")))
+    best = fits.groupBy(name).agg(F.max_by(F.struct(*prices.columns), F.length("prefix")).alias("__price"))
+    return rows.join(best, name, "left").select(*rows.columns, "__price.*")
 
 
 def chains(members_of: DataFrame, item: str, shared: str, rounds: int = 50) -> DataFrame:
@@ -129,7 +159,7 @@ def chains(members_of: DataFrame, item: str, shared: str, rounds: int = 50) -> D
 def merged_parts(parts: DataFrame, key: str, ordinals: dict[str, list[str]]) -> DataFrame:
     """Parts of one page put together: first text that is there, worst of ordinal values, any flag, all issues, summed counts."""
     worst = [F.element_at(F.array(*map(F.lit, order)), F.max(F.array_position(F.array(*map(F.lit, order)), F.col(c))).cast("int")).alias(c) for c, order in ordinals.items()]
-    return parts.groupBy(key).agg(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("part"))).alias("title"), *worst, F.coalesce(F.bool_or("flag"), F.lit(False)).alias("flag"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("issues")))).alias("issues"), F.sum("n").alias("n"))
+    return parts.groupBy(key).agg(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("part"))).alias("title"), *worst, F.coalesce(F.bool_or("flag"), F.lit(False)).alias("flag"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("issues")))).alias("issues"), F.sum("n").alias("n"))
 
 
 def table_stats(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -157,7 +187,46 @@ def sessions(events: DataFrame, key: str, at: str, gap_seconds: int) -> DataFram
     return events.withColumn("__new", new).withColumn("session", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def admitted(rows: DataFrame, day: str, order: list[str], cost: str, budget: float) -> DataFrame:
-    """Marks the rows of a day that start within its budget, taken in order."""
-    w = Window.partitionBy(day).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("spent", F.round(F.sum(F.coalesce(F.col(cost), F.lit(0.0))).over(w), 6)).withColumn("admitted", F.col("spent") <= budget)
+def admission(groups: DataFrame, spent: DataFrame, budget: float, by: list[str], order: list[str]) -> DataFrame:
+    """Adds spent, waits and claimed to groups of work (kind, fresh, estimate): who may start next.
+
+    A new retake waits where the money really spent and its own estimate exceed the budget; what was begun before and
+    rollbacks never wait, and those that wait hold up nobody behind them. The first that does not wait is claimed.
+    """
+    known = groups.join(spent.select(*by, "spent"), by, "left").withColumn("spent", F.coalesce("spent", F.lit(0.0)))
+    over = (F.col("kind") == "retake") & F.col("fresh") & (F.col("spent") + F.coalesce("estimate", F.lit(0.0)) > budget)
+    marked = known.withColumn("waits", over)
+    first = marked.filter(~F.col("waits")).groupBy(*by).agg(F.min(F.struct(*order)).alias("__first"))
+    same = F.coalesce(~F.col("waits") & F.struct(*order).eqNullSafe(F.col("__first")), F.lit(False))
+    return marked.join(first, by, "left").withColumn("claimed", same).drop("__first")
+
+
+def folded(rows: DataFrame, keys: list[str], order: list[str], value: str, step: Callable, start: object, out: str) -> DataFrame:
+    """Adds the boolean ``out`` by a fold over each key's rows in order: step(state, value) gives the next state and the mark.
+
+    Rows are dealt by key and stream past in order, so that a key may have any number of them.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, start
+        for b in batches:
+            marks = []
+            for key, x in zip(b[keys].itertuples(index=False, name=None), b[value]):
+                if key != last:
+                    last, state = key, start
+                state, mark = step(state, x)
+                marks.append(mark)
+            yield b.assign(**{out: marks})
+
+    schema = StructType([*rows.schema.fields, StructField(out, BooleanType())])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def touches(rows: DataFrame, keys: list[str], seconds: str, least: int = 3600) -> DataFrame:
+    """Adds touched: the uses of a session that renew it, the first and then no more than one in ``least`` seconds."""
+
+    def step(last: float | None, now: float) -> tuple[float | None, bool]:
+        due = last is None or now - last >= least
+        return (now if due else last), due
+
+    return folded(rows, keys, [seconds], seconds, step, None, "touched")

@@ -103,12 +103,49 @@ def session_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.date_format(F.min("ts"), STAMP).alias("started"))
 
 
-@query("""WITH s AS (SELECT event_id, ts::DATE AS day, round(sum(coalesce(value, 0)) OVER (PARTITION BY ts::DATE ORDER BY ts ROWS UNBOUNDED PRECEDING), 4) AS spent FROM events)
-SELECT strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (spent <= 500) AS admitted, count(*) AS n, max(spent) AS spent FROM s GROUP BY day""")
+SPENT_SQL = "spent AS (SELECT ts::DATE AS day, round(sum(coalesce(value, 0)), 4) AS spent FROM events WHERE event_type = 'purchase' GROUP BY 1)"
+
+
+def day_spent(rows: DataFrame) -> DataFrame:
+    """What was really spent on each day, over all books."""
+    return rows.filter("event_type = 'purchase'").groupBy("day").agg(F.round(F.sum(F.coalesce("value", F.lit(0.0))), 4).alias("spent"))
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+
+
+@query(f"WITH {SPENT_SQL} SELECT strftime(day, '%Y-%m-%d') AS day, spent FROM spent")
+def spent_today(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return day_spent(dated(spark, sf_dir))
+
+
+@query(f"""WITH {SPENT_SQL}, g AS (SELECT event_id, ts, ts::DATE AS day, coalesce(value, 0) AS estimate, event_id % 7 = 0 AS back, event_id % 3 <> 0 AS fresh FROM events WHERE event_type = 'click'),
+m AS (SELECT g.*, coalesce(spent, 0) AS spent, NOT back AND fresh AND coalesce(spent, 0) + estimate > 2000 AS waits FROM g LEFT JOIN spent USING (day))
+SELECT event_id, spent, waits, NOT waits AND row_number() OVER (PARTITION BY day, waits ORDER BY ts, event_id) = 1 AS claimed FROM m""")
 def daily_budget_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    marked = relational.admitted(rows, "day", ["ts"], "value", 500.0).withColumn("spent", F.round("spent", 4))
-    return marked.groupBy("day").agg(F.count_if(F.col("spent") <= 500).alias("admitted"), F.count("*").alias("n"), F.max("spent").alias("spent"))
+    """Clicks as confirmed work, purchases as money spent: which must wait for the next day, and which starts next."""
+    rows = dated(spark, sf_dir)
+    kind = F.when(F.col("event_id") % 7 == 0, "rollback").otherwise("retake")
+    groups = rows.filter("event_type = 'click'").select("event_id", "ts", "day", F.col("value").alias("estimate"), kind.alias("kind"), (F.col("event_id") % 3 != 0).alias("fresh"))
+    return relational.admission(groups, day_spent(rows), 2000.0, ["day"], ["ts", "event_id"]).select("event_id", "spent", "waits", "claimed")
+
+
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+w AS (SELECT event_id, user_id, r, s AS last, true AS touched FROM o WHERE r = 1 UNION ALL SELECT o.event_id, o.user_id, o.r, CASE WHEN o.s - w.last >= 86400 THEN o.s ELSE w.last END, o.s - w.last >= 86400 FROM w JOIN o ON o.user_id = w.user_id AND o.r = w.r + 1)
+SELECT event_id, touched FROM w""")
+def session_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of a session that renew it: no more than one a day here."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
+    return relational.touches(rows, ["user_id"], "s", 86_400).select("event_id", "touched")
+
+
+@query(STATUS_SQL + """ SELECT c_custkey, c_nationkey AS book, s.status, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS place FROM customer JOIN s USING (c_custkey)
+WHERE s.status IN ('flagged', 'still_flagged', 'in_progress') AND list_contains(string_split(c_mktsegment, 'I'), 'BU') AND c_nationkey IN (3, 5, 7)""")
+def queue_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the queue shows for some books, one issue and open work, last pages first."""
+    rows = statuses(spark, sf_dir).join(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.col("c_nationkey").alias("book"), "status", F.split("c_mktsegment", "I").alias("issues"))
+    return jobs.shown(rows, [3, 5, 7], "BU", "open", "c_custkey", descending=True).select("c_custkey", "book", "status", "place")
 
 
 @query("SELECT round(median(value), 3) AS median, count(*) AS n FROM (SELECT value FROM events WHERE event_type = 'purchase' AND value IS NOT NULL ORDER BY ts DESC LIMIT 300)")
@@ -154,10 +191,13 @@ def cost_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(priced), "event_type").groupBy("event_type", "prefix").agg(F.round(F.sum(usd), 4).alias("usd"))
 
 
-@query("""SELECT s_nationkey, s_suppkey, s_acctbal > 0 AND count(*) FILTER (s_acctbal > 0) OVER (PARTITION BY s_nationkey) <= 2 AS guarded FROM supplier""")
+@query("""WITH u AS (SELECT s_suppkey AS id, s_nationkey AS team, s_acctbal > 6000 AS admin, s_suppkey % 5 = 0 AS disabled, s_suppkey % 3 AS actor FROM supplier)
+SELECT id, team, (admin AND NOT disabled AND count(*) FILTER (admin AND NOT disabled) OVER (PARTITION BY team) <= 1) OR id = actor AS guarded FROM u""")
 def guarded_admins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count_if(F.col("s_acctbal") > 0).over(Window.partitionBy("s_nationkey"))
-    return table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", ((F.col("s_acctbal") > 0) & (n <= 2)).alias("guarded"))
+    """Suppliers as users of teams by nation, each changed by one of three actors."""
+    key = F.col("s_suppkey")
+    users = table(spark, sf_dir, "supplier").select(key.alias("id"), F.col("s_nationkey").alias("team"), F.when(F.col("s_acctbal") > 6000, "admin").otherwise("editor").alias("role"), (key % 5 == 0).alias("disabled"), (key % 3).alias("actor"))
+    return jobs.guarded_admins(users).select("id", "team", "guarded")
 
 
 LOG_SQL = """WITH log AS (SELECT event_id AS seq, user_id AS page, 'v' || (event_id % 40) AS version, event_type, ts FROM events),
@@ -203,6 +243,6 @@ def approval_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Submitted jobs by batch or alone: the first six pages shown, and the sum of estimates."""
     jobs_ = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'")
     batch = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("b"), F.col("o_custkey") % 40))
-    grouped = jobs_.groupBy(F.coalesce(batch, F.col("o_orderkey").cast("string")).alias("grp"))
-    six = F.array_join(F.slice(F.array_sort(F.collect_list("o_orderkey")), 1, 6), ",")
-    return grouped.agg(F.count("*").alias("jobs"), six.alias("shown"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    rows = jobs_.select(F.coalesce(batch, F.col("o_orderkey").cast("string")).alias("grp"), "o_orderkey", "o_totalprice")
+    six = relational.top_n(rows, ["grp"], [F.asc("o_orderkey")], 6).groupBy("grp").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("shown"))
+    return rows.groupBy("grp").agg(F.count("*").alias("jobs"), F.round(F.sum("o_totalprice"), 2).alias("total")).join(six, "grp").select("grp", "jobs", "shown", "total")

@@ -40,16 +40,85 @@ def test_lines(spark):
     assert {(r["kind"], r["body"]) for r in jobs.parsed_lines(rows).collect()} == {("event", '{"a": 1}'), ("log", "plain"), ("log", "::retake:: {broken")}
 
 
-SAMPLE = "# List\r\n## One\r\n- [ ] Talk to **Corhyn** <!-- id: m001 -->\r\n- [ ] Take Deathroot (3)\r\nA note\r\n"
+SAMPLE = "\r\n## First part\r\n\r\n- Ask **Odo** at the mill <!-- q:m002 -->\r\n  \r\n- ***** Cross the ford and see **Ulla.** Then find **Bern**\r\n### Below\r\nNote: read this.\r\n- ** Ask **Odo** and **Tilda**, then **Bern, Ulla,** and **Kuno's hat**\r\n- Brass Key #3 behind the wall\r\n- **Mason** Handbook #2: up the stairs\r\n## Next\r\n#### Deep\r\n- last\r\n"
 
 
 def test_checklists(spark):
-    rows = checklists.parsed(spark.createDataFrame([("f", SAMPLE)], "file string, body string")).orderBy("ord").collect()
-    assert [r["type"] for r in rows] == ["heading", "heading", "item", "item", "note"]
-    assert rows[2]["id"] == "m001" and rows[2]["bold"] == ["Corhyn"] and rows[3]["path"] == ["List", "One"]
-    done = checklists.with_ids(SAMPLE)
-    assert "Deathroot (3) <!-- id: m002 -->\r\n" in done and checklists.with_ids(done) == done
-    assert checklists.collectible("Deathroot (3)") == ("Deathroot", 3) and checklists.collectible("Deathroot") is None
+    files = spark.createDataFrame([("f", SAMPLE)], "file string, body string")
+    rows = checklists.parsed(files, ["*****", "**"]).orderBy("ord").collect()
+    assert [r["type"] for r in rows] == ["heading", "item", "item", "heading", "note", "item", "item", "item", "heading", "heading", "item"]
+    items = [r for r in rows if r["type"] == "item"]
+    assert items[0]["id"] == "m002" and items[0]["text"] == "Ask **Odo** at the mill" and items[0]["marker"] is None
+    assert items[1]["marker"] == "*****" and items[1]["text"].startswith("Cross") and items[1]["bold"] == ["Ulla", "Bern"]
+    assert items[2]["marker"] == "**" and items[2]["path"] == ["First part", "Below"] and items[2]["bold"] == ["Odo", "Tilda", "Bern", "Ulla", "Kuno"]
+    assert items[4]["marker"] is None and items[5]["path"] == ["Next", "Deep"]
+    counted = checklists.parsed(files, ["*****", "**"]).filter("type = 'item'").orderBy("ord").select(checklists.collectible(F.col("text")).alias("c")).collect()
+    assert [r["c"] and tuple(r["c"]) for r in counted] == [None, None, None, ("Brass Key", 3), ("Mason Handbook", 2), None]
+    done = checklists.with_ids(files, "m", ["*****", "**"]).first()
+    again = checklists.parsed(spark.createDataFrame([("f", done["body"])], "file string, body string"), ["*****", "**"]).orderBy("ord")
+    assert done["added"] == 5 and [r["id"] for r in again.collect() if r["type"] == "item"] == [f"m00{i}" for i in range(2, 8)]
+    assert "\n" not in done["body"].replace("\r\n", "") and checklists.with_ids(spark.createDataFrame([("f", done["body"])], "file string, body string"), "m").first()["added"] == 0
+    wrong = spark.createDataFrame([("a", "- one <!-- q:m001 -->\n- two <!-- q:m001 -->"), ("b", "- one\n  more of it")], "file string, body string")
+    assert {r["file"]: r["error"] for r in checklists.with_ids(wrong, "m").collect()} == {"a": "an id stands twice", "b": "an indented line stands below an item"}
+
+
+def test_overrides(spark):
+    kind = "item string, pages array<struct<book:string,page:int>>"
+    items = spark.createDataFrame([("a",), ("b",), ("c",)], "item string")
+    rows, errors = checklists.with_overrides(items, spark.createDataFrame([("a", [("v1", 3)]), ("b", [("v1", 4)])], kind), spark.createDataFrame([("b", [("v9", 1)]), ("z", [])], kind), ["v1"])
+    assert {r["item"]: ([tuple(p) for p in r["pages"]], r["overridden"]) for r in rows.collect()} == {"a": ([("v1", 3)], False), "b": ([("v9", 1)], True), "c": ([], False)}
+    assert {tuple(r) for r in errors.collect()} == {("z", "unknown item"), ("b", "foreign book v9")}
+
+
+def test_admission(spark):
+    rows = [(1, "d", 400.0, "retake", True), (2, "d", 200.0, "retake", True), (3, "d", 50.0, "retake", True), (4, "d", 900.0, "retake", False), (5, "d", 900.0, "rollback", True)]
+    groups = spark.createDataFrame(rows, "n int, day string, estimate double, kind string, fresh boolean")
+    spent = spark.createDataFrame([("d", 350.0)], "day string, spent double")
+    got = {r["n"]: (r["waits"], r["claimed"]) for r in relational.admission(groups, spent, 500.0, ["day"], ["n"]).collect()}
+    assert got == {1: (True, False), 2: (True, False), 3: (False, True), 4: (False, False), 5: (False, False)}
+
+
+def test_prices_keep_repeated_rows(spark):
+    prices = spark.createDataFrame([("ab", 1.0), ("abc", 2.0)], "prefix string, usd double")
+    got = relational.longest_prefix(spark.createDataFrame([("abcd",), ("abcd",), ("x",)], "name string"), prices, "name")
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([("abcd", "abc", 2.0)] * 2 + [("x", None, None)], "name string, prefix string, usd double").collect()))
+
+
+def test_intervals_and_gaps(spark):
+    import random
+
+    rng = random.Random(3)
+    spans = [(rng.choice("ab"), lo := rng.randrange(-50, 500), lo + rng.choice([0, 1, 3, 40, 300]), f"n{i}") for i in range(120)]
+    points = [(k, p) for k in "ab" for p in range(-60, 560, 7)]
+    got = relational.narrowest(spark.createDataFrame(points, "k string, p long"), spark.createDataFrame(spans, "k string, lo long, hi long, name string"), ["k"], "p").collect()
+    want = {}
+    for k, p in points:
+        if own := [(hi - lo, lo, name) for key, lo, hi, name in spans if key == k and lo <= p <= hi]:
+            want[k, p] = min(own)[2]
+    assert {(r["k"], r["p"]): r["name"] for r in got} == want
+    for own in ([], [0], [9], [3, 4, 8], list(range(10)), [-5, 2, 99]):
+        rows = spark.createDataFrame([(i,) for i in own], "x long")
+        missing = [i for i in range(10) if i not in own]
+        found = relational.gaps(rows, "x", 0, 9, block=4).collect()
+        assert sorted(i for r in found for i in range(r["first"], r["last"] + 1)) == missing and all(r["n"] == r["last"] - r["first"] + 1 for r in found)
+
+
+def test_chains_of_a_whole_table(spark, sf_dir):
+    from quire import plans
+
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    by_part = {}
+    for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        a, b = top(r[0]), top(by_part.setdefault(r[1], r[0]))
+        root[max(a, b)] = min(a, b)
+    got = {r["item"]: r["chain"] for r in plans.queries()["connected_chains"](spark, sf_dir).collect()}
+    assert got == {x: top(x) for x in list(root)}
 
 
 def test_chains(spark):
