@@ -24,7 +24,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def sign_bits(a: Column, first: int = 0, bits: int = 32) -> Column:
     """A long with a bit for each positive component of a stretch of a vector."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda s, i: s * 2 + F.when(F.element_at(a, i + first + 1) > 0, 1).otherwise(0))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda s, i: F.shiftleft(s, 1).bitwiseOR(F.when(F.element_at(a, i + first + 1) > 0, 1).otherwise(0).cast("long")))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -6,15 +6,18 @@ treats all rows as one question's.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quire.functions import numbers, text
+from quire.functions import text
+from quire.operators import relational
 
 
 @dataclass(frozen=True)
@@ -61,27 +64,37 @@ def trigram_matches(candidates: DataFrame, names: DataFrame, threshold: float =
     return both.withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).filter(F.col("similarity") >= threshold).select("q", "norm", "name_norm", "similarity")
 
 
+def asked(df: DataFrame) -> list[str]:
+    """The question's column where there is one."""
+    return ["q"] if "q" in df.columns else []
+
+
 def drop_widespread(rows: DataFrame, max_pages: int = 40) -> DataFrame:
-    """Without the fuzzy rows of names that fuzzy rows have on more than max_pages pages."""
-    fuzzy = rows.filter("match = 'trigram'")
-    wide = fuzzy.groupBy("name_norm").agg(F.countDistinct("book", "page").alias("n")).filter(F.col("n") > max_pages)
-    return rows.filter("match <> 'trigram'").unionByName(fuzzy.join(wide.select("name_norm"), "name_norm", "left_anti").select(*rows.columns))
+    """Without the fuzzy rows of names that fuzzy rows of a question have on more than max_pages pages."""
+    fuzzy, keys = rows.filter("match = 'trigram'"), [*asked(rows), "name_norm"]
+    wide = fuzzy.groupBy(*keys).agg(F.countDistinct("book", "page").alias("n")).filter(F.col("n") > max_pages)
+    return rows.filter("match <> 'trigram'").unionByName(fuzzy.join(wide.select(*keys), keys, "left_anti").select(*rows.columns))
 
 
 def one_hop(found: DataFrame, entities: DataFrame, links: DataFrame) -> DataFrame:
-    """Names one link away, within a book: links of found names and names that link to them. links: book, source, target."""
-    f = found.select("book", "name_norm").distinct()
-    forward = f.join(links, (f["book"] == links["book"]) & (f["name_norm"] == links["source"])).select(f["book"], F.col("target").alias("name_norm"))
-    back = f.join(links, (f["book"] == links["book"]) & (f["name_norm"] == links["target"])).select(f["book"], F.col("source").alias("name_norm"))
-    return entities.join(forward.union(back).distinct(), ["book", "name_norm"], "left_semi").select("book", "name_norm", "page").distinct()
+    """Names one link away, within a book: links of found names and names that link to them.
+
+    found: name_norm, and q and book where questions or books are to be kept apart; links: book, source, target.
+    """
+    q, on = asked(found), [c for c in ("book", "name_norm") if c in found.columns]
+    f = found.select(*q, *on).distinct()
+    forward = f.join(links.withColumnRenamed("source", "name_norm"), on).select(*q, "book", F.col("target").alias("name_norm"))
+    back = f.join(links.withColumnRenamed("target", "name_norm"), on).select(*q, "book", F.col("source").alias("name_norm"))
+    return entities.join(forward.union(back).distinct(), ["book", "name_norm"]).select(*q, "book", "name_norm", "page").distinct()
 
 
 def region_pages(found: DataFrame, pages: DataFrame) -> DataFrame:
-    """All pages of the regions that found rows lie in or are named after, in the same book."""
-    near = found.join(pages, ["book", "page"]).select("book", F.col("region").alias("name"))
-    named = found.select("book", "name")
+    """All pages of the regions that found rows lie in or are named after (name, null if no region), in the same book."""
+    q = asked(found)
+    near = found.join(pages, ["book", "page"]).select(*q, "book", F.col("region").alias("name"))
+    named = found.select(*q, "book", "name")
     regions = near.union(named).filter("name is not null").distinct().withColumnRenamed("name", "region")
-    return pages.join(regions, ["book", "region"]).select("book", "page", "region").distinct()
+    return pages.join(regions, ["book", "region"]).select(*q, "book", "page", "region").distinct()
 
 
 def nearest_pages(candidates: DataFrame, reference: DataFrame, cap: int = 12) -> DataFrame:
@@ -90,13 +103,14 @@ def nearest_pages(candidates: DataFrame, reference: DataFrame, cap: int = 12) ->
     The distance to the nearest reference is that to the last one before or the first one after: two running maxima
     over candidates and references in page order, no pairs of them.
     """
-    both = candidates.select("book", "page", F.lit(0).alias("ref")).distinct().unionByName(reference.select("book", "page", F.lit(1).alias("ref")).distinct())
+    q = asked(candidates)
+    both = candidates.select(*q, "book", "page", F.lit(0).alias("ref")).distinct().unionByName(reference.select(*q, "book", "page", F.lit(1).alias("ref")).distinct())
     here = F.when(F.col("ref") == 1, F.col("page"))
-    up = Window.partitionBy("book").orderBy("page").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy("book").orderBy("page").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    up = Window.partitionBy(*q, "book").orderBy("page").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy(*q, "book").orderBy("page").rangeBetween(Window.currentRow, Window.unboundedFollowing)
     far = both.withColumn("d", F.least(F.col("page") - F.max(here).over(up), F.min(here).over(down) - F.col("page"))).filter("ref = 0")
-    first = Window.partitionBy("book").orderBy(F.col("d").asc_nulls_last(), "page")
-    return far.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= cap).select("book", "page", F.col("d").alias("distance"))
+    first = Window.partitionBy(*q, "book").orderBy(F.col("d").asc_nulls_last(), "page")
+    return far.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= cap).select(*q, "book", "page", F.col("d").alias("distance"))
 
 
 def route_span(endpoints: DataFrame, max_span: int = 24) -> DataFrame:
@@ -104,13 +118,14 @@ def route_span(endpoints: DataFrame, max_span: int = 24) -> DataFrame:
 
     Closest pairs at most max_span apart are found by joining pages with those of the next max_span numbers.
     """
-    a = endpoints.select(F.col("endpoint").alias("i"), "book", F.col("page").alias("p")).distinct()
-    b = endpoints.select(F.col("endpoint").alias("j"), "book", F.col("page").alias("o")).distinct()
+    q = asked(endpoints)
+    a = endpoints.select(*q, F.col("endpoint").alias("i"), "book", F.col("page").alias("p")).distinct()
+    b = endpoints.select(*q, F.col("endpoint").alias("j"), "book", F.col("page").alias("o")).distinct()
     reach = b.withColumn("block", F.explode(F.array(F.floor(F.col("o") / max_span) - 1, F.floor(F.col("o") / max_span), F.floor(F.col("o") / max_span) + 1)))
-    near = a.withColumn("block", F.floor(F.col("p") / max_span)).join(reach, ["book", "block"]).filter((F.col("i") < F.col("j")) & (F.col("p") != F.col("o")))
-    near = near.select("i", "j", "book", F.least("p", "o").alias("lo"), F.greatest("p", "o").alias("hi")).filter(F.col("hi") - F.col("lo") <= max_span)
-    best = near.groupBy("i", "j").agg(F.min(F.struct(F.expr("hi - lo"), "book", "lo", "hi")).alias("b")).select("b.*").filter("hi - lo > 1")
-    return best.select("book", F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1)).alias("page")).distinct()
+    near = a.withColumn("block", F.floor(F.col("p") / max_span)).join(reach, [*q, "book", "block"]).filter((F.col("i") < F.col("j")) & (F.col("p") != F.col("o")))
+    near = near.select(*q, "i", "j", "book", F.least("p", "o").alias("lo"), F.greatest("p", "o").alias("hi")).filter(F.col("hi") - F.col("lo") <= max_span)
+    best = near.groupBy(*q, "i", "j").agg(F.min(F.struct(F.expr("hi - lo"), "book", "lo", "hi")).alias("b")).select(*q, "b.*").filter("hi - lo > 1")
+    return best.select(*q, "book", F.explode(F.sequence(F.col("lo") + 1, F.col("hi") - 1)).alias("page")).distinct()
 
 
 def select_spans(rows: DataFrame) -> DataFrame:
@@ -136,25 +151,78 @@ def select_spans(rows: DataFrame) -> DataFrame:
 # --- search -------------------------------------------------------------------------------------------------------
 
 
-def vector_top(queries: DataFrame, vectors: DataFrame, k: int = 40, vec: str = "embedding") -> DataFrame:
-    """The k vectors of largest cosine for each query (q, qv), ties by key. queries is a small, stated set."""
-    scored = vectors.join(F.broadcast(queries.select("q", "qv"))).withColumn("score", F.round(numbers.cosine(F.col(vec), F.col("qv")), 6))
+def vector_top(queries: DataFrame, vectors: DataFrame, k: int = 40, vec: str = "embedding", block: int = 4096) -> DataFrame:
+    """The k vectors of largest cosine for each query (q, qv), ties by key.
+
+    The vectors are read once for every ``block`` queries, which go to the tasks as one matrix; a task multiplies its
+    batches with it and keeps k a query, so that few rows are shuffled.
+    """
+    own = queries.select("q", "qv").filter("qv is not null")
+    blocks = max(1, -(-own.count() // block))
+    part = F.pmod(F.xxhash64("q"), F.lit(blocks))
+    tops = None
+    for b in range(blocks):
+        rows = own.filter(part == b).collect()
+        q, m = np.array([r["q"] for r in rows], dtype=np.int64), np.array([r["qv"] for r in rows], dtype=np.float64)
+        top = vectors.select("key", F.col(vec).cast("array<double>").alias("v")).filter("v is not null").mapInPandas(best_of_batches(q, m, k, cosines), "q long, key long, score double")
+        tops = top if tops is None else tops.unionByName(top)
     w = Window.partitionBy("q").orderBy(F.desc("score"), "key")
-    return scored.filter("score is not null").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "key", "score", "rank")
+    return tops.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "key", "score", "rank")
+
+
+def best_of_batches(q: np.ndarray, m: np.ndarray, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For mapInPandas: of each batch of rows (key, v) the k of largest score(m, rows) for each row of m, ties by key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b) or not len(q):
+                continue
+            keys, scores = b["key"].to_numpy(), score(m, np.array(b["v"].tolist()))
+            order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, : min(k, len(keys))]
+            out = pd.DataFrame({"q": np.repeat(q, order.shape[1]), "key": keys[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
+            yield out[np.isfinite(out["score"])]
+
+    return run
+
+
+def cosines(m: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rounded to six digits; undefined for zero vectors."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.round((m @ x.T) / np.linalg.norm(m, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :], 6)
+
+
+def photo_matches(photos: DataFrame, pages: DataFrame, most: int = 14, margin: int = 6, block: int = 4096) -> DataFrame:
+    """key, other, distance, margin, same: the page whose hash is nearest to each photo's, how much farther the next one
+    is (null if there is none), and whether both tell that it is the same page. photos, pages: key, h (64 bits)."""
+    blocks = max(1, -(-photos.count() // block))
+    part = F.pmod(F.xxhash64("key"), F.lit(blocks))
+    near = []
+    for b in range(blocks):
+        rows = photos.filter(part == b).select("key", "h").collect()
+        q, m = np.array([r["key"] for r in rows], dtype=np.int64), np.array([r["h"] for r in rows], dtype=np.int64)
+        far = lambda m, x: -np.bitwise_count((m[:, None] ^ x[None, :]).view(np.uint64)).astype(float)
+        near.append(pages.select("key", F.col("h").alias("v")).mapInPandas(best_of_batches(q, m, 3, far), "q long, key long, score double"))
+    near = reduce(DataFrame.unionByName, near).filter("q <> key").select("q", "key", (-F.col("score")).cast("long").alias("distance"))
+    w = Window.partitionBy("q").orderBy("distance", "key")
+    best = near.withColumn("r", F.row_number().over(w)).filter("r <= 2").withColumn("margin", F.lead("distance").over(w) - F.col("distance")).filter("r = 1")
+    same = (F.col("distance") <= most) & (F.col("margin").isNull() | (F.col("margin") >= margin))
+    return best.select(F.col("q").alias("key"), F.col("key").alias("other"), "distance", "margin", same.alias("same"))
 
 
 def postings(chunks: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """key, lexeme, weight: positions of lexemes summed by chunk; weights by column (headings count more than text)."""
-    parts = [chunks.select("key", F.explode(text.tokens(F.col(c))).alias("lexeme"), F.lit(w).alias("w")) for c, w in weights.items()]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows.groupBy("key", "lexeme").agg(F.sum("w").alias("weight"))
+    """key, lexeme, weight: one row a position of a lexeme; weights by column (headings count more than text)."""
+    parts = [chunks.select("key", F.explode(text.tokens(F.col(c))).alias("lexeme"), F.lit(w).alias("weight")) for c, w in weights.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def lexical_top(queries: DataFrame, index: DataFrame, k: int = 40) -> DataFrame:
-    """The k chunks with the largest summed weight of a query's lexemes (q, lexeme); any lexeme is enough."""
-    scored = index.join(queries.select("q", "lexeme").distinct(), "lexeme").groupBy("q", "key").agg(F.round(F.sum("weight"), 6).alias("score"))
+def lexical_top(queries: DataFrame, index: DataFrame, k: int = 40, few: int = 100_000) -> DataFrame:
+    """The k chunks with the largest summed weight of a query's lexemes (q, lexeme); any lexeme is enough.
+
+    Positions of lexemes that nobody asks for go before anything is shuffled, as long as ``few`` lexemes are asked for.
+    """
+    wanted = queries.select("q", "lexeme").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= few else wanted
+    scored = index.join(wanted, "lexeme").groupBy("q", "key").agg(F.round(F.sum("weight"), 6).alias("score"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "key")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "key", "score", "rank")
 
@@ -167,12 +235,19 @@ def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
 
 
 def anchor_boost(fused: DataFrame, anchors: DataFrame, own: DataFrame, own_boost: float = 2.0, boost: float = 1.5) -> DataFrame:
-    """Raises the scores of chunks on own pages, else on anchor pages, and ranks anew. fused: q, key, score, page."""
-    flags = anchors.select("page").distinct().withColumn("anchor", F.lit(True)).join(own.select("page").distinct().withColumn("own", F.lit(True)), "page", "full")
-    marked = fused.join(flags, "page", "left")
+    """Raises the scores of chunks on own pages, else on anchor pages, says so in why, and ranks anew.
+
+    Pages are compared by the columns q, book and page that anchors have.
+    """
+    keys = [c for c in ("q", "book", "page") if c in anchors.columns]
+    flags = anchors.select(*keys).distinct().withColumn("anchor", F.lit(True)).join(own.select(*keys).distinct().withColumn("own", F.lit(True)), keys, "full")
+    marked = fused.join(flags, keys, "left")
     times = F.when(F.col("own"), own_boost).when(F.col("anchor"), boost).otherwise(1.0)
     w = Window.partitionBy("q").orderBy(F.desc("score"), "key")
-    return marked.withColumn("score", F.col("score") * times).withColumn("boosted", F.coalesce("own", "anchor", F.lit(False))).drop("own", "anchor").withColumn("place", F.row_number().over(w))
+    marked = marked.withColumn("score", F.col("score") * times).withColumn("boosted", F.coalesce("own", "anchor", F.lit(False)))
+    if "why" in fused.columns:
+        marked = marked.withColumn("why", F.when(F.col("boosted"), F.array_append("why", F.lit("anchor"))).otherwise(F.col("why")))
+    return marked.drop("own", "anchor").withColumn("place", F.row_number().over(w))
 
 
 def rerank_head(fused: DataFrame, reranked: DataFrame, head: int = 30) -> DataFrame:
@@ -184,80 +259,226 @@ def rerank_head(fused: DataFrame, reranked: DataFrame, head: int = 30) -> DataFr
 
 
 def within_budget(items: DataFrame, budget: int, group: str, order: list[str], cost: str) -> DataFrame:
-    """Takes each group's items in order as long as they fit; one that does not is skipped and later ones still may.
+    """Takes each group's items in order as long as they fit; one that does not is skipped and later ones still may."""
 
-    A group is one question's list, of bounded length, so it is folded as one array.
-    """
-    entry = F.struct(*order, F.col(cost).cast("long").alias("__cost"), F.struct(*items.columns).alias("__row"))
-    listed = items.groupBy(group).agg(F.array_sort(F.collect_list(entry)).alias("__all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{items.select(F.struct(*items.columns).alias('x')).schema['x'].dataType.simpleString()}>").alias("rows"))
-    step = lambda s, x: F.when(s["used"] + x["__cost"] <= budget, F.struct((s["used"] + x["__cost"]).alias("used"), F.array_append(s["rows"], x["__row"]).alias("rows"))).otherwise(s)
-    return listed.select(F.explode(F.aggregate("__all", start, step)["rows"]).alias("r")).select("r.*")
+    def step(used: int, x: int) -> tuple[int, bool]:
+        fits = used + x <= budget
+        return used + x * fits, fits
+
+    return relational.folded(items, [group], order, cost, step, 0, "__taken").filter("__taken").select(*items.columns)
 
 
 def route_pages(own: DataFrame, span: DataFrame, anchors: DataFrame, scores: DataFrame, pages: DataFrame, budget: int = 12_000) -> DataFrame:
-    """Full pages of a route question within a budget of tokens: own pages (in books of the span first), the span in
+    """Full pages of route questions within a budget of tokens each: own pages (in books of the span first), the span in
     page order, other own pages, other anchors; each by score. pages: book, page, tokens."""
-    key = ["book", "page"]
-    books = span.select("book").distinct().withColumn("spanned", F.lit(True))
-    any_span = F.coalesce(F.max("spanned").over(Window.partitionBy()), F.lit(False))
-    mine = own.select(*key).distinct().join(books, "book", "left").withColumn("tier", F.when(F.col("spanned") | ~any_span, 0).otherwise(2)).drop("spanned")
+    q = asked(own)
+    key = [*q, "book", "page"]
+    books = span.select(*q, "book").distinct().withColumn("spanned", F.lit(True))
+    some = span.select(*q).distinct().withColumn("some", F.lit(True)) if q else span.limit(1).select(F.lit(True).alias("some"))
+    mine = own.select(*key).distinct().join(books, [*q, "book"], "left")
+    mine = mine.join(some, q, "left") if q else mine.join(some, how="left")
+    mine = mine.withColumn("tier", F.when(F.col("spanned") | F.col("some").isNull(), 0).otherwise(2)).select(*key, "tier")
     between = span.select(*key).distinct().join(own, key, "left_anti").withColumn("tier", F.lit(1))
     rest = anchors.select(*key).distinct().join(own, key, "left_anti").join(span, key, "left_anti").withColumn("tier", F.lit(3))
-    ranked = mine.unionByName(between).unionByName(rest).join(scores.groupBy(*key).agg(F.max("score").alias("score")), key, "left").join(pages.select(*key, "tokens"), key)
-    ranked = ranked.withColumn("less", F.when(F.col("tier") == 1, 0.0).otherwise(-F.coalesce("score", F.lit(0.0)))).withColumn("all", F.lit(0))
-    return within_budget(ranked.select("all", "tier", "less", *key, "tokens"), budget, "all", ["tier", "less", *key], "tokens").select(*key, "tier", "tokens")
+    ranked = mine.unionByName(between).unionByName(rest).join(scores.groupBy(*key).agg(F.max("score").alias("score")), key, "left").join(pages.select("book", "page", "tokens"), ["book", "page"])
+    ranked = ranked.withColumn("less", F.when(F.col("tier") == 1, 0.0).otherwise(-F.coalesce("score", F.lit(0.0)))).withColumn("all", F.col("q") if q else F.lit(0).cast("long"))
+    return within_budget(ranked.select("all", *q, "tier", "less", "book", "page", "tokens"), budget, "all", ["tier", "less", "book", "page"], "tokens").select(*key, "tier", "tokens")
 
 
 def page_chunks(wanted: DataFrame, chunks: DataFrame, per_page: int = 6) -> DataFrame:
     """The first chunks of wanted pages (ord, book, page), in the order wanted."""
-    w = Window.partitionBy("ord", "book", "page").orderBy("idx")
+    w = Window.partitionBy(*asked(wanted), "ord", "book", "page").orderBy("idx")
     return wanted.join(chunks, ["book", "page"]).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_page).drop("r")
 
 
 def answer_documents(full_pages: DataFrame, chunks: DataFrame, title_room: int = 120) -> DataFrame:
     """What an answer is made from: full pages, then the chunks of other pages; titles cut to their room."""
+    q = asked(full_pages)
     title = lambda c: F.when(F.length(c) > title_room, F.concat(F.substring(c, 1, title_room - 1), F.lit("…"))).otherwise(c)
-    pages = full_pages.select("book", "page", F.lit(-1).alias("idx"), title(F.col("title")).alias("title"), "body", F.lit("page").alias("kind"))
-    rest = chunks.join(full_pages.select("book", "page"), ["book", "page"], "left_anti")
-    return pages.unionByName(rest.select("book", "page", "idx", title(F.col("title")).alias("title"), "body", F.lit("chunk").alias("kind")))
+    pages = full_pages.select(*q, "book", "page", F.lit(-1).alias("idx"), title(F.col("title")).alias("title"), "body", F.lit("page").alias("kind"))
+    rest = chunks.join(full_pages.select(*q, "book", "page"), [*q, "book", "page"], "left_anti")
+    return pages.unionByName(rest.select(*q, "book", "page", "idx", title(F.col("title")).alias("title"), "body", F.lit("chunk").alias("kind")))
+
+
+def entity_groups(rows: DataFrame) -> DataFrame:
+    """Matches of questions (q, name_norm, name, type, book, page, rank, similarity, text) by name: name (the first by page),
+    types, pages, rank and similarity of the best match, its text, is_location, and place among the question's entities:
+    by rank, similarity, length of text, name."""
+    best = F.max(F.struct("rank", "similarity", F.length("text").alias("n"), "text")).alias("best")
+    grouped = rows.groupBy("q", "name_norm").agg(F.min_by("name", F.struct("book", "page", "name")).alias("name"), F.array_sort(F.collect_set("type")).alias("types"), F.array_sort(F.collect_set(F.struct("book", "page"))).alias("pages"), best, F.bool_or(F.col("type").isin(*LOCATIONS)).alias("is_location"))
+    named = grouped.select("q", "name_norm", "name", "types", "pages", "best.rank", "best.similarity", "best.text", "is_location")
+    w = Window.partitionBy("q").orderBy(F.desc("rank"), F.desc("similarity"), F.desc(F.length("text")), "name", "name_norm")
+    return named.withColumn("place", F.row_number().over(w))
+
+
+def ready_for_routes(questions: DataFrame, entities: DataFrame) -> DataFrame:
+    """q of the route questions (q, route) that resolve to two entities or more, one of them a place."""
+    enough = entities.groupBy("q").agg(F.count("*").alias("n"), F.bool_or("is_location").alias("place")).filter("n >= 2 and place")
+    return questions.filter("route").join(enough, "q", "left_semi").select("q")
+
+
+@dataclass(frozen=True)
+class Anchors:
+    """entities: see entity_groups; own, hops, near, span and pages (all of them): q, book, page."""
+
+    entities: DataFrame
+    own: DataFrame
+    hops: DataFrame
+    near: DataFrame
+    span: DataFrame
+    pages: DataFrame
+
+
+def resolve(questions: DataFrame, entities: DataFrame, pages: DataFrame, links: DataFrame, prior: DataFrame | None = None, d: Defaults = Defaults()) -> Anchors:
+    """Names in questions, and the pages that they anchor, for a whole table of questions at once.
+
+    questions: q, question; entities: book, page, type, name, name_norm; pages: book, page, page_type, region; links: book,
+    source, target; prior: q, norm (names of earlier turns).
+    """
+    spans = question_candidates(questions)
+    known = entities.join(pages, ["book", "page"]).select("book", "page", "page_type", "region", "type", "name", "name_norm")
+    kept = ["q", "matched", "book", "page", "page_type", "region", "type", "name", "name_norm", "similarity", "match", "rank"]
+    norms = spans.select("q", "norm").distinct()
+
+    def matches(names: DataFrame, how: str, rank: int) -> DataFrame:
+        found = known.join(names.select("q", F.col("norm").alias("matched")).distinct(), F.col("name_norm") == F.col("matched"))
+        return found.withColumns({"similarity": F.lit(1.0), "match": F.lit(how), "rank": F.lit(rank)}).select(*kept)
+
+    exact = matches(norms, "exact", 3)
+    loose = spans.filter("fuzzy").select("q", "norm").join(exact.select("q", F.col("matched").alias("norm")).distinct(), ["q", "norm"], "left_anti")
+    pairs = trigram_matches(loose, known, d.trigram_threshold)
+    fuzzy = known.join(pairs.withColumnRenamed("norm", "matched"), "name_norm").withColumns({"match": F.lit("trigram"), "rank": F.lit(1)}).select(*kept)
+    rows = exact.unionByName(fuzzy)
+    if prior is not None:
+        rows = rows.unionByName(matches(prior, "prior", 2))
+    rows = drop_widespread(rows, d.fuzzy_max_pages)
+    regions = pages.filter("region is not null").withColumn("name_norm", text.normalized(F.col("region"))).join(norms.withColumnRenamed("norm", "name_norm"), "name_norm")
+    rows = rows.unionByName(regions.select("q", F.col("name_norm").alias("matched"), "book", "page", "page_type", "region", F.lit("region").alias("type"), F.col("region").alias("name"), "name_norm", F.lit(1.0).alias("similarity"), F.lit("exact").alias("match"), F.lit(3).alias("rank")))
+
+    best = rows.filter("match <> 'prior'").groupBy("q", F.col("matched").alias("norm")).agg((F.max("rank") == 3).cast("int").alias("rank"))
+    fair = select_spans(spans.join(best, ["q", "norm"]).select("q", "norm", "start", "end", "rank"))
+    fair = fair.select("q", F.col("norm").alias("matched"), F.lit(True).alias("fair"))
+    rows = rows.join(fair, ["q", "matched"], "left").filter("match = 'prior' or fair").filter("page_type <> 'index'").drop("fair")
+    said = spans.select("q", F.col("norm").alias("matched"), "text")
+    rows = rows.join(said, ["q", "matched"], "left").withColumn("text", F.when(F.col("match") == "prior", F.col("name")).otherwise(F.coalesce("text", "matched")))
+    # Read by every step below: a checkpoint keeps the matching from being done again.
+    rows = rows.checkpoint()
+    groups = entity_groups(rows)
+
+    # A region is named on dozens of pages: its own ones are its maps, else its first page.
+    spots = rows.select("q", "name_norm", "book", "page", "page_type").distinct()
+    wide = groups.select("q", "name_norm", F.array_contains("types", "region").alias("wide"))
+    spots = spots.join(wide, ["q", "name_norm"])
+    by_name = Window.partitionBy("q", "name_norm")
+    first = F.row_number().over(by_name.orderBy("book", "page")) == 1
+    mapped = F.max((F.col("page_type") == "map").cast("int")).over(by_name) == 1
+    spots = spots.withColumn("mine", ~F.col("wide") | F.when(mapped, F.col("page_type") == "map").otherwise(first))
+    own = spots.filter("mine").select("q", "book", "page").distinct()
+    hops = one_hop(spots.filter("not wide").select("q", "name_norm"), known, links).select("q", "book", "page").distinct()
+    routes = questions.filter(text.is_route_question(F.col("question"))).select("q")
+    around = known.join(groups.select("q", "name_norm"), "name_norm").join(routes, "q", "left_semi")
+    around = region_pages(around.select("q", "book", "page", F.when(F.col("type") == "region", F.col("name")).alias("name")), pages.select("book", "page", "region"))
+    area = spots.filter("not mine").select("q", "book", "page").unionByName(around.select("q", "book", "page")).distinct()
+    near = nearest_pages(area.join(own.unionByName(hops), ["q", "book", "page"], "left_anti"), own, d.region_cap).select("q", "book", "page")
+    walked = F.max((F.col("page_type") == "walkthrough").cast("int")).over(by_name) == 1
+    ends = spots.filter("not wide").withColumn("end", ~walked | (F.col("page_type") == "walkthrough")).filter("end").join(routes, "q", "left_semi")
+    span = route_span(ends.select("q", F.col("name_norm").alias("endpoint"), "book", "page"), d.span_max)
+    every = own.unionByName(hops).unionByName(near).unionByName(span).distinct()
+    return Anchors(groups, own, hops, near, span, every)
+
+
+@dataclass(frozen=True)
+class Retrieved:
+    """chunks: q, key, book, page, score, why, ranks, place; pages: q, book, page, tier, tokens."""
+
+    anchors: Anchors
+    chunks: DataFrame
+    pages: DataFrame
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, index: DataFrame, entities: DataFrame, pages: DataFrame, links: DataFrame, focus: DataFrame | None = None, prior: DataFrame | None = None, relevance: DataFrame | None = None, d: Defaults = Defaults()) -> Retrieved:
+    """The whole retrieval for a table of questions (q, question, qv).
+
+    chunks: key, book, page, idx, embedding; index: postings of the chunks; pages also with tokens; focus: q, ord, book,
+    page that a reader has in view; relevance: q, key, relevance from a reranker.
+    """
+    found = resolve(questions, entities, pages, links, prior, d)
+    words = questions.select("q", F.explode(F.transform(text.content_words(F.col("question")), F.lower)).alias("lexeme"))
+    lists = vector_top(questions, chunks, d.vector_k).withColumn("why", F.lit("vector")).unionByName(lexical_top(words, index, d.lexical_k).withColumn("why", F.lit("lexical"))).select("q", "why", "key", "rank")
+    own = found.own
+    if focus is not None:
+        seen = page_chunks(focus, chunks.select("key", "book", "page", "idx"))
+        at = F.row_number().over(Window.partitionBy("q").orderBy("ord", "idx"))
+        lists = lists.unionByName(seen.select("q", F.lit("focus").alias("why"), "key", at.alias("rank")))
+        own = own.unionByName(focus.select("q", "book", "page")).distinct()
+    fused = rrf(lists, d.rrf_k).join(chunks.select("key", "book", "page"), "key")
+    ranked = anchor_boost(fused, found.pages, own, d.own_boost, d.anchor_boost).checkpoint()
+    if relevance is not None:
+        ranked = rerank_head(ranked, relevance, d.rerank_k)
+    ready = ready_for_routes(questions.select("q", text.is_route_question(F.col("question")).alias("route")), found.entities)
+    only = lambda df: df.join(ready, "q", "left_semi")
+    full = route_pages(only(found.own), only(found.span), only(found.pages), ranked.select("q", "book", "page", "score"), pages, d.page_budget)
+    return Retrieved(found, ranked.filter(F.col("place") <= d.top_k), full)
+
+
+# --- quotes -------------------------------------------------------------------------------------------------------
+
+
+def quoted(quotes: DataFrame, texts: DataFrame, width: int = 4) -> DataFrame:
+    """item_id and key of the texts (key, text) that hold each quote (item_id, quote), as whole words in normalised form.
+
+    Quotes and texts meet on the first words of a quote, ``width`` or as many as it has; only texts that have these
+    words in a row are searched.
+    """
+    plain = lambda c: text.plain_quote(F.col(c))
+    wanted = quotes.select("item_id", plain("quote").alias("quote")).filter("quote <> ''").withColumn("w", F.split("quote", " "))
+    wanted = wanted.select("item_id", "quote", F.array_join(F.slice("w", 1, width), " ").alias("start"), F.least(F.size("w"), F.lit(width)).alias("n"))
+    widths = [r["n"] for r in wanted.select("n").distinct().collect()]  # width values at most
+    own = texts.select("key", plain("text").alias("plain"))
+    words = own.select("key", F.split("plain", " ").alias("w"))
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    runs = F.flatten(F.array(*map(runs_of, widths or [width])))
+    starts = words.select("key", F.explode(F.array_distinct(runs)).alias("start"))
+    near = starts.join(wanted.select("item_id", "quote", "start"), "start").select("key", "item_id", "quote").distinct()
+    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return near.join(own, "key").filter(F.contains(spaced("plain"), spaced("quote"))).select("item_id", "key").distinct()
 
 
 # --- questions ----------------------------------------------------------------------------------------------------
 
+#: What a word of a question is, and the types of entities that are places.
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}'’\-]*"
-SPAN = "q long, norm string, text string, start int, end int, words int, capitalised boolean, whole boolean, fuzzy boolean"
-
-
-def spans_of(question: str, longest: int = 4) -> Iterator[tuple]:
-    """Name candidates of a question: runs of up to ``longest`` words, shortest first, then the question itself."""
-    import regex
-
-    found = [(m.start(), m.end(), m[0]) for m in regex.finditer(WORD, question)]
-    upper = [regex.match(r"\p{Lu}", w) is not None for _, _, w in found]
-    stop = [w.lower() in text.STOPWORDS for _, _, w in found]
-    small = [w.lower() in text.CONNECTIVES for _, _, w in found]
-    runs = [(i, i + n - 1) for n in range(1, longest + 1) for i in range(len(found) - n + 1)]
-    for i, j in runs:
-        opens = not stop[i] or (j > i and upper[i] and upper[i + 1])
-        if stop[j] or not opens:
-            continue
-        start, end = found[i][0], found[j][1]
-        norm = text.normalize_name(question[start:end])
-        if not norm or (i == j and len(norm) < 3):
-            continue
-        named = upper[i] and upper[j] and all(u or s for u, s in zip(upper[i + 1 : j], small[i + 1 : j]))
-        yield norm, question[start:end], start, end, j - i + 1, named, False, named or (j > i and len(norm) >= 8)
-    if found and (norm := text.normalize_name(question)):
-        yield norm, question.strip(), found[0][0], found[-1][1], len(found), False, True, True
+LOCATIONS = ("location", "region", "dungeon", "site_of_grace")
 
 
 def question_candidates(questions: DataFrame, longest: int = 4) -> DataFrame:
-    """Candidates of every question (q, question); of equal normalised names the first stands."""
+    """Names that questions (q, question) may speak of: q, norm, text, start, end, words, capitalised, whole, fuzzy.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(q, *s) for q, t in zip(b["q"], b["question"]) for s in {x[0]: x for x in reversed(list(spans_of(t or "", longest)))}.values()]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPAN.split(", ")])
-
-    return questions.select("q", "question").mapInPandas(run, SPAN)
+    These are the runs of up to ``longest`` words that neither end in a stop word nor begin with one (a capitalised
+    pair may begin with one), and the question as a whole. Of equal normalised names the first stands.
+    """
+    asked_ = questions.select("q", F.trim("question").alias("question")).withColumn("w", F.regexp_extract_all("question", F.lit(f"({WORD})"), F.lit(1)))
+    # The pieces between the words tell where each begins.
+    asked_ = asked_.filter(F.size("w") > 0).withColumn("between", F.split("question", WORD))
+    word = lambda w, i: F.struct(w.alias("w"), w.rlike(r"^\p{Lu}").alias("upper"), F.lower(w).isin(*sorted(text.STOPWORDS)).alias("stop"), F.lower(w).isin(*sorted(text.CONNECTIVES)).alias("small"), lengths(i).alias("start"))
+    lengths = lambda i: F.aggregate(F.slice("w", 1, i), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("between", 1, i + 1), F.lit(0), lambda a, x: a + F.length(x))
+    numbered = asked_.select("q", "question", F.transform("w", word).alias("w"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w"))), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))))
+    each = numbered.select("q", "question", F.posexplode(runs).alias("pos", "run"))
+    head, last, n = F.col("run")[0], F.element_at("run", -1), F.size("run")
+    opens = ~head["stop"] | (head["upper"] & F.coalesce(F.get("run", F.lit(1))["upper"], F.lit(False)))
+    each = each.filter(~last["stop"] & opens).withColumn("end", last["start"] + F.length(last["w"]))
+    each = each.withColumn("text", F.col("question").substr(head["start"] + 1, F.col("end") - head["start"])).withColumn("norm", text.normalized(F.col("text")))
+    each = each.filter((F.col("norm") != "") & ((n > 1) | (F.length("norm") >= 3)))
+    inner = F.forall(F.slice("run", 2, F.greatest(n - 2, F.lit(0))), lambda x: x["upper"] | x["small"])
+    named = head["upper"] & last["upper"] & inner
+    spans = each.select("q", "norm", "text", head["start"].alias("start"), "end", n.alias("words"), named.alias("capitalised"), F.lit(False).alias("whole"), (named | ((n > 1) & (F.length("norm") >= 8))).alias("fuzzy"), "pos")
+    ends = F.element_at("w", -1)
+    whole = numbered.select("q", text.normalized(F.col("question")).alias("norm"), F.col("question").alias("text"), F.col("w")[0]["start"].alias("start"), (ends["start"] + F.length(ends["w"])).alias("end"), F.size("w").alias("words"), F.lit(False).alias("capitalised"), F.lit(True).alias("whole"), F.lit(True).alias("fuzzy"), F.lit(1 << 30).alias("pos")).filter("norm <> ''")
+    every = spans.unionByName(whole)
+    rest = [c for c in every.columns if c not in ("q", "norm", "pos")]
+    first = every.groupBy("q", "norm").agg(F.min_by(F.struct(*rest), "pos").alias("s"))
+    return first.select("q", "norm", "s.*")

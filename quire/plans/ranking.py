@@ -237,20 +237,12 @@ def chat_window_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("conv_id", "turn", "role", F.coalesce(F.length("prior"), F.lit(-1)).cast("long").alias("prior_chars"))
 
 
-@query("""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(trim(regexp_replace(lower(d.text), '[^\\p{L}\\p{N}]+', ' ', 'g')), substr(trim(regexp_replace(lower(b.text), '[^\\p{L}\\p{N}]+', ' ', 'g')), 1, 60))""")
+@query(r"""WITH p AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM benchmark)
+SELECT b.item_id, p.doc_id FROM b JOIN p ON contains(p.t, ' ' || b.t || ' ') WHERE b.t <> ''""")
 def quote_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes are met by their first words: documents explode into runs of as many words, so that only true starts are compared."""
-    width = 4
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.substring(text.plain_quote(F.col("text")), 1, 60).alias("quote"))
-    words = F.split("quote", " ")
-    # The first word may start within a word of the text and the last is cut: whole words between are the key.
-    keyed = quotes.withColumn("key", F.array_join(F.slice(words, 2, width), " ")).filter(F.size(words) > width + 1)
-    short = quotes.filter(F.size(words) <= width + 1)
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.plain_quote(F.col("text")).alias("plain"))
-    runs = docs.withColumn("w", F.split("plain", " ")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, width), " ")))).alias("key"))
-    near = runs.join(keyed, "key").join(docs, "doc_id").filter(F.contains("plain", "quote")).select("item_id", "doc_id")
-    rest = docs.join(F.broadcast(short), F.contains("plain", "quote")).select("item_id", "doc_id")
-    return near.union(rest).distinct()
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return retrieval.quoted(quotes, docs).select("item_id", F.col("key").alias("doc_id"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS name FROM documents)
@@ -259,19 +251,14 @@ def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.normalized(F.split("text", "\n")[0]).alias("norm"))
 
 
-@query("""WITH b AS (SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (32 - i)) ELSE 0 END))::BIGINT AS h FROM embeddings),
-d AS (SELECT a.vec_id, b.vec_id AS other, bit_count(xor(a.h, b.h))::BIGINT AS distance FROM b a JOIN b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+@query("""WITH b AS (SELECT vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (32 - i) ELSE 0 END))::BIGINT AS g, list_sum(list_transform(range(33, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (64 - i) ELSE 0 END))::BIGINT AS h FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS other, (bit_count(xor(a.g, b.g)) + bit_count(xor(a.h, b.h)))::BIGINT AS distance FROM b a JOIN b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, other) AS rank, lead(distance) OVER (PARTITION BY vec_id ORDER BY distance, other) - distance AS margin FROM d)
-SELECT vec_id, other, distance, margin FROM r WHERE rank = 1""")
+SELECT vec_id, other, distance, margin, distance <= 14 AND (margin IS NULL OR margin >= 6) AS same FROM r WHERE rank = 1""")
 def hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A photo's nearest page by hash, and its margin over the runner-up: every fiftieth row is a photo."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", numbers.sign_bits(F.col("embedding")).alias("h"))
-    photos = rows.filter("vec_id % 50 = 0").select("vec_id", F.col("h").alias("p"))
-    both = rows.withColumnRenamed("vec_id", "other").join(F.broadcast(photos), F.col("vec_id") != F.col("other"))
-    near = both.select("vec_id", "other", numbers.hamming(F.col("h"), F.col("p")).cast("long").alias("distance"))
-    w = Window.partitionBy("vec_id").orderBy("distance", "other")
-    best = near.withColumn("rank", F.row_number().over(w)).filter("rank <= 2").withColumn("margin", F.lead("distance").over(w) - F.col("distance"))
-    return best.filter("rank = 1").select("vec_id", "other", "distance", "margin")
+    """A photo's nearest page by hash, and its margin over the runner-up. The stated set of photos: ids divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), numbers.sign_bits(F.col("embedding"), bits=64).alias("h"))
+    return retrieval.photo_matches(rows.filter("key % 100 = 0"), rows).withColumnRenamed("key", "vec_id")
 
 
 @query("""WITH a AS (SELECT l_partkey, l_suppkey, l_orderkey FROM lineitem), w AS (SELECT l_partkey FROM a GROUP BY 1 HAVING count(DISTINCT (l_suppkey, l_orderkey)) > 36)
@@ -288,12 +275,12 @@ def lexeme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.filter(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("distinct_words"))
 
 
-@query(FUSED_SQL + """, top AS (SELECT key FROM fused ORDER BY score DESC, key LIMIT 12), full_pages AS (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id < 20)
+@query(FUSED_SQL + """, top AS (SELECT key FROM fused ORDER BY score DESC, key LIMIT 12), full_pages AS (SELECT doc_id FROM labels WHERE quality = 1)
 SELECT d.source AS book, d.doc_id AS page FROM documents d WHERE d.doc_id IN (SELECT key FROM top UNION SELECT doc_id FROM full_pages)""")
 def consulted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct pages that an answer drew on: full pages and those of chunks."""
     top = fused_lists(spark, sf_dir).filter("place <= 12").select(F.col("key").alias("page"))
-    full = table(spark, sf_dir, "labels").filter("quality = 1 and doc_id < 20").select(F.col("doc_id").alias("page"))
+    full = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("page"))
     pages = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"))
     return pages.join(top.union(full).distinct(), "page", "left_semi").select("book", "page")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import checklists, names, quality, relational
+from quire.operators import checklists, names, quality, relational, retrieval
 from quire.plans.registry import query
 from quire.session import table
 
@@ -180,9 +180,30 @@ def name_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.matched(wanted, vocabulary)
 
 
-@query("""SELECT lang, source, min(doc_id) AS first_doc, arg_max(doc_id, n_chars * 1000000 - doc_id) AS longest FROM documents GROUP BY 1, 2""")
+GROUPED_SQL = """WITH r AS (SELECT p_size % 7 AS q, lower(p_name) AS name_norm, p_name AS name, CASE p_size % 4 WHEN 0 THEN 'location' WHEN 1 THEN 'item' WHEN 2 THEN 'npc' ELSE 'boss' END AS type, p_brand AS book, p_size AS page, 1 + p_partkey % 3 AS rank, (p_partkey % 10) / 10 AS similarity, p_type AS text FROM part),
+b AS (SELECT q, name_norm, rank, similarity, text FROM r QUALIFY row_number() OVER (PARTITION BY q, name_norm ORDER BY rank DESC, similarity DESC, length(text) DESC, text DESC) = 1),
+g AS (SELECT q, name_norm, min(name) AS name, string_agg(DISTINCT type, ',' ORDER BY type) AS types, count(DISTINCT (book, page)) AS pages, bool_or(type = 'location') AS is_location FROM r GROUP BY 1, 2),
+e AS (SELECT g.*, b.rank, b.similarity, b.text, row_number() OVER (PARTITION BY q ORDER BY b.rank DESC, b.similarity DESC, length(b.text) DESC, name, name_norm) AS place FROM g JOIN b USING (q, name_norm))"""
+
+
+def grouped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as matched names of seven questions."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(size % 4 == 0, "location").when(size % 4 == 1, "item").when(size % 4 == 2, "npc").otherwise("boss")
+    rows = table(spark, sf_dir, "part").select((size % 7).alias("q"), F.lower("p_name").alias("name_norm"), F.col("p_name").alias("name"), kind.alias("type"), F.col("p_brand").alias("book"), size.alias("page"), (1 + key % 3).alias("rank"), ((key % 10) / 10).alias("similarity"), F.col("p_type").alias("text"))
+    return retrieval.entity_groups(rows)
+
+
+@query(GROUPED_SQL + " SELECT q, name_norm, name, types, pages, rank, similarity, text, is_location, place FROM e")
 def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("first_doc"), F.max_by("doc_id", F.col("n_chars") * 1_000_000 - F.col("doc_id")).alias("longest"))
+    return grouped_names(spark, sf_dir).withColumns({"types": F.array_join("types", ","), "pages": F.size("pages").cast("long"), "place": F.col("place").cast("long")})
+
+
+@query(GROUPED_SQL + " SELECT q FROM e WHERE q % 2 = 0 GROUP BY q HAVING count(*) >= 2 AND bool_or(is_location)")
+def route_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that get full pages: about a way, with two names or more, one of them a place."""
+    groups = grouped_names(spark, sf_dir)
+    return retrieval.ready_for_routes(groups.select("q", (F.col("q") % 2 == 0).alias("route")).distinct(), groups)
 
 
 RATED_SQL = """WITH p AS (SELECT l_orderkey AS item, list({'book': l_linestatus, 'page': l_suppkey} ORDER BY l_linenumber) AS pages FROM lineitem WHERE l_quantity > 25 GROUP BY 1),
