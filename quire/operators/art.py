@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from quire.functions import text
 
@@ -81,3 +82,18 @@ def overridden(artworks: DataFrame, overrides: DataFrame) -> tuple[DataFrame, Da
     given = overrides.select(*key, F.col("names").alias("__names"), F.col("dropped").alias("__dropped"))
     rows = artworks.join(given, key, "left").withColumn("names", F.coalesce("__names", "names")).filter(~F.coalesce("__dropped", F.lit(False))).select(*artworks.columns)
     return rows, overrides.join(artworks.select(*key), key, "left_anti")
+
+
+def reading_order(boxes: DataFrame, band: float = 0.08) -> DataFrame:
+    """Boxes of page images (page, box, x, y, width, height of the page; in pixels) with their place in reading order:
+    the left half before the right one, then rows of ``band`` of the page's height, then from left to right."""
+    half = (F.col("x") >= F.col("width") / 2).cast("int")
+    row = F.floor(F.col("y") / (F.col("height") * band))
+    w = Window.partitionBy("page").orderBy(half, row, "x", "y", "box")
+    return boxes.withColumn("place", F.row_number().over(w))
+
+
+def with_spreads(artworks: DataFrame, spreads: DataFrame, books: DataFrame) -> DataFrame:
+    """Artworks (id, book, spread) with the facts of their spreads (book, spread, ...) and books (book, ...); what has
+    no spread is kept, what has no book is not."""
+    return artworks.join(spreads, ["book", "spread"], "left").join(books, "book")

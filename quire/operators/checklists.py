@@ -114,7 +114,7 @@ def rated(items: DataFrame, pages: DataFrame, npcs: DataFrame, mentions: DataFra
     lies in a chapter of one of them), chapter+ (another page does), npc-page (the first page names one), check.
     """
     known = npcs.filter("norm is not null")
-    placed = pages.withColumn("first", F.row_number().over(Window.partitionBy("item").orderBy("place")) == 1)
+    placed = pages.withColumn("first", F.row_number().over(Window.partitionBy("item").orderBy("place", "at")) == 1)
     inside = (F.col("chapter.book") == F.col("at.book")) & F.col("at.page").between(F.col("chapter.first"), F.col("chapter.last"))
     both = placed.join(known.withColumnRenamed("item", "i"), F.col("item") == F.col("i")).withColumn("inside", F.coalesce(inside, F.lit(False)))
     met = both.filter("first").join(mentions.distinct(), ["norm", "at"], "left_semi").select("item").distinct().withColumn("met", F.lit(True))

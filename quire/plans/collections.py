@@ -164,3 +164,22 @@ def snapped_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
 def cover_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+@query("""SELECT p_partkey AS id, p_brand AS book, p_size AS spread, s_name AS title, n_name AS label FROM part LEFT JOIN (SELECT s_suppkey % 50 AS spread, s_nationkey, min(s_name) AS s_name FROM supplier GROUP BY 1, 2) s ON s.spread = p_size AND s.s_nationkey = substr(p_brand, 7)::INT % 25
+JOIN nation ON n_nationkey = substr(p_brand, 7)::INT % 25""")
+def artwork_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as artworks in books by brand, suppliers as spreads, nations as books."""
+    nation = F.substring("p_brand", 7, 10).cast("int") % 25
+    works = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), nation.alias("book"), F.col("p_size").alias("spread"))
+    spreads = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("int").alias("book"), (F.col("s_suppkey") % 50).cast("int").alias("spread")).agg(F.min("s_name").alias("title"))
+    books = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("book"), F.col("n_name").alias("label"))
+    return art.with_spreads(works, spreads, books).select("id", F.col("brand").alias("book"), "spread", "title", "label")
+
+
+@query("""WITH b AS (SELECT l_orderkey AS page, l_partkey AS box, l_quantity * 20 AS x, l_linenumber * 90 + l_suppkey % 13 AS y FROM lineitem)
+SELECT page, box, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN x >= 500 THEN 1 ELSE 0 END, floor(y / 80.0), x, y, box) AS place FROM b""")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as boxes on pages of 1000 by 1000."""
+    boxes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("box"), (F.col("l_quantity") * 20).alias("x"), (F.col("l_linenumber") * 90 + F.col("l_suppkey") % 13).alias("y"), F.lit(1000).alias("width"), F.lit(1000).alias("height"))
+    return art.reading_order(boxes).select("page", "box", F.col("place").cast("long").alias("place"))

@@ -206,7 +206,7 @@ def route_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ready_for_routes(groups.select("q", (F.col("q") % 2 == 0).alias("route")).distinct(), groups)
 
 
-RATED_SQL = """WITH p AS (SELECT l_orderkey AS item, list({'book': l_linestatus, 'page': l_suppkey} ORDER BY l_linenumber) AS pages FROM lineitem WHERE l_quantity > 25 GROUP BY 1),
+RATED_SQL = """WITH p AS (SELECT l_orderkey AS item, list({'book': l_linestatus, 'page': l_suppkey} ORDER BY l_linenumber, l_linestatus, l_suppkey) AS pages FROM lineitem WHERE l_quantity > 25 GROUP BY 1),
 n AS (SELECT l_orderkey AS item, l_linenumber AS i, l_partkey AS norm, l_returnflag AS book, l_suppkey - 3 AS lo, l_suppkey + l_linenumber AS hi, l_discount > 0.03 AS chapter FROM lineitem WHERE l_tax < 0.03),
 x AS (SELECT DISTINCT l_orderkey AS item FROM lineitem), m AS (SELECT DISTINCT l_partkey AS norm, l_linestatus AS book, l_suppkey AS page FROM lineitem WHERE l_linenumber <= 3),
 f AS (SELECT x.item, p.pages, exists(SELECT 1 FROM n WHERE n.item = x.item) AS named,

@@ -94,3 +94,36 @@ def binary_hashes(spark: SparkSession, folder: str, glob: str = "*") -> DataFram
     """path, length, modified and sha256 of files such as photos."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
     return files.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+
+
+LINKS = "map<string, array<struct<book:string,page:int>>>"
+
+
+def read_checklist(spark: SparkSession, folder: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three files of a checklist: items (KEY.json, an object with an array items), and pages by item and overrides
+    (KEY_pages.json, KEY_overrides.json, objects of lists of pages), each of the latter two empty if its file is missing."""
+
+    def whole(name: str) -> DataFrame:
+        file = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.json")
+        if not file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file):
+            return spark.createDataFrame([], "value string")
+        return spark.read.text(f"{folder}/{name}.json", wholetext=True)
+
+    def links(name: str, inner: str | None = None) -> DataFrame:
+        body = F.get_json_object("value", f"$.{inner}") if inner else F.col("value")
+        return whole(name).select(F.explode(F.from_json(body, LINKS)).alias("item", "pages"))
+
+    fields = "array<struct<id:string,text:string,path:array<string>>>"
+    items = whole(key).select(F.inline(F.from_json(F.get_json_object("value", "$.items"), fields))).withColumnRenamed("id", "item")
+    return items, links(f"{key}_pages"), links(f"{key}_overrides", "items")
+
+
+def write_report(spark: SparkSession, path: str, title: str, sections: dict[str, DataFrame], most: int = 10_000) -> None:
+    """A text report: a section for each table with its rows; tables of over ``most`` rows are refused, as reports are read."""
+    lines = [f"# {title}", ""]
+    for name, rows in sections.items():
+        found = rows.limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"{name} has more than {most} rows: sum it up first")
+        lines += [f"## {name} ({len(found)})", "", *("- " + ", ".join(str(x) for x in r) for r in found), ""]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -2,13 +2,14 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import chunking, quality
 from quire.sources import pages, providers, tables
 
-SAMPLE = """# Liurnia
-## Lenne's Rise
+SAMPLE = """# North Plain
+## Odo's Rise
 A tower by the lake.
 It stands alone.
 
@@ -42,9 +43,9 @@ def chunks(markdown, region=None, chapter=None, figures=(), **sizes):
 
 def test_paths():
     paths = [p for p, _, _ in chunks(SAMPLE, region="Caelid")]
-    assert paths == ["Caelid > Liurnia > Lenne's Rise", "Caelid > Liurnia > Items"]
+    assert paths == ["Caelid > North Plain > Odo's Rise", "Caelid > North Plain > Items"]
     assert chunks("x")[0][0] == "Page 33" and chunks("x", chapter="Two")[0][0] == "Two"
-    assert not any("Lenne's Rise" in t for _, t, _ in chunks(SAMPLE))
+    assert not any("Odo's Rise" in t for _, t, _ in chunks(SAMPLE))
 
 
 def test_a_heading_that_comes_again_is_one_section():
@@ -115,3 +116,24 @@ def test_sinks(spark, tmp_path):
     tables.write_groups(spark.createDataFrame([("a", 1), ("b", 2)], "book string, n int"), path, ["book"])
     tables.write_groups(spark.createDataFrame([("b", 3)], "book string, n int"), path, ["book"])
     assert sorted((r["book"], r["n"]) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]
+
+
+def test_checklist_files_and_reports(spark, tmp_path):
+    import json
+
+    from quire.operators import checklists
+    from quire.sources import pages as source
+
+    (tmp_path / "main.json").write_text(json.dumps({"items": [{"id": "m001", "text": "one", "path": ["A"]}, {"id": "m002", "text": "two", "path": []}]}, indent=1))
+    (tmp_path / "main_pages.json").write_text(json.dumps({"m001": [{"book": "v1", "page": 3}]}))
+    items, links, overrides = source.read_checklist(spark, str(tmp_path), "main")
+    assert overrides.count() == 0 and items.count() == 2
+    (tmp_path / "main_overrides.json").write_text(json.dumps({"items": {"m002": [{"book": "v1", "page": 9}], "m9": []}}))
+    rows, errors = checklists.with_overrides(*source.read_checklist(spark, str(tmp_path), "main"), ["v1"])
+    assert {r["item"]: [tuple(p) for p in r["pages"]] for r in rows.collect()} == {"m001": [("v1", 3)], "m002": [("v1", 9)]}
+    assert [tuple(r) for r in errors.collect()] == [("m9", "unknown item")]
+    source.write_report(spark, str(tmp_path / "report"), "Links", {"Items": rows.select("item").orderBy("item"), "None": rows.filter("false")})
+    said = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "report"), wholetext=True).collect())
+    assert said.strip() == "# Links\n\n## Items (2)\n\n- m001\n- m002\n\n## None (0)"
+    with pytest.raises(ValueError):
+        source.write_report(spark, str(tmp_path / "report"), "Links", {"Items": rows}, most=1)

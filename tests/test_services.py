@@ -130,8 +130,8 @@ def test_chains(spark):
 
 
 def test_art(spark):
-    art_names = spark.createDataFrame([(1, "Starscourge Radahn", "caption", "low"), (2, "Radahn Soldier", "caption", "high"), (3, "Radahn", "visual", "medium"), (4, "Radahn", "visual", "low"), (5, "Crucible Knight", "visual", "high")], "id long, name string, origin string, confidence string")
-    subjects = spark.createDataFrame([("radahn", True), ("crucible knights", False)], "subject string, person boolean")
+    art_names = spark.createDataFrame([(1, "Stormborn Harald", "caption", "low"), (2, "Harald Soldier", "caption", "high"), (3, "Harald", "visual", "medium"), (4, "Harald", "visual", "low"), (5, "Harbour Knight", "visual", "high")], "id long, name string, origin string, confidence string")
+    subjects = spark.createDataFrame([("harald", True), ("harbour knights", False)], "subject string, person boolean")
     assert {r["id"]: (r["tier"], r["exact"]) for r in art.tiers(art_names, subjects).collect()} == {1: (0, False), 3: (2, True), 5: (1, True)}
     rated = spark.createDataFrame([(0, i, "s", 0, t, True, "b", p) for i, t, p in ((1, 1, 1), (2, 0, 2), (3, 1, 2), (4, 1, 4))], "q long, id long, subject string, place int, tier int, exact boolean, book string, page int")
     hits = spark.createDataFrame([(0, 9, 0.515), (0, 8, 0.62)], "q long, id long, similarity double")
@@ -143,12 +143,12 @@ def test_art(spark):
 
 
 def test_names(spark):
-    known = spark.createDataFrame([("blaidd the half wolf",), ("sorceress sellen",)], "entity string")
-    wanted = spark.createDataFrame([("sellen sorceress",), ("blaidd the half wolff",), ("nobody here",)], "name string")
-    assert {r["name"]: r["match"] for r in names.matched(wanted, known).collect()} == {"sellen sorceress": "order", "blaidd the half wolff": "none", "nobody here": "none"}
-    assert [r["entity"] for r in names.close_matches(wanted, known).collect()] == ["blaidd the half wolf"]
-    texts = spark.createDataFrame([(1, "ask Ranni about it"), (2, "Ranni Manor is far"), (3, "**Ranni** only")], "id int, text string")
-    assert [r["id"] for r in names.text_mentions(texts, spark.createDataFrame([("Ranni",)], "word string")).collect()] == [1]
+    known = spark.createDataFrame([("borin the half wolf",), ("sorceress tilda",)], "entity string")
+    wanted = spark.createDataFrame([("tilda sorceress",), ("borin the half wolff",), ("nobody here",)], "name string")
+    assert {r["name"]: r["match"] for r in names.matched(wanted, known).collect()} == {"tilda sorceress": "order", "borin the half wolff": "none", "nobody here": "none"}
+    assert [r["entity"] for r in names.close_matches(wanted, known).collect()] == ["borin the half wolf"]
+    texts = spark.createDataFrame([(1, "ask Ulla about it"), (2, "Ulla Manor is far"), (3, "**Ulla** only")], "id int, text string")
+    assert [r["id"] for r in names.text_mentions(texts, spark.createDataFrame([("Ulla",)], "word string")).collect()] == [1]
 
 
 def test_limiter(spark):
