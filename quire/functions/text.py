@@ -114,6 +114,26 @@ def plain_quote(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def quote_words(text: Column) -> Column:
+    """The lower-case words of a text, as quotes and pages are compared."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.lower)
+
+
+#: Up to how many words a quote is short, and is not parted; the fewest characters of a fragment.
+SHORT_QUOTE, WHOLE_QUOTE, FRAGMENT = 8, 4, 12
+
+
+def quote_fragments(words: Column) -> Column:
+    """What is looked for in turn when a quote of these words is not found whole: the whole, then parts of its head and tail."""
+    n = F.size(words)
+    head = lambda k: F.slice(words, 1, k)
+    tail = lambda k: F.slice(words, -k, k)
+    # six tenths of the words, rounded up, in whole numbers
+    parts = F.when(n > SHORT_QUOTE, F.array(head(F.floor((n * 6 + 9) / 10).cast("int")), head(8), tail(8))).when(n > WHOLE_QUOTE, F.array(head(5), tail(4))).otherwise(F.array().cast("array<array<string>>"))
+    joined = F.filter(F.transform(parts, lambda w: F.array_join(w, " ")), lambda t: F.length(t) >= FRAGMENT)
+    return F.when(n > 0, F.array_distinct(F.concat(F.array(F.array_join(words, " ")), joined))).otherwise(F.array().cast("array<string>"))
+
+
 def html_escape(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))

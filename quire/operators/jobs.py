@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -113,3 +115,62 @@ def shown(items: DataFrame, books: list | None, issue: str | None, status: str |
         items = items.filter(F.col("status").isin(*OPEN_STATUS) if status == "open" else F.col("status") == status)
     order = F.desc(page) if descending else F.asc(page)
     return items.withColumn("place", F.row_number().over(Window.partitionBy("book").orderBy(order)).cast("long"))
+
+
+#: What a worker looks for, in this order; it does the first kind of work that there is.
+STEPS = ("requeue", "abandon", "validate", "run")
+
+
+def next_work(jobs: DataFrame, locked: DataFrame, claimed: DataFrame, by: list[str]) -> DataFrame:
+    """The jobs that the next tick of each worker takes up, and the step it takes: by, id, step.
+
+    jobs: id, kind, status, txn, stage, book, created and the columns ``by`` that deal them to workers. First come jobs of
+    stopped workers (running, with a transaction, their book not in ``locked``), then discarded transactions that are not
+    yet abandoned and hold no other job, then the oldest upload of a retake, then the jobs of ``claimed`` (id), those the
+    budget admits. Ties of created go to the smallest id; jobs without a book belong to no lock.
+    """
+    jobs = jobs.select(*dict.fromkeys([*by, "id", "kind", "status", "txn", "stage", "book", "created"]))
+    held = locked.select("book").distinct().withColumn("held", F.lit(True))
+    open_ = jobs.filter(F.col("txn").isNotNull() & ~F.col("status").eqNullSafe(F.lit("discarded"))).select(F.col("txn").alias("txn")).distinct().withColumn("live", F.lit(True))
+    taken = claimed.select("id").distinct().withColumn("claimed", F.lit(True))
+    rows = jobs.filter(F.col("status").isin("running", "discarded", "uploaded", "confirmed"))
+    rows = rows.join(held, "book", "left").join(open_, "txn", "left").join(taken, "id", "left")
+    status = F.col("status")
+    requeue = (status == "running") & F.col("txn").isNotNull() & F.col("held").isNull()
+    abandon = (status == "discarded") & F.col("txn").isNotNull() & F.col("live").isNull() & ~F.col("stage").eqNullSafe(F.lit("abandoned"))
+    validate = (status == "uploaded") & (F.col("kind") == "retake")
+    run = (status == "confirmed") & F.col("claimed").isNotNull()
+    step = F.when(requeue, 0).when(abandon, 1).when(validate, 2).when(run, 3)
+    rows = rows.withColumn("step", step).filter("step IS NOT NULL")
+    oldest = F.min(F.when(F.col("step") == 2, F.struct("created", "id")))
+    names = {f"__worker{i}": c for i, c in enumerate(by)}
+    first = rows.groupBy(*(F.col(c).alias(n) for n, c in names.items())).agg(F.min("step").alias("due"), oldest.alias("oldest"))
+    same = reduce(Column.__and__, (F.col(n).eqNullSafe(F.col(c)) for n, c in names.items()))
+    due = rows.join(first, same).filter((F.col("step") == F.col("due")) & ((F.col("step") != 2) | (F.col("id") == F.col("oldest.id"))))
+    return due.select(*by, "id", F.element_at(F.array(*map(F.lit, STEPS)), F.col("step") + 1).alias("step"))
+
+
+def answer_events(events: DataFrame) -> DataFrame:
+    """The events (answer, seq, kind) of answers in the order in which a reader gets them: answer, place, seq, kind.
+
+    kind is text, cite, stop (the end of a block), done or fail. Citations arrive before the text that they support, so
+    they wait for the end of their block; those of a block that does not end come before done, and are lost where the
+    answer fails. Ends of blocks are not shown, and no failure before any text: see to_ask_again. seq has no ties.
+    """
+    w = Window.partitionBy("answer").orderBy("seq")
+    whole = Window.partitionBy("answer")
+    kind = F.col("kind")
+    rows = events.select("answer", "seq", "kind").withColumn("block", F.count_if(kind == "stop").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.when(kind == "stop", 1).otherwise(0))
+    rows = rows.withColumn("blocks", F.count_if(kind == "stop").over(whole)).withColumn("failed", F.bool_or(kind == "fail").over(whole)).withColumn("texts", F.count_if(kind == "text").over(whole))
+    lost = (kind == "cite") & F.col("failed") & (F.col("block") >= F.col("blocks"))
+    rows = rows.filter(~lost & (kind != "stop") & ~((kind == "fail") & (F.col("texts") == 0)))
+    rank = F.when(kind == "text", 0).when(kind == "cite", 1).otherwise(2)
+    order = Window.partitionBy("answer").orderBy(F.col("kind").isin("done", "fail"), "block", rank, "seq")
+    return rows.withColumn("place", F.row_number().over(order).cast("long")).select("answer", "place", "seq", "kind")
+
+
+def to_ask_again(events: DataFrame, mode: str = "mode") -> DataFrame:
+    """Answers with citations that failed before any text: they are asked once more, with markers in the text."""
+    text = F.col("kind") == "text"
+    ends = events.filter(F.col(mode) == "citations").groupBy("answer").agg(F.bool_or(F.col("kind") == "fail").alias("failed"), F.bool_or(text).alias("spoke"))
+    return ends.filter("failed AND NOT spoke").select("answer")

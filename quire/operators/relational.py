@@ -223,10 +223,10 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], value: str, step:
 
 
 def touches(rows: DataFrame, keys: list[str], seconds: str, least: int = 3600) -> DataFrame:
-    """Adds touched: the uses of a session that renew it, the first and then no more than one in ``least`` seconds."""
+    """Adds touched: the uses of a session that renew it, the first and then those more than ``least`` seconds after the last that did."""
 
     def step(last: float | None, now: float) -> tuple[float | None, bool]:
-        due = last is None or now - last >= least
+        due = last is None or now - last > least
         return (now if due else last), due
 
     return folded(rows, keys, [seconds], seconds, step, None, "touched")

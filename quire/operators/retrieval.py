@@ -425,16 +425,22 @@ def retrieve(questions: DataFrame, chunks: DataFrame, index: DataFrame, entities
 
 
 def quoted(quotes: DataFrame, texts: DataFrame, width: int = 4) -> DataFrame:
-    """item_id and key of the texts (key, text) that hold each quote (item_id, quote), as whole words in normalised form.
+    """item_id and key of the texts (key, text) that hold each quote (item_id, quote), as whole words in normalised form."""
+    plain = lambda c: text.plain_quote(F.col(c))
+    wanted = quotes.select("item_id", plain("quote").alias("quote")).filter("quote <> ''")
+    return containing(wanted, texts.select("key", plain("text").alias("plain")), width).select("item_id", "key").distinct()
+
+
+def containing(wanted: DataFrame, own: DataFrame, width: int = 4) -> DataFrame:
+    """The pairs of a quote and a text (key, plain) that has the quote's words in a row, with all their columns.
 
     Quotes and texts meet on the first words of a quote, ``width`` or as many as it has; only texts that have these
-    words in a row are searched.
+    words in a row are searched. Both are in normalised form.
     """
-    plain = lambda c: text.plain_quote(F.col(c))
-    wanted = quotes.select("item_id", plain("quote").alias("quote")).filter("quote <> ''").withColumn("w", F.split("quote", " "))
-    wanted = wanted.select("item_id", "quote", F.array_join(F.slice("w", 1, width), " ").alias("start"), F.least(F.size("w"), F.lit(width)).alias("n"))
+    columns = wanted.columns
+    w = F.split("quote", " ")
+    wanted = wanted.withColumn("start", F.array_join(F.slice(w, 1, width), " ")).withColumn("n", F.least(F.size(w), F.lit(width)))
     widths = [r["n"] for r in wanted.select("n").distinct().collect()]  # width values at most
-    own = texts.select("key", plain("text").alias("plain"))
     words = own.select("key", F.split("plain", " ").alias("w"))
 
     def runs_of(n: int) -> Column:
@@ -442,9 +448,45 @@ def quoted(quotes: DataFrame, texts: DataFrame, width: int = 4) -> DataFrame:
 
     runs = F.flatten(F.array(*map(runs_of, widths or [width])))
     starts = words.select("key", F.explode(F.array_distinct(runs)).alias("start"))
-    near = starts.join(wanted.select("item_id", "quote", "start"), "start").select("key", "item_id", "quote").distinct()
+    near = starts.join(wanted.select(*columns, "start"), "start").select("key", *columns).distinct()
     spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    return near.join(own, "key").filter(F.contains(spaced("plain"), spaced("quote"))).select("item_id", "key").distinct()
+    return near.join(own, "key").filter(F.contains(spaced("plain"), spaced("quote")))
+
+
+def located(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Where each quote (item_id, quote) stands in the texts (key, items: the pieces a page's text comes in).
+
+    A quote that is not found whole is looked for by its fragments; in each text the first of them that is found counts,
+    at its first place. Gives item_id, key, fragment (0: the whole), at and words (the first word found, counted from 0
+    over all pieces, and how many there are) and ranges (item, start, end) of characters, one for each piece touched.
+    Quotes and texts without a word match nothing; repeated rows give one.
+    """
+    fragments = quotes.select("item_id", F.posexplode(text.quote_fragments(text.quote_words(F.col("quote")))).alias("fragment", "quote"))
+    plain = F.array_join(F.flatten(F.transform("items", text.quote_words)), " ")
+    own = texts.select("key", "items").distinct()
+    found = containing(fragments.distinct(), own.select("key", plain.alias("plain")).filter("plain <> ''").distinct())
+    padded = F.concat(F.lit(" "), "plain", F.lit(" "))
+    # The spaces before a place tell how many words there are.
+    ahead = F.substring(padded, F.lit(1), F.position(F.concat(F.lit(" "), "quote", F.lit(" ")), padded) - 1)
+    at = F.length(ahead) - F.length(F.replace(ahead, F.lit(" "), F.lit("")))
+    first = found.select("item_id", "key", "fragment", at.alias("at"), F.size(F.split("quote", " ")).alias("words"))
+    first = first.groupBy("item_id", "key").agg(F.min(F.struct("fragment", "at", "words")).alias("f")).select("item_id", "key", "f.*")
+    return first.join(own, "key").select("item_id", "key", "fragment", "at", "words", ranges_of(F.col("items"), F.col("at"), F.col("words")).alias("ranges"))
+
+
+def ranges_of(items: Column, at: Column, words: Column) -> Column:
+    """The characters of each piece from word ``at`` on, ``words`` of them; the words of all pieces are counted together."""
+    size = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x))
+
+    def placed(item: Column, i: Column) -> Column:
+        w, between = F.regexp_extract_all(item, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.split(item, r"[\p{L}\p{N}]+")
+        start = lambda k: size(F.slice(w, 1, k)) + size(F.slice(between, 1, k + 1))
+        return F.transform(w, lambda x, k: F.struct(i.alias("item"), start(k).alias("start"), (start(k) + F.length(x)).alias("end")))
+
+    taken = F.slice(F.flatten(F.transform(items, placed)), at + 1, words)
+    head, last = F.element_at(taken, 1), F.element_at(taken, -1)
+    span = lambda i: F.struct(i.alias("item"), F.when(i == head["item"], head["start"]).otherwise(0).alias("start"), F.when(i == last["item"], last["end"]).otherwise(F.length(F.get(items, i))).alias("end"))
+    return F.filter(F.transform(F.sequence(head["item"], last["item"]), span), lambda r: r["end"] > r["start"])
 
 
 # --- questions ----------------------------------------------------------------------------------------------------

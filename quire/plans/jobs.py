@@ -132,7 +132,7 @@ def daily_budget_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
-w AS (SELECT event_id, user_id, r, s AS last, true AS touched FROM o WHERE r = 1 UNION ALL SELECT o.event_id, o.user_id, o.r, CASE WHEN o.s - w.last >= 86400 THEN o.s ELSE w.last END, o.s - w.last >= 86400 FROM w JOIN o ON o.user_id = w.user_id AND o.r = w.r + 1)
+w AS (SELECT event_id, user_id, r, s AS last, true AS touched FROM o WHERE r = 1 UNION ALL SELECT o.event_id, o.user_id, o.r, CASE WHEN o.s - w.last > 86400 THEN o.s ELSE w.last END, o.s - w.last > 86400 FROM w JOIN o ON o.user_id = w.user_id AND o.r = w.r + 1)
 SELECT event_id, touched FROM w""")
 def session_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uses of a session that renew it: no more than one a day here."""
@@ -220,6 +220,41 @@ def rollback_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.rollback_targets(image_log(spark, sf_dir)).select("page", "version", "seq")
 
 
+TICK_SQL = """WITH j AS (SELECT o_orderkey AS id, o_orderdate AS created, o_custkey AS book, o_orderkey % 11 = 0 AS rollback, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey // 6 END AS txn,
+CASE WHEN o_orderkey % 5 = 0 THEN 'abandoned' END AS stage, o_totalprice AS estimate,
+CASE o_orderstatus WHEN 'P' THEN CASE WHEN o_orderkey // 6 % 2 = 0 THEN 'discarded' ELSE 'done' END WHEN 'F' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'uploaded' ELSE 'confirmed' END ELSE CASE WHEN o_orderkey % 29 < 12 THEN 'running' ELSE 'declined' END END AS status FROM orders),
+s AS (SELECT book, id, created, CASE
+WHEN status = 'running' AND txn IS NOT NULL AND book NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 1000) THEN 1
+WHEN status = 'discarded' AND txn IS NOT NULL AND stage IS DISTINCT FROM 'abandoned' AND NOT EXISTS (SELECT 1 FROM j o WHERE o.txn = j.txn AND o.status <> 'discarded') THEN 2
+WHEN status = 'uploaded' AND NOT rollback THEN 3
+WHEN status = 'confirmed' AND id = (SELECT arg_min(c.id, (c.created, c.id)) FROM j c WHERE c.book = j.book AND c.status = 'confirmed' AND (c.rollback OR c.txn IS NOT NULL OR c.estimate <= 150000)) THEN 4 END AS n FROM j)
+SELECT book, id, ['requeue', 'abandon', 'validate', 'run'][n] AS step FROM s WHERE n IS NOT NULL QUALIFY n = min(n) OVER (PARTITION BY book) AND (n <> 3 OR row_number() OVER (PARTITION BY book, n ORDER BY created, id) = 1)"""
+
+
+@query(TICK_SQL)
+def next_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the worker of each book takes up next; orders as jobs of customers, poor ones locked."""
+    key, state = F.col("o_orderkey"), F.col("o_orderstatus")
+    status = F.when(state == "P", F.when(F.floor(key / 6) % 2 == 0, "discarded").otherwise("done")).when(state == "F", F.when(key % 5 == 0, "uploaded").otherwise("confirmed")).otherwise(F.when(key % 29 < 12, "running").otherwise("declined"))
+    all_ = table(spark, sf_dir, "orders").select(key.alias("id"), F.col("o_orderdate").alias("created"), F.col("o_custkey").alias("book"), F.when(key % 11 == 0, "rollback").otherwise("retake").alias("kind"), F.when(key % 3 == 0, F.floor(key / 6)).alias("txn"), F.when(key % 5 == 0, "abandoned").alias("stage"), F.col("o_totalprice").alias("estimate"), status.alias("status"))
+    waiting = all_.filter("status = 'confirmed'").withColumn("fresh", F.col("txn").isNull())
+    spent = waiting.select("book", F.lit(0.0).alias("spent")).limit(0)
+    claimed = relational.admission(waiting, spent, 150_000.0, ["book"], ["created", "id"]).filter("claimed")
+    locked = table(spark, sf_dir, "customer").filter("c_acctbal < 1000").select(F.col("c_custkey").alias("book"))
+    return jobs.next_work(all_, locked, claimed, ["book"])
+
+
+@query("""WITH e AS (SELECT user_id // 2 AS answer, event_id AS seq, CASE WHEN event_id = max(event_id) OVER (PARTITION BY user_id // 2) THEN CASE WHEN user_id % 2 = 0 THEN 'fail' ELSE 'done' END WHEN event_type IN ('view', 'purchase') THEN 'text' WHEN event_type = 'signup' THEN 'stop' ELSE 'cite' END AS kind FROM events),
+b AS (SELECT *, count(*) FILTER (kind = 'stop') OVER (PARTITION BY answer ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block, count(*) FILTER (kind = 'stop') OVER (PARTITION BY answer) AS blocks, bool_or(kind = 'fail') OVER (PARTITION BY answer) AS failed, count(*) FILTER (kind = 'text') OVER (PARTITION BY answer) AS texts FROM e)
+SELECT answer, row_number() OVER (PARTITION BY answer ORDER BY kind IN ('done', 'fail'), block, kind = 'cite', seq) AS place, seq, kind FROM b WHERE kind <> 'stop' AND NOT (kind = 'cite' AND failed AND block >= blocks) AND NOT (kind = 'fail' AND texts = 0)""")
+def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as pieces of answers, two users' to an answer, citations behind the text that they support."""
+    answer = F.floor(F.col("user_id") / 2)
+    last = F.col("event_id") == F.max("event_id").over(Window.partitionBy(answer))
+    kind = F.when(last, F.when(F.col("user_id") % 2 == 0, "fail").otherwise("done")).when(F.col("event_type").isin("view", "purchase"), "text").when(F.col("event_type") == "signup", "stop").otherwise("cite")
+    return jobs.answer_events(table(spark, sf_dir, "events").select(answer.alias("answer"), F.col("event_id").alias("seq"), kind.alias("kind")))
+
+
 # Extensions: the usual windows of event time, which page services do not need but logs of this kind have.
 @query("SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS started, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

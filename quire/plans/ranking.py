@@ -245,6 +245,19 @@ def quote_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.quoted(quotes, docs).select("item_id", F.col("key").alias("doc_id"))
 
 
+@query(r"""WITH p AS (SELECT doc_id, ' ' || array_to_string(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)), ' ') || ' ' AS t FROM documents),
+b AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM benchmark) WHERE len(w) > 0),
+f AS (SELECT item_id, n, [array_to_string(w, ' ')] || list_filter(CASE WHEN n > 8 THEN [array_to_string(w[1:ceil(n * 6 / 10)::INT], ' '), array_to_string(w[1:8], ' '), array_to_string(w[-8:], ' ')] WHEN n > 4 THEN [array_to_string(w[1:5], ' '), array_to_string(w[-4:], ' ')] ELSE [] END, lambda x: length(x) >= 12) AS parts FROM b),
+u AS (SELECT item_id, unnest(parts) AS quote, unnest(range(len(parts))) AS fragment FROM f),
+m AS (SELECT item_id, doc_id, quote, t FROM u JOIN p ON contains(p.t, ' ' || u.quote || ' ') QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY fragment) = 1)
+SELECT item_id, doc_id, len(string_split(quote, ' '))::INT AS words, (len(string_split(t[1:instr(t, ' ' || quote || ' ')], ' ')) - 2)::INT AS at FROM m""")
+def quote_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where quotes stand on pages, whole or by a fragment; lines are the pieces."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.split("text", "\n").alias("items"))
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return retrieval.located(quotes, docs).select("item_id", F.col("key").alias("doc_id"), "words", "at")
+
+
 @query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS name FROM documents)
 SELECT doc_id, trim(regexp_replace(regexp_replace(lower(name), '[''‘’]', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM l""")
 def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,3 +183,21 @@ def test_citation_stream():
     assert ("cite", "vol1", 159, None) in got
     assert "".join(g[1] for g in got if g[0] == "text") == "a shack . Next [" + "x" * 500
     assert events.sse("m", "a\nb") == "event: m\ndata: a\ndata: b\n\n"
+
+
+def test_next_work(spark):
+    rows = [("r1", "v1", "retake", "running", "t1", None, 1), ("r2", "v2", "retake", "running", "t2", None, 1), ("r3", "v1", "retake", "running", None, None, 1), ("d1", "v2", "retake", "discarded", "t3", None, 2), ("d2", "v3", "retake", "discarded", "t4", None, 2), ("d3", "v3", "retake", "done", "t4", None, 2), ("u1", "v3", "retake", "uploaded", None, None, 4), ("u2", "v3", "retake", "uploaded", None, None, 3), ("u3", "v3", "rollback", "uploaded", None, None, 1), ("c1", "v4", "retake", "confirmed", None, None, 1), ("c2", "v4", "retake", "confirmed", None, None, 2), ("n1", None, "retake", "uploaded", None, None, 1), ("a1", "v5", "retake", "discarded", "t5", "abandoned", 1)]
+    own = spark.createDataFrame(rows, "id string, book string, kind string, status string, txn string, stage string, created int")
+    locked, claimed = spark.createDataFrame([("v2",)], "book string"), spark.createDataFrame([("c2",)], "id string")
+    got = {(r["id"], r["step"]) for r in jobs.next_work(own, locked, claimed, ["book"]).collect()}
+    assert got == {("r1", "requeue"), ("d1", "abandon"), ("u2", "validate"), ("c2", "run"), ("n1", "validate")}
+    one = own.withColumn("worker", F.lit(1))
+    assert [tuple(r) for r in jobs.next_work(one, locked, claimed, ["worker"]).collect()] == [(1, "r1", "requeue")]
+
+
+def test_answer_events(spark):
+    kinds = {1: ["cite", "text", "text", "stop", "cite", "text", "done"], 2: ["text", "cite", "stop", "cite", "fail"], 3: ["cite", "fail"]}
+    own = spark.createDataFrame([(a, i, k, "citations") for a, ks in kinds.items() for i, k in enumerate(ks)], "answer int, seq int, kind string, mode string")
+    got = sorted(tuple(r) for r in jobs.answer_events(own).collect())
+    assert [(a, s) for a, _, s, _ in got] == [(1, 1), (1, 2), (1, 0), (1, 5), (1, 4), (1, 6), (2, 0), (2, 1), (2, 4)]
+    assert [r["answer"] for r in jobs.to_ask_again(own).collect()] == [3]
