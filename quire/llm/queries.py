@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import byte_bpe, exact_dedup, language, licenses, neighbours, packing, quality, secrets, simhash, suffix_dedup
+from quire.llm import audit, byte_bpe, exact_dedup, language, licenses, neighbours, packing, quality, runs, secrets, sharding, simhash, suffix_dedup
 from quire.llm.shared import table
 
 
@@ -53,6 +53,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_table(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,9 +72,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_best_fit_packing, op2_license_scan, op3_exact_dedup, op4_quality_classifier, op5_secret_scan, op6_language_id, op7_nearest_neighbours, op8_suffix_dedup, op9_byte_bpe, op10_simhash_dedup, pipeline)
+    own = (op1_best_fit_packing, op2_license_scan, op3_exact_dedup, op4_quality_classifier, op5_secret_scan, op6_language_id, op7_nearest_neighbours, op8_suffix_dedup, op9_byte_bpe, op10_simhash_dedup, op11_sharding, op12_filter_audit, op13_periodic_runs, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.license_sql(), "op3_exact_dedup": exact_dedup.EXACT_SQL}
+    return {"op2_license_scan": licenses.license_sql(), "op3_exact_dedup": exact_dedup.EXACT_SQL, "op12_filter_audit": audit.AUDIT_SQL}
