@@ -80,9 +80,13 @@ def similarity(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
+#: Fixed value: what a word of a question is.
+WORD = r"[\p{L}\p{N}][\p{L}\p{N}'’\-]*"
+
+
 def content_words(question: Column) -> Column:
     """Distinct words of a question in order, without possessive endings, stop words and single characters."""
-    words = F.regexp_extract_all(F.regexp_replace(question, r"['’]s\b", ""), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    words = F.transform(F.regexp_extract_all(question, F.lit(f"({WORD})"), F.lit(1)), lambda w: F.regexp_replace(w, r"(?i)['’]s$", ""))
     good = F.filter(words, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(*sorted(STOPWORDS)))
     return F.filter(good, lambda w, i: F.array_position(F.transform(good, F.lower), F.lower(w)) == i + 1)
 

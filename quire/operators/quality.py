@@ -31,9 +31,27 @@ def page_rules(markdown: Column, figures: Column, entities: Column, quality: Col
 
 
 def unverified(uses: DataFrame, known: DataFrame) -> DataFrame:
-    """name, uses and place of the names that are not known, the most used first, of equals by name."""
+    """name, uses and place of the names that are not known, the most used first, of equals by name.
+
+    Names are numbered within those of equally many uses; how many names come before is summed over the numbers of uses.
+    """
     n = uses.join(known.select("name").distinct(), "name", "left_anti").groupBy("name").agg(F.count("*").alias("uses"))
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("uses"), "name")).cast("long"))
+    by_uses = n.groupBy("uses").agg(F.count("*").alias("names"))  # some thousands of rows at most for any input
+    ahead = F.sum("names").over(Window.orderBy(F.desc("uses")).rowsBetween(Window.unboundedPreceding, -1))
+    before = by_uses.select("uses", F.coalesce(ahead, F.lit(0)).alias("before"))
+    here = places_within(n, "uses", "name")
+    return here.join(before, "uses").select("name", "uses", (F.col("before") + F.col("place")).cast("long").alias("place"))
+
+
+def places_within(rows: DataFrame, group: str, by: str) -> DataFrame:
+    """Adds place (from 1, by ``by``, without ties) within each group, however large: rows are dealt by ranges of group and
+    ``by``; within a range they are numbered, and ranges know how many of their first group came before."""
+    dealt = rows.repartitionByRange(group, by).withColumn("__range", F.spark_partition_id()).checkpoint()
+    sizes = dealt.groupBy(group, "__range").agg(F.count("*").alias("__n"))
+    ahead = F.sum("__n").over(Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(group, "__range", F.coalesce(ahead, F.lit(0)).alias("__ahead"))
+    own = F.row_number().over(Window.partitionBy(group, "__range").orderBy(by))
+    return dealt.join(sizes, [group, "__range"]).withColumn("place", F.col("__ahead") + own).drop("__range", "__ahead")
 
 
 def shifted_figures(parts: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -204,29 +204,32 @@ def admission(groups: DataFrame, spent: DataFrame, budget: float, by: list[str],
 def folded(rows: DataFrame, keys: list[str], order: list[str], value: str, step: Callable, start: object, out: str) -> DataFrame:
     """Adds the boolean ``out`` by a fold over each key's rows in order: step(state, value) gives the next state and the mark.
 
-    Rows are dealt by key and stream past in order, so that a key may have any number of them.
+    Rows are dealt by key and stream past in order as Arrow batches, so that a key may have any number of them. Spark says
+    where a key begins (null is a key like any other); the columns pass untouched.
     """
+    first = "__first"
+    marked = rows.withColumn(first, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+    at, new = rows.columns.index(value), len(rows.columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, state = None, start
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = start
         for b in batches:
             marks = []
-            for key, x in zip(b[keys].itertuples(index=False, name=None), b[value]):
-                if key != last:
-                    last, state = key, start
-                state, mark = step(state, x)
+            for begins, x in zip(b.column(new).to_pylist(), b.column(at).to_pylist()):
+                state, mark = step(start if begins else state, x)
                 marks.append(mark)
-            yield b.assign(**{out: marks})
+            names = [*b.schema.names[:new], out]
+            yield pa.RecordBatch.from_arrays([*b.columns[:new], pa.array(marks, pa.bool_())], names)
 
-    schema = StructType([*rows.schema.fields, StructField(out, BooleanType())])
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return marked.mapInArrow(run, StructType([*rows.schema.fields, StructField(out, BooleanType())]))
 
 
 def touches(rows: DataFrame, keys: list[str], seconds: str, least: int = 3600) -> DataFrame:
-    """Adds touched: the uses of a session that renew it, the first and then those more than ``least`` seconds after the last that did."""
+    """Adds touched: the uses of a session that renew it, the first and then those more than ``least`` seconds after the last
+    that did. A use without a time renews nothing."""
 
-    def step(last: float | None, now: float) -> tuple[float | None, bool]:
-        due = last is None or now - last > least
+    def step(last: float | None, now: float | None) -> tuple[float | None, bool]:
+        due = now is not None and (last is None or now - last > least)
         return (now if due else last), due
 
     return folded(rows, keys, [seconds], seconds, step, None, "touched")

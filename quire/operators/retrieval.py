@@ -6,7 +6,6 @@ treats all rows as one question's.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quire.functions import text
-from quire.operators import relational
+from quire.operators import fulltext, relational, vectors
 
 
 @dataclass(frozen=True)
@@ -52,16 +51,35 @@ def exact_matches(candidates: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def trigram_matches(candidates: DataFrame, names: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Pairs (q, norm, name_norm, similarity) at or over the threshold, equal names left out.
+    """Pairs (q, norm, name_norm, similarity) at or over the threshold, equal names left out."""
+    near = prefix_pairs(candidates, names, threshold).withColumn("both", F.size(F.array_intersect("ta", "tb")))
+    near = near.withColumn("similarity", F.col("both") / (F.size("ta") + F.size("tb") - F.col("both")))
+    return near.filter(F.col("similarity") >= threshold).select("q", "norm", "name_norm", "similarity")
 
-    Both sides are exploded into trigrams and meet on equal ones, so only pairs that share a trigram are made; what
-    they share is counted against the sizes that each side brings along.
+
+def prefix_pairs(candidates: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that may be as similar as the threshold: q, norm, name_norm and their trigrams ta, tb.
+
+    The trigrams of a name are put in one order for all, from rare to common among the names. Two sets with that share in
+    common agree in one of the first n - ceil(threshold * n) + 1 of each, so only these are joined: a trigram that most
+    names have stands last and meets nobody. Sizes too far apart go; a pair counts where it meets first.
     """
-    tri = lambda df, c: df.withColumn("t", text.trigrams(F.col(c))).withColumn("n", F.size("t"))
-    a = tri(candidates.select("q", "norm").distinct(), "norm").select("q", "norm", F.col("n").alias("na"), F.explode("t").alias("tri"))
-    b = tri(names.select("name_norm").distinct(), "name_norm").select("name_norm", F.col("n").alias("nb"), F.explode("t").alias("tri"))
-    both = a.join(b, "tri").filter("norm <> name_norm").groupBy("q", "norm", "name_norm", "na", "nb").agg(F.count("*").alias("both"))
-    return both.withColumn("similarity", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).filter(F.col("similarity") >= threshold).select("q", "norm", "name_norm", "similarity")
+    a = candidates.select("q", "norm").distinct().withColumn("t", text.trigrams(F.col("norm")))
+    b = names.select("name_norm").distinct().withColumn("t", text.trigrams(F.col("name_norm")))
+    common = b.select(F.explode("t").alias("tri")).groupBy("tri").agg(F.count("*").alias("seen"))
+
+    def ordered(rows: DataFrame, keys: list[str], t: str) -> DataFrame:
+        seen = rows.select(*keys, F.explode("t").alias("tri")).join(common, "tri", "left")
+        one = F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "tri")
+        sets = seen.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["tri"]).alias(t))
+        n = F.size(t)
+        return sets.withColumn(f"p{t}", F.slice(t, 1, n - F.ceil(n * threshold - 1e-9).cast("int") + 1))
+
+    left, right = ordered(a, ["q", "norm"], "ta"), ordered(b, ["name_norm"], "tb")
+    met = left.withColumn("tri", F.explode("pta")).join(right.withColumn("tri", F.explode("ptb")), "tri")
+    fits = lambda x, y: F.size(x) >= threshold * F.size(y) - 1e-9
+    first = F.get(F.array_intersect("pta", "ptb"), F.lit(0)) == F.col("tri")
+    return met.filter(fits("ta", "tb") & fits("tb", "ta") & first & (F.col("norm") != F.col("name_norm"))).select("q", "norm", "name_norm", "ta", "tb")
 
 
 def asked(df: DataFrame) -> list[str]:
@@ -151,64 +169,31 @@ def select_spans(rows: DataFrame) -> DataFrame:
 # --- search -------------------------------------------------------------------------------------------------------
 
 
-def vector_top(queries: DataFrame, vectors: DataFrame, k: int = 40, vec: str = "embedding", block: int = 4096) -> DataFrame:
-    """The k vectors of largest cosine for each query (q, qv), ties by key.
+def vector_top(queries: DataFrame, rows: DataFrame, k: int = 40, vec: str = "embedding", few: int = vectors.ASKED) -> DataFrame:
+    """The k vectors (key, and a column ``vec``) of largest cosine for each query (q, qv), ties by key; see ``vectors``."""
+    asked_ = queries.select("q", F.col("qv").cast("array<double>").alias("v")).filter("v is not null")
+    own = rows.select("key", F.col(vec).cast("array<double>").alias("v")).filter("v is not null")
+    return vectors.ranked(vectors.best(asked_, own, k, few=few), k)
 
-    The vectors are read once for every ``block`` queries, which go to the tasks as one matrix; a task multiplies its
-    batches with it and keeps k a query, so that few rows are shuffled.
-    """
-    own = queries.select("q", "qv").filter("qv is not null")
-    blocks = max(1, -(-own.count() // block))
-    part = F.pmod(F.xxhash64("q"), F.lit(blocks))
-    tops = None
-    for b in range(blocks):
-        rows = own.filter(part == b).collect()
-        q, m = np.array([r["q"] for r in rows], dtype=np.int64), np.array([r["qv"] for r in rows], dtype=np.float64)
-        top = vectors.select("key", F.col(vec).cast("array<double>").alias("v")).filter("v is not null").mapInPandas(best_of_batches(q, m, k, cosines), "q long, key long, score double")
-        tops = top if tops is None else tops.unionByName(top)
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "key")
-    return tops.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "key", "score", "rank")
-
-
-def best_of_batches(q: np.ndarray, m: np.ndarray, k: int, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """For mapInPandas: of each batch of rows (key, v) the k of largest score(m, rows) for each row of m, ties by key."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b) or not len(q):
-                continue
-            keys, scores = b["key"].to_numpy(), score(m, np.array(b["v"].tolist()))
-            order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, : min(k, len(keys))]
-            out = pd.DataFrame({"q": np.repeat(q, order.shape[1]), "key": keys[order].ravel(), "score": np.take_along_axis(scores, order, axis=1).ravel()})
-            yield out[np.isfinite(out["score"])]
-
-    return run
-
-
-def cosines(m: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Rounded to six digits; undefined for zero vectors."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return np.round((m @ x.T) / np.linalg.norm(m, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :], 6)
-
-
-def photo_matches(photos: DataFrame, pages: DataFrame, most: int = 14, margin: int = 6, block: int = 4096) -> DataFrame:
-    """key, other, distance, margin, same: the page whose hash is nearest to each photo's, how much farther the next one
-    is (null if there is none), and whether both tell that it is the same page. photos, pages: key, h (64 bits)."""
-    blocks = max(1, -(-photos.count() // block))
-    part = F.pmod(F.xxhash64("key"), F.lit(blocks))
-    near = []
-    for b in range(blocks):
-        rows = photos.filter(part == b).select("key", "h").collect()
-        q, m = np.array([r["key"] for r in rows], dtype=np.int64), np.array([r["h"] for r in rows], dtype=np.int64)
-        far = lambda m, x: -np.bitwise_count((m[:, None] ^ x[None, :]).view(np.uint64)).astype(float)
-        near.append(pages.select("key", F.col("h").alias("v")).mapInPandas(best_of_batches(q, m, 3, far), "q long, key long, score double"))
-    near = reduce(DataFrame.unionByName, near).filter("q <> key").select("q", "key", (-F.col("score")).cast("long").alias("distance"))
+
+def photo_matches(photos: DataFrame, pages: DataFrame, most: int = 14, margin: int = 6, few: int = vectors.ASKED) -> DataFrame:
+    """key, other, distance, margin, same: the page whose hash is nearest to each photo's, at any distance, how much farther
+    the next one is (null if there is none), and whether both tell that it is the same page. photos, pages: key, h (64
+    bits). Where only near pages are wanted, ``hashes.closest`` meets far fewer of them."""
+    bits = lambda df, q: df.select(F.col("key").alias(q), F.array("h").alias("v"))
+    near = vectors.best(bits(photos, "q"), bits(pages, "key"), 3, hamming, few)
+    near = near.filter("q <> key").select("q", "key", (-F.col("score")).cast("long").alias("distance"))
     w = Window.partitionBy("q").orderBy("distance", "key")
     best = near.withColumn("r", F.row_number().over(w)).filter("r <= 2").withColumn("margin", F.lead("distance").over(w) - F.col("distance")).filter("r = 1")
     same = (F.col("distance") <= most) & (F.col("margin").isNull() | (F.col("margin") >= margin))
     return best.select(F.col("q").alias("key"), F.col("key").alias("other"), "distance", "margin", same.alias("same"))
 
 
+def hamming(m: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Differing bits of hashes, as negative scores. Hashes are whole numbers: vectors of one element."""
+    return -np.bitwise_count((m[:, 0][:, None] ^ x[:, 0][None, :]).view(np.uint64)).astype(float)
+
+
 def postings(chunks: DataFrame, weights: dict[str, float]) -> DataFrame:
     """key, lexeme, weight: one row a position of a lexeme; weights by column (headings count more than text)."""
     parts = [chunks.select("key", F.explode(text.tokens(F.col(c))).alias("lexeme"), F.lit(w).alias("weight")) for c, w in weights.items()]
@@ -228,8 +213,14 @@ def lexical_top(queries: DataFrame, index: DataFrame, k: int = 40, few: int = 10
 
 
 def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of ranked lists (q, why, key, rank): score, why (sorted) and ranks by list."""
-    fused = lists.groupBy("q", "key").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.array_sort(F.collect_set("why")).alias("why"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("why", "rank")))).alias("ranks"))
+    """Reciprocal rank fusion of ranked lists (q, why, key, rank): score, why (sorted) and ranks by list.
+
+    A key that stands in a list twice counts twice and keeps its last rank.
+    """
+    once = lists.groupBy("q", "key", "why").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.max("rank").alias("rank"))
+    listed = F.array_sort(F.collect_list(F.struct("why", "rank"))).alias("ranks")
+    fused = once.groupBy("q", "key").agg(F.sum("score").alias("score"), listed)
+    fused = fused.withColumn("why", F.transform("ranks", lambda x: x["why"])).withColumn("ranks", F.map_from_entries("ranks"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "key")
     return fused.withColumn("place", F.row_number().over(w))
 
@@ -259,11 +250,12 @@ def rerank_head(fused: DataFrame, reranked: DataFrame, head: int = 30) -> DataFr
 
 
 def within_budget(items: DataFrame, budget: int, group: str, order: list[str], cost: str) -> DataFrame:
-    """Takes each group's items in order as long as they fit; one that does not is skipped and later ones still may."""
+    """Takes each group's items in order as long as they fit; one that does not is skipped and later ones still may. An item
+    without a cost costs nothing."""
 
-    def step(used: int, x: int) -> tuple[int, bool]:
-        fits = used + x <= budget
-        return used + x * fits, fits
+    def step(used: int, x: int | None) -> tuple[int, bool]:
+        fits = used + (x or 0) <= budget
+        return used + (x or 0) * fits, fits
 
     return relational.folded(items, [group], order, cost, step, 0, "__taken").filter("__taken").select(*items.columns)
 
@@ -399,12 +391,14 @@ class Retrieved:
 def retrieve(questions: DataFrame, chunks: DataFrame, index: DataFrame, entities: DataFrame, pages: DataFrame, links: DataFrame, focus: DataFrame | None = None, prior: DataFrame | None = None, relevance: DataFrame | None = None, d: Defaults = Defaults()) -> Retrieved:
     """The whole retrieval for a table of questions (q, question, qv).
 
-    chunks: key, book, page, idx, embedding; index: postings of the chunks; pages also with tokens; focus: q, ord, book,
-    page that a reader has in view; relevance: q, key, relevance from a reranker.
+    chunks: key, book, page, idx, embedding; index: fulltext.postings of the chunks; pages also with tokens; focus: q,
+    ord, book, page that a reader has in view; relevance: q, key, relevance from a reranker.
     """
     found = resolve(questions, entities, pages, links, prior, d)
-    words = questions.select("q", F.explode(F.transform(text.content_words(F.col("question")), F.lower)).alias("lexeme"))
-    lists = vector_top(questions, chunks, d.vector_k).withColumn("why", F.lit("vector")).unionByName(lexical_top(words, index, d.lexical_k).withColumn("why", F.lit("lexical"))).select("q", "why", "key", "rank")
+    said = questions.select("q", text.lexical_query(F.col("question")).alias("question"))
+    lexical = fulltext.search(said, index, d.lexical_k).withColumn("why", F.lit("lexical"))
+    vector = vector_top(questions, chunks, d.vector_k).withColumn("why", F.lit("vector"))
+    lists = vector.unionByName(lexical).select("q", "why", "key", "rank")
     own = found.own
     if focus is not None:
         seen = page_chunks(focus, chunks.select("key", "book", "page", "idx"))
@@ -491,8 +485,7 @@ def ranges_of(items: Column, at: Column, words: Column) -> Column:
 
 # --- questions ----------------------------------------------------------------------------------------------------
 
-#: What a word of a question is, and the types of entities that are places.
-WORD = r"[\p{L}\p{N}][\p{L}\p{N}'’\-]*"
+#: The types of entities that are places.
 LOCATIONS = ("location", "region", "dungeon", "site_of_grace")
 
 
@@ -502,9 +495,9 @@ def question_candidates(questions: DataFrame, longest: int = 4) -> DataFrame:
     These are the runs of up to ``longest`` words that neither end in a stop word nor begin with one (a capitalised
     pair may begin with one), and the question as a whole. Of equal normalised names the first stands.
     """
-    asked_ = questions.select("q", F.trim("question").alias("question")).withColumn("w", F.regexp_extract_all("question", F.lit(f"({WORD})"), F.lit(1)))
+    asked_ = questions.select("q", F.trim("question").alias("question")).withColumn("w", F.regexp_extract_all("question", F.lit(f"({text.WORD})"), F.lit(1)))
     # The pieces between the words tell where each begins.
-    asked_ = asked_.filter(F.size("w") > 0).withColumn("between", F.split("question", WORD))
+    asked_ = asked_.filter(F.size("w") > 0).withColumn("between", F.split("question", text.WORD))
     word = lambda w, i: F.struct(w.alias("w"), w.rlike(r"^\p{Lu}").alias("upper"), F.lower(w).isin(*sorted(text.STOPWORDS)).alias("stop"), F.lower(w).isin(*sorted(text.CONNECTIVES)).alias("small"), lengths(i).alias("start"))
     lengths = lambda i: F.aggregate(F.slice("w", 1, i), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("between", 1, i + 1), F.lit(0), lambda a, x: a + F.length(x))
     numbered = asked_.select("q", "question", F.transform("w", word).alias("w"))
