@@ -1,12 +1,13 @@
 """Licence scans by canonical digests: entire texts are normalised and hash-joined to those of known licences.
 
 Normalising folds case, punctuation, white space and equivalent spellings, and drops copyright lines, so that copies
-of one licence with other years, holders, quotes or line breaks have one digest. A text is looked up whole, and each
-of its lines and of its paragraphs (parted by lines without a letter or digit) as an entire text of its own, since
-documents often carry a notice inside.
+of one licence with other years, holders, quotes or line breaks have one digest. A copyright line begins with the word or
+its sign and goes on with a sign, a year or a place for one: a line that a sentence's "copyright holders" happens to begin
+stays. A text is looked up whole, and each of its lines and of its paragraphs (parted by lines without a letter or digit)
+as an entire text of its own, since documents often carry a notice inside. Parts meet the known digests in a hash join.
 
-Known are the texts and notices in KNOWN, with and without their titles, and every file of a folder of full texts,
-named by their licences (the folder that Debian keeps, where there is one).
+Known are the texts and notices in KNOWN, with and without their titles, and the full texts whose digests are in FULL. A
+folder of more texts, named by their licences, can be given (``known_texts``, ``known_licenses``); none is looked for.
 
 Defined results: a null or empty text, or one of nothing but copyright lines, matches nothing (its digest is that of
 the empty text); repeated rows repeat; two names of one digest give the smaller; an empty table gives an empty
@@ -25,9 +26,9 @@ from quire.llm.shared import text_of
 #: Equivalent spellings, as regular expression and what it becomes (after lower-casing).
 SPELLINGS = [
     ("licence", "license"),
-    ("sub-license", "sublicense"),
-    ("non-commercial", "noncommercial"),
-    ("per cent", "percent"),
+    ("sub-\\s*license", "sublicense"),
+    ("non-\\s*commercial", "noncommercial"),
+    ("per\\s+cent", "percent"),
     ("https:", "http:"),
     ("(\\(c\\)|©)", "copyright"),
 ]
@@ -75,13 +76,31 @@ Unless required by applicable law or agreed to in writing, software distributed
 TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "Zlib": ["zlib License"]}
 #: Names of Debian's files by the licences that they hold.
 FILES = {"BSD": "BSD-3-Clause-UC", "Artistic": "Artistic-1.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0"}
-FOLDER = "/usr/share/common-licenses"
+#: Digests of full texts as Debian distributes them, and the sizes of their canonical forms.
+FULL: list[tuple[str, str, int]] = [
+    ("Apache-2.0", "e54d72b4475d38e8ac691465cfb3533349778f63a32af127056c574c123b5dcf", 9890),
+    ("Artistic-1.0", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702", 5833),
+    ("BSD-3-Clause-UC", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9", 1381),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", 6692),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60", 19583),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826", 22018),
+    ("GPL-1.0", "490a17f9c44b8e7737e6d5b52eebf4c3610f67ee98c4ad515329fa012eebe42d", 11773),
+    ("GPL-2.0", "2d0b5e012e036a2690fe078a56f4c6dabcb7e2c352ef799e5e2074dab15ef4ae", 17125),
+    ("GPL-3.0", "d83c17395c9a12cd395b7344eeb0d7e93e4ce5c7e6565e5590ba6d2df2f9e9e1", 33414),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", 24130),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", 25217),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104),
+    ("MPL-1.1", "f1daf3234686278093cf1137babd0598754ada714f0fc44e06e080008f7c6b38", 22499),
+    ("MPL-2.0", "797da5d4e9dafcb728632460f1b236d20d0aa8b1f838aa5911bd9f74276d611e", 14349),
+]
+#: Fixed value: the beginning of a copyright line, in lower case.
+STATEMENT = r"[ \t*#/;-]*(?:(?:copyright|\(c\)|©)[ \t]*(?:copyright|\(c\)|©|[0-9]{4}|\[yyyy\]|\[year\]|<year>)|©)"
 
 
-def known_texts(folder: str | None = FOLDER) -> list[tuple[str, str]]:
-    """license_id and text of all that is known; read by the driver, as many as there are licences in the folder."""
+def known_texts(folder: str | None = None) -> list[tuple[str, str]]:
+    """license_id and text of what is known, and of the files of a folder if given, read by the driver."""
     found = [*KNOWN, *((name, f"{title}\n{text}") for name, text in KNOWN if len(text) > 500 for title in TITLES.get(name, []))]
-    for name in sorted(os.listdir(folder)) if folder and os.path.isdir(folder) else []:
+    for name in sorted(os.listdir(folder)) if folder else []:
         path = os.path.join(folder, name)
         if os.path.isfile(path) and not os.path.islink(path):
             with open(path, encoding="utf-8", errors="replace") as f:
@@ -91,7 +110,7 @@ def known_texts(folder: str | None = FOLDER) -> list[tuple[str, str]]:
 
 def folded(text: Column) -> Column:
     """Lower case, copyright lines out, spellings folded, and all that is no letter, digit or line break one space."""
-    t = F.regexp_replace(F.lower(text), r"(?m)^[ \t*#/;-]*(copyright|\(c\)|\x{00a9})[^\n]*$", " ")
+    t = F.regexp_replace(F.lower(text), rf"(?m)^{STATEMENT}[^\n]*$", " ")
     for pattern, to in SPELLINGS:
         t = F.regexp_replace(t, pattern, to)
     return F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
@@ -102,35 +121,42 @@ def canonical(fold: Column) -> Column:
     return F.trim(F.regexp_replace(fold, "[ \n]+", " "))
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(folded(text)), 256)
-
-
 def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """license_id, digest and size (of the canonical text), one row a digest; as many rows as are known."""
+    """license_id, digest and size (of the canonical text), one row a digest: of the texts given, else of all that is known."""
     rows = spark.createDataFrame(known if known is not None else known_texts(), "license_id string, text string")
     rows = rows.select("license_id", canonical(folded(F.col("text"))).alias("t"))
-    return rows.groupBy(F.sha2("t", 256).alias("digest"), F.length("t").alias("size")).agg(F.min("license_id").alias("license_id"))
+    rows = rows.select("license_id", F.sha2("t", 256).alias("digest"), F.length("t").alias("size"))
+    if known is None and FULL:
+        rows = rows.unionByName(spark.createDataFrame(FULL, "license_id string, digest string, size int"))
+    return rows.groupBy("digest", "size").agg(F.min("license_id").alias("license_id"))
 
 
-def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def license_scan(docs: DataFrame, known: DataFrame | None = None, few: int = 10_000) -> DataFrame:
     """doc_id, digest (of the whole text), license_id (whose entire text this is), line_licenses (names whose text or
-    notice is a line or paragraph of it, sorted, joined by commas; '' for none)."""
-    table = (known if known is not None else known_licenses(docs.sparkSession)).collect()
-    # As many entries as licences are known. Only parts as long as a known text are hashed.
-    names_of = F.create_map(*(F.lit(x) for r in table for x in (r["digest"], r["license_id"]))) if table else F.create_map().cast("map<string,string>")
-    sizes = sorted({r["size"] for r in table})
-    name_of = lambda t: F.when(F.length(t).isin(sizes), F.try_element_at(names_of, F.sha2(t, 256)))
-    rows = text_of(docs).select("doc_id", folded(F.col("text")).alias("f"))
-    rows = rows.select("doc_id", F.sha2(canonical(F.col("f")), 256).alias("digest"), "f")
+    notice is a line or paragraph of it, sorted, joined by commas; '' for none).
+
+    Only parts as long as a known text go on to the join, which is a broadcast one for up to ``few`` known licences.
+    """
+    known = known if known is not None else known_licenses(docs.sparkSession)
+    sizes = [r["size"] for r in known.select("size").distinct().collect()]  # as many as licences are known
+    known = known.select(F.col("digest").alias("of"), "license_id")
+    known = F.broadcast(known) if known.count() <= few else known
+    rows = text_of(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), folded(F.col("text")).alias("f"))
     parts = F.concat(F.split("f", "\n"), F.split("f", "\n(?: ?\n)+"))
-    found = F.transform(parts, lambda x: name_of(canonical(x)))
-    names = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
-    return rows.select("doc_id", "digest", F.try_element_at(names_of, F.col("digest")).alias("license_id"), F.array_join(names, ",").alias("line_licenses"))
+    held = F.filter(F.transform(parts, canonical), lambda x: F.length(x).isin(sizes))
+    digest = F.sha2(canonical(F.col("f")), 256).alias("digest")
+    rows = rows.select("row", "doc_id", digest, F.transform(F.array_distinct(held), lambda x: F.sha2(x, 256)).alias("parts"))
+    ofs = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("digest").alias("of"))), F.transform("parts", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("of"))))
+    found = rows.select("row", "doc_id", "digest", F.inline(ofs)).join(known, "of", "left")
+    # A row whose parts match nothing comes back as it went: one row, its whole text.
+    found = found.filter(F.col("whole") | F.col("license_id").isNotNull())
+    name = F.max(F.when(F.col("whole"), F.col("license_id"))).alias("license_id")
+    names = F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))), ",").alias("line_licenses")
+    return found.groupBy("row", "doc_id", "digest").agg(name, names).drop("row")
 
 
 def _sql_folded(text: str) -> str:
-    t = rf"regexp_replace(lower({text}), '(?m)^[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*$', ' ', 'g')"
+    t = rf"regexp_replace(lower({text}), '(?m)^{STATEMENT}[^\n]*$', ' ', 'g')"
     for pattern, to in SPELLINGS:
         t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
     return rf"regexp_replace({t}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
@@ -142,9 +168,12 @@ def _sql_canonical(fold: str) -> str:
 
 def license_sql() -> str:
     known = ", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in known_texts())
+    full = ", ".join(f"('{a}', '{b}')" for a, b, _ in FULL)
     return rf"""
 WITH known_text(license_id, text) AS (VALUES {known}),
-known AS (SELECT sha256({_sql_canonical(_sql_folded('text'))}) AS digest, min(license_id) AS license_id FROM known_text GROUP BY 1),
+full_text(license_id, digest) AS (VALUES {full}),
+every AS (SELECT license_id, sha256({_sql_canonical(_sql_folded('text'))}) AS digest FROM known_text UNION ALL FROM full_text),
+known AS (SELECT digest, min(license_id) AS license_id FROM every GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_sql_folded("coalesce(text, '')")} AS f FROM documents),
 w AS (SELECT r, doc_id, sha256({_sql_canonical('f')}) AS digest FROM d),
 p AS (SELECT r, unnest(list_concat(string_split(f, chr(10)), regexp_split_to_array(f, '

@@ -57,6 +57,42 @@ def test_licenses(spark, odd_docs, no_docs):
     assert got[3]["line_licenses"] == "MIT" and got[5]["line_licenses"] == "Apache-2.0"
 
 
+def test_line_breaks_change_no_digest(spark):
+    """Every known text at every width from 40 to 100, as one paragraph and as its own ones."""
+    import textwrap
+
+    whole = [(name, text) for name, text in licenses.KNOWN if len(text) > 500]
+    rows = []
+    for name, text in whole:
+        for width in range(40, 101):
+            rows.append((len(rows), name, textwrap.fill(text, width, break_long_words=False)))
+            rows.append((len(rows), name, "\n\n".join(textwrap.fill(x, width, break_long_words=False) for x in text.split("\n"))))
+    docs = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(docs).collect()}
+    assert len(rows) > 800 and got == {i: name for i, name, _ in rows}
+
+
+def test_copyright_lines(spark):
+    lines = ["Copyright (c) 2019 A. B.", "copyright 2020 by C", "# (c) 2019 D", "\u00a9 E Ltd.", "Copyright [yyyy] F", "  * Copyright \u00a9 G"]
+    kept = ["copyright holders and contributors", "(c) You must retain", "copyright notice and this permission", "see copyright 2019"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lines + kept)], "i int, t string").orderBy("i")
+    left = [r[0] for r in rows.select(licenses.canonical(licenses.folded(F.col("t")))).collect()]
+    assert left[: len(lines)] == [""] * len(lines) and all(left[len(lines) :])
+
+
+def test_full_texts_by_digest(spark):
+    """Where a machine has the texts, they have the digests that are stored."""
+    import os
+
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no such texts here")
+    texts = licenses.known_texts(folder)[len(licenses.known_texts()) :]
+    rows = licenses.known_licenses(spark, texts).collect()
+    stored = {d: name for name, d, _ in licenses.FULL}
+    assert all(stored.get(r["digest"], r["license_id"]) == r["license_id"] for r in rows) and {r["digest"] for r in rows} & set(stored)
+
+
 def test_licenses_of_a_folder(spark, tmp_path):
     (tmp_path / "GPL-3").write_text("A long text,\nin two lines.")
     (tmp_path / "X11").write_text("Another text")
