@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text
+from quire.sources.shapes import Flag, List, Nullable, Number, Object, OneOf, Optional, Text, faults, summed_up
 
 S, I, B = T.StringType(), T.IntegerType(), T.BooleanType()
 
@@ -21,42 +22,83 @@ QUALITY = _struct(image_quality=S, quality_issues=T.ArrayType(S), affected_areas
 PAGE = _struct(book=S, page=I, chapter=S, region=S, page_type=S, markdown=S, figures=T.ArrayType(FIGURE), entities=T.ArrayType(ENTITY), quality=QUALITY)
 
 
+#: What the fields of page documents may say.
+PAGE_TYPES = tuple("walkthrough map item_table boss npc lore index other".split())
+FIGURE_KINDS = tuple("map screenshot diagram icon_row".split())
+ENTITY_TYPES = tuple("""item weapon armor talisman spell ash_of_war consumable key_item location region dungeon boss enemy
+npc merchant site_of_grace""".split())
+IMAGE_QUALITY = ("good", "usable", "poor", "unusable")
+QUALITY_ISSUES = tuple("""blur glare shadow skew crop_cut_off low_resolution page_curl motion_blur color_cast
+fingers_or_obstruction two_pages_in_frame other""".split())
+LEVELS = ("high", "medium", "low")
+
+FIGURE_SHAPE = Object({"kind": OneOf(FIGURE_KINDS), "description": Text(), "labels": List(Text()), "legend": Nullable(Text())})
+ENTITY_SHAPE = Object({"type": OneOf(ENTITY_TYPES), "name": Text(1), "location": Nullable(Text()), "how_to_obtain": Nullable(Text()), "connects_to": List(Text())})
+QUALITY_SHAPE = Object({
+    "image_quality": OneOf(IMAGE_QUALITY), "quality_issues": List(OneOf(QUALITY_ISSUES)), "affected_areas": Nullable(Text()),
+    "retake_recommended": Flag(), "retake_reason": Nullable(Text()), "ocr_agreement": OneOf(LEVELS),
+    "illegible_regions": Number(whole=True, least=0), "notes": Nullable(Text()),
+})
+PAGE_SHAPE = Object({
+    "book": Text(1), "page": Number(whole=True, least=0), "chapter": Nullable(Text()), "region": Nullable(Text()),
+    "page_type": OneOf(PAGE_TYPES), "markdown": Text(), "figures": List(FIGURE_SHAPE), "entities": List(ENTITY_SHAPE),
+    "quality": QUALITY_SHAPE,
+})
+#: Labels of art spreads: other fields are passed over.
+NAME_SHAPE = Object({"name": Text(1), "source": OneOf(("caption", "visual")), "verified": Optional(Flag()), "entity": Optional(Nullable(Text())), "match": Optional(Text())}, strict=False)
+ARTWORK_SHAPE = Object({
+    "boxes": List(Number(whole=True)), "bbox": List(Number(), 4), "kind": Text(1), "caption_ja": Nullable(Text()),
+    "names": List(NAME_SHAPE), "description": Text(1), "confidence": OneOf(LEVELS),
+}, strict=False)
+CONTENT_SHAPE = Object({k: Optional(Nullable(Text())) for k in ("chapter", "section", "section_ja", "region")}, strict=False)
+SPREAD_SHAPE = Object({
+    "book": Text(), "pdf_page": Number(whole=True, above=0), "folios": List(Number(whole=True)), "contents": List(CONTENT_SHAPE),
+    "artworks": List(ARTWORK_SHAPE), "not_art": List(Number(whole=True)), "section_heading_ja": Nullable(Text()), "notes": Nullable(Text()),
+}, strict=False)
+NAME = _struct(name=S, source=S, verified=B, entity=S, match=S)
+ARTWORK = _struct(boxes=T.ArrayType(I), bbox=T.ArrayType(T.DoubleType()), kind=S, caption_ja=S, names=T.ArrayType(NAME), description=S, confidence=S)
+CONTENT = _struct(chapter=S, section=S, section_ja=S, region=S)
+SPREAD = _struct(book=S, pdf_page=I, folios=T.ArrayType(I), contents=T.ArrayType(CONTENT), artworks=T.ArrayType(ARTWORK), not_art=T.ArrayType(I), section_heading_ja=S, notes=S)
+
+
 def read_files(spark: SparkSession, folder: str, glob: str = "p[0-9][0-9][0-9].json", pages: list[int] | None = None) -> DataFrame:
-    """file, number (from the file's name), body and source_hash of the page files of a folder, read once as bytes."""
+    """file, number (from the file's name), body (null where the bytes are not UTF-8) and source_hash of the page files of a
+    folder, read once as bytes. Files without a byte are passed over by Spark's reader."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    rows = files.select(name.alias("file"), F.regexp_extract(name, r"(\d+)", 1).cast("int").alias("number"), F.decode("content", "UTF-8").alias("body"), F.sha2("content", 256).alias("source_hash"))
+    name, body = F.regexp_extract("path", r"([^/]+)$", 1), F.try_validate_utf8(F.col("content").cast("string")).alias("body")
+    rows = files.select(name.alias("file"), F.regexp_extract(name, r"(\d+)", 1).cast("int").alias("number"), body, F.sha2("content", 256).alias("source_hash"))
     return rows.filter(F.col("number").isin(pages)) if pages else rows
 
 
-def checked(files: DataFrame, book: str, page_types: list[str] | None = None) -> DataFrame:
-    """Adds doc (the parsed page) and reasons: why a file is not taken; an empty array for good ones."""
-    known = F.lit(set_of(PAGE))
-    rows = files.withColumn("doc", F.from_json("body", PAGE, {"mode": "PERMISSIVE"})).withColumn("json", F.try_parse_json("body"))
-    keys = F.coalesce(F.json_object_keys("body"), F.array().cast("array<string>"))
-    unknown = F.array_except(keys, F.split(known, ","))
-    d = F.col("doc")
-    rules: list[tuple[str, Column]] = [
-        ("not JSON", F.col("json").isNull()),
-        ("no markdown", d["markdown"].isNull()),
-        ("no quality", d["quality"].isNull()),
-        ("unknown fields", F.size(unknown) > 0),
-        ("page differs from the file name", ~d["page"].eqNullSafe(F.col("number"))),
-        ("book differs", ~d["book"].eqNullSafe(F.lit(book))),
-        ("negative count", d["quality"]["illegible_regions"] < 0),
-    ]
-    if page_types:
-        rules.append(("unknown page type", ~F.coalesce(d["page_type"].isin(page_types), F.lit(False))))
-    found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules)), lambda x: x.isNotNull())
-    return rows.withColumn("reasons", F.when(F.array_contains(found, "not JSON"), F.array(F.lit("not JSON"))).otherwise(F.slice(found, 1, 5))).drop("json")
-
-
-def set_of(schema: T.StructType) -> str:
-    return ",".join(schema.fieldNames())
+def _judged(files: DataFrame, shape: Object, schema: T.StructType, at: str, book: str, most: int, more: bool) -> DataFrame:
+    """Adds doc and reason, null for files that are taken: a file has one reason, the first that holds."""
+    rows = files.withColumn("json", F.try_parse_json("body"))
+    d = F.from_json("body", schema)
+    rows = rows.withColumn("doc", d).withColumn("faults", faults(F.col("json"), shape))
+    number, own = F.col("doc")[at], F.col("doc")["book"]
+    reason = (
+        F.when(F.col("body").isNull(), "invalid JSON: not UTF-8")
+        .when(F.col("json").isNull(), "invalid JSON")
+        .when(F.size("faults") > 0, F.concat(F.lit("schema: "), summed_up(F.col("faults"), most, more)))
+        .when(~number.eqNullSafe(F.col("number")), F.concat(F.lit(f"{at} field "), number, F.lit(" does not match file name page "), "number"))
+        .when(~own.eqNullSafe(F.lit(book)), F.concat(F.lit('book field "'), own, F.lit(f'" does not match configured book "{book}"')))
+    )
+    return rows.withColumn("reason", reason).drop("json", "faults")
+
+
+def checked(files: DataFrame, book: str) -> DataFrame:
+    """Adds doc (the parsed page) and reason: why a file is not taken (of a wrong document the first five faults, each with its
+    path), null for good ones."""
+    return _judged(files, PAGE_SHAPE, PAGE, "page", book, 5, True)
+
+
+def checked_spreads(files: DataFrame, book: str) -> DataFrame:
+    """The same for the labels of art spreads (sNNNN.json): unknown fields are passed over, three faults are told."""
+    return _judged(files, SPREAD_SHAPE, SPREAD, "pdf_page", book, 3, False)
 
 
 def good_pages(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.size("reasons") == 0).select("doc.*", "source_hash")
+    return rows.filter("reason is null").select("doc.*", "source_hash")
 
 
 def entities(pages: DataFrame) -> DataFrame:

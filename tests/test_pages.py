@@ -75,8 +75,9 @@ def test_figures():
 
 
 def page(n, **more):
-    q = {"image_quality": "good", "quality_issues": [], "retake_recommended": False, "ocr_agreement": "high", "illegible_regions": 0}
-    return {"book": "vol1", "page": n, "page_type": "text", "markdown": "# A\nRanni's Rise", "figures": [], "entities": [{"type": "npc", "name": "Ranni's Rise", "connects_to": ["Caria Manor", "Caria manor", ""]}], "quality": q} | more
+    q = {"image_quality": "good", "quality_issues": [], "affected_areas": None, "retake_recommended": False, "retake_reason": None, "ocr_agreement": "high", "illegible_regions": 0, "notes": None}
+    entity = {"type": "npc", "name": "Ranni's Rise", "location": None, "how_to_obtain": None, "connects_to": ["Caria Manor", "Caria manor", ""]}
+    return {"book": "vol1", "page": n, "chapter": None, "region": None, "page_type": "npc", "markdown": "# A\nRanni's Rise", "figures": [], "entities": [entity], "quality": q} | more
 
 
 def test_page_files(spark, tmp_path):
@@ -84,7 +85,13 @@ def test_page_files(spark, tmp_path):
     for name, body in bodies.items():
         (tmp_path / f"{name}.json").write_text(body)
     rows = pages.checked(pages.read_files(spark, str(tmp_path)), "vol1")
-    assert {r["file"][:4]: list(r["reasons"]) for r in rows.collect()} == {"p001": [], "p002": ["not JSON"], "p003": ["page differs from the file name"], "p004": ["unknown fields"], "p005": ["book differs"]}
+    assert {r["file"][:4]: r["reason"] for r in rows.collect()} == {
+        "p001": None,
+        "p002": "invalid JSON",
+        "p003": "page field 4 does not match file name page 3",
+        "p004": 'schema: Unrecognized key: "odd"',
+        "p005": 'book field "x" does not match configured book "vol1"',
+    }
     good = pages.good_pages(rows)
     found = pages.entities(good)
     assert [(r["name_norm"], r["entity_idx"]) for r in found.collect()] == [("rannis rise", 0)]
@@ -98,6 +105,61 @@ def test_page_files(spark, tmp_path):
     assert [list(r["problems"]) for r in quality.problems(good, rules).collect()] == [[]]
 
 
+def reasons(spark, tmp_path, check, bodies, glob, **more):
+    for name, body in bodies.items():
+        (tmp_path / f"{name}.json").write_bytes(body if isinstance(body, bytes) else json.dumps(body).encode())
+    return {r["file"].split(".")[0]: r["reason"] for r in check(pages.read_files(spark, str(tmp_path), glob), "vol1").collect()}
+
+
+def test_reasons_tell_path_and_fault(spark, tmp_path):
+    good = page(1)
+    entity, quality_ = good["entities"][0], good["quality"]
+    short = {k: quality_[k] for k in ("image_quality",)}
+    got = reasons(spark, tmp_path, pages.checked, {
+        "p001": page(1, figures="none"),
+        "p002": page(2, entities=[entity, entity | {"name": 5, "kind": "x", "extra": 1}]),
+        "p003": page(3, quality=quality_ | {"illegible_regions": "three"}),
+        "p004": page(4, quality=short),
+        "p005": json.dumps(page(5)).encode().replace(b"Ranni's", b"Ranni\xff", 1),
+        "p006": page(6, page=6.5, quality=quality_ | {"illegible_regions": -1}),
+        "p007": [1],
+        "p008": page(8, page_type="text", figures=[{"kind": "map", "description": None, "labels": ["a", 1], "legend": None}]),
+        "p010": page(10.0, book=""),
+        "p011": page(11, entities=[{"type": "npc"}, None]),
+    }, "p*.json")
+    assert got == {
+        "p001": "schema: figures: Invalid input: expected array, received string",
+        "p002": 'schema: entities.1.name: Invalid input: expected string, received number; entities.1: Unrecognized keys: "extra", "kind"',
+        "p003": "schema: quality.illegible_regions: Invalid input: expected number, received string",
+        "p004": "schema: quality.quality_issues: Invalid input: expected array, received undefined; quality.affected_areas: Invalid input: expected string, received undefined; quality.retake_recommended: Invalid input: expected boolean, received undefined; quality.retake_reason: Invalid input: expected string, received undefined; quality.ocr_agreement: Invalid option: expected one of \"high\"|\"medium\"|\"low\" (+2 more)",
+        "p005": "invalid JSON: not UTF-8",
+        "p006": "schema: page: Invalid input: expected int, received number; quality.illegible_regions: Too small: expected number to be >=0",
+        "p007": "schema: Invalid input: expected object, received array",
+        "p008": 'schema: page_type: Invalid option: expected one of "walkthrough"|"map"|"item_table"|"boss"|"npc"|"lore"|"index"|"other"; figures.0.description: Invalid input: expected string, received null; figures.0.labels.1: Invalid input: expected string, received number',
+        "p010": "schema: book: Too small: expected string to have >=1 characters",
+        "p011": "schema: entities.0.name: Invalid input: expected string, received undefined; entities.0.location: Invalid input: expected string, received undefined; entities.0.how_to_obtain: Invalid input: expected string, received undefined; entities.0.connects_to: Invalid input: expected array, received undefined; entities.1: Invalid input: expected object, received null",
+    }
+
+
+def test_reasons_of_art_labels(spark, tmp_path):
+    art = {"boxes": [1], "bbox": [0, 0.5, 1, 1], "kind": "photo", "caption_ja": None, "names": [{"name": "Ulla", "source": "caption", "odd": 1}], "description": "d", "confidence": "low"}
+    spread = {"book": "vol1", "pdf_page": 1, "folios": [4], "contents": [{}, {"chapter": None}], "artworks": [art], "not_art": [], "section_heading_ja": None, "notes": None, "more": True}
+    got = reasons(spark, tmp_path, pages.checked_spreads, {
+        "s0001": spread,
+        "s0002": spread,
+        "s0003": spread | {"pdf_page": 0, "folios": [1.5], "notes": 1, "not_art": None},
+        "s0004": spread | {"pdf_page": 4, "artworks": [art | {"bbox": [1]}]},
+        "s0005": spread | {"pdf_page": 5, "book": "vol2"},
+    }, "s[0-9]*.json")
+    assert got == {
+        "s0001": None,
+        "s0002": "pdf_page field 1 does not match file name page 2",
+        "s0003": "schema: pdf_page: Too small: expected number to be >0; folios.0: Invalid input: expected int, received number; not_art: Invalid input: expected array, received null",
+        "s0004": "schema: artworks.0.bbox: Invalid input: expected array to have 4 items",
+        "s0005": 'book field "vol2" does not match configured book "vol1"',
+    }
+
+
 def test_config_rows_keep_their_order(spark):
     rows = pages.config_rows(spark, '{"b": {"kind": "artbook"}, "a": {}, "c": {"kind": "guide"}}')
     assert [(r["id"], r["kind"]) for r in rows.orderBy("pos").collect()] == [("b", "artbook"), ("a", "guide"), ("c", "guide")]
