@@ -2,10 +2,12 @@
 
 A text's key is the XXH64 of its normalised text. The directory says which bucket a key lies in by the key's leading
 bits. It doubles (one more bit) until no cell has more distinct keys than a bucket's capacity, without a greatest
-depth; a bucket is the shallowest prefix that fits, as splitting only the overfull ones leaves it. Rows are routed by
-the directory: texts of a bucket are told apart by their bytes, never by the key alone, and owner tasks, each with a
-range of buckets and keys, chain the texts that share a key as links and write their buckets as files of the shared
-folder. Every row then looks its text up in the files of its bucket.
+depth; a bucket is the shallowest prefix that fits, as splitting only the overfull ones leaves it. Texts meet by key and
+are told apart by their bytes, never by the key alone. What is left of each (its digest, row that stays and number of
+rows) is routed by the directory: owner tasks, each with a range of buckets and keys, chain the texts that share a key as
+links and write their range as one file of the shared folder, in order, so that the files' least and greatest buckets
+tell where one is, and there are as many files as tasks, however many buckets. Every row then looks its text up in its
+bucket. Only keys and digests are routed: where the directory is too large to be sent, no text is shuffled for that.
 
 Defined results: a null text is an empty text; texts are equal when their bytes are equal after lower-casing A-Z;
 of equal texts the row with the largest doc_id stays; rows without doc_id lose against any doc_id; a doc_id that
@@ -59,22 +61,22 @@ def routed(rows: DataFrame, cells: DataFrame, bits: int) -> DataFrame:
 
 
 def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, int]:
-    """The index in the shared folder (bucket, key, link, sha, keep_id, group_size; files by bucket), its directory and bits.
+    """The index in the shared folder (bucket, key, link, sha, keep_id, group_size; files by ranges of buckets), its directory and bits.
 
-    On the way to its bucket a task folds its own copies of a text into one, so that a group of copies, however large,
+    On the way to its key a task folds its own copies of a text into one, so that a group of copies, however large,
     sends one row a task.
     """
     keyed = text_of(docs).select("doc_id", ascii_lower(F.col("text")).alias("norm")).withColumn("key", F.xxhash64("norm"))
     cells, bits = directory(stored(keyed.select("key").distinct(), "keys"), capacity)
     cells = stored(cells, "directory")
-    texts = routed(keyed, cells, bits).groupBy("bucket", "key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    texts = texts.select("bucket", "key", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
-    owned = texts.repartitionByRange("bucket", "key")
+    texts = keyed.groupBy("key", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    texts = texts.select("key", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
+    owned = routed(texts, cells, bits).repartitionByRange("bucket", "key")
     chain = Window.partitionBy("bucket", "key").orderBy("sha")
     # Rows look links up by their SHA-256: two different texts of one would be mistaken, so they end the job.
     link = F.when(F.lag("sha").over(chain).eqNullSafe(F.col("sha")), F.raise_error(F.lit("two texts share one SHA-256")).cast("int")).otherwise(F.row_number().over(chain))
-    owned = owned.withColumn("link", link)
-    return stored(owned.select("bucket", "key", "link", "sha", "keep_id", "group_size"), "index", by="bucket"), cells, bits
+    owned = owned.withColumn("link", link).select("bucket", "key", "link", "sha", "keep_id", "group_size")
+    return stored(owned.sortWithinPartitions("bucket", "key", "link"), "index"), cells, bits
 
 
 def exact_groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

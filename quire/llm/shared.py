@@ -50,16 +50,16 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def stored(df: DataFrame, name: str, free: bool = False, by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """``df`` written as a table of the shared folder and read back: cuts the lineage, survives lost executors.
 
-    by: a column that has files of its own for each value. free: large shuffles before this step are not needed any more; Spark removes their files when the driver collects
-    its garbage, which this asks for.
+    free: large shuffles before this step are not needed any more; Spark removes their files when the driver collects its
+    garbage, which this asks for.
     """
     spark = df.sparkSession
     _made.append(f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}")
     path = f"{_made[-1]}/{name}"
-    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
+    df.write.option("compression", "zstd").parquet(path)
     if free:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
