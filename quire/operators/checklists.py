@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from quire.operators import names
+
 #: Headings of levels 2 to 4, the id at the end of an item, bold spans, and counted things in plain text.
 HEADING = r"^(#{2,4})\s+(.+?)\s*$"
 ITEM_ID = r"\s*<!--\s*q:([a-z0-9]+)\s*-->\s*$"
@@ -62,6 +64,19 @@ def bold_names(text: Column) -> Column:
     return F.filter(F.transform(parts, clean_name), lambda x: x != "")
 
 
+def bold_spans(text: Column) -> Column:
+    """Each bold span as (whole, parts): the name as a whole, which is tried first, and the names that it may list."""
+    spans = F.regexp_extract_all(text, F.lit(BOLD), F.lit(1))
+    parts = lambda s: F.filter(F.transform(F.split(s, r",|\band\b"), clean_name), lambda x: x != "")
+    each = F.transform(spans, lambda s: F.struct(clean_name(s).alias("whole"), parts(s).alias("parts")))
+    return F.filter(each, lambda x: x["whole"] != "")
+
+
+def slug(name: Column) -> Column:
+    """A name for addresses: normalised, without accents, words joined by hyphens."""
+    return F.regexp_replace(names.folded_name(name), r"\s+", "-")
+
+
 def with_ids(files: DataFrame, prefix: str, markers: list[str] | None = None) -> DataFrame:
     """file, body, added and error: items without an id get the next free number; line ends stay, so that it can run again.
 

@@ -99,6 +99,14 @@ def chapter_ends(headings: DataFrame, book: str, page: str, last: Column | None
     return headings.withColumn("to_page", F.greatest(F.col(page), end))
 
 
+def chapters(headings: DataFrame, book: str, page: str, title: str, last: Column | None = None) -> DataFrame:
+    """The headings that are chapters, with to_page. An event's heading ("Event 5") goes on with the chapter that it stands in;
+    one in capitals ends the chapter before it and is none itself."""
+    own = chapter_ends(headings.filter(~F.col(title).rlike(r"^Event\b")), book, page, last)
+    name = F.col(title)
+    return own.filter(~((F.upper(name) == name) & (F.lower(name) != name)))
+
+
 def within(points: DataFrame, intervals: DataFrame, keys: list[str], at: str) -> DataFrame:
     """All intervals (lo, hi) of a key that hold each point of it.
 
@@ -233,3 +241,26 @@ def touches(rows: DataFrame, keys: list[str], seconds: str, least: int = 3600) -
         return (now if due else last), due
 
     return folded(rows, keys, [seconds], seconds, step, None, "touched")
+
+
+def merged_entities(rows: DataFrame, page: list[str], order: list[str]) -> DataFrame:
+    """The entities of a page's parts, those of one type and name as one: place (from 0, by where each first comes), type, name,
+    location and how_to_obtain (the first that says something), connects_to (every target where it first comes).
+
+    rows: the page's columns, those of ``order`` (of parts and of entities within them), type, name, location, how_to_obtain,
+    connects_to. An entity of one page has a handful of rows.
+    """
+    at = F.struct(*order)
+    said = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", at)).alias(c)
+    targets = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*order, "connects_to"))), lambda x: x["connects_to"]))
+    one = rows.groupBy(*page, "type", "name").agg(F.min(at).alias("at"), said("location"), said("how_to_obtain"), F.array_distinct(targets).alias("connects_to"))
+    w = Window.partitionBy(*page).orderBy("at", "type", "name")
+    return one.withColumn("place", F.row_number().over(w) - 1).select(*page, "place", "type", "name", "location", "how_to_obtain", "connects_to")
+
+
+def page_kind(parts: DataFrame, page: list[str], order: list[str]) -> DataFrame:
+    """page_type, chapter and region of pages in parts: the first kind that is not "other", if any; the first names that are there."""
+    at = F.struct(*order)
+    first = lambda c: F.min_by(c, F.when(F.coalesce(F.col(c), F.lit("")) != "", at)).alias(c)
+    kind = F.coalesce(F.min_by("page_type", F.when(F.col("page_type") != "other", at)), F.lit("other"))
+    return parts.groupBy(*page).agg(kind.alias("page_type"), first("chapter"), first("region"))

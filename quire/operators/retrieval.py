@@ -425,11 +425,12 @@ def quoted(quotes: DataFrame, texts: DataFrame, width: int = 4) -> DataFrame:
     return containing(wanted, texts.select("key", plain("text").alias("plain")), width).select("item_id", "key").distinct()
 
 
-def containing(wanted: DataFrame, own: DataFrame, width: int = 4) -> DataFrame:
+def containing(wanted: DataFrame, own: DataFrame, width: int = 4, few: int = 100_000) -> DataFrame:
     """The pairs of a quote and a text (key, plain) that has the quote's words in a row, with all their columns.
 
     Quotes and texts meet on the first words of a quote, ``width`` or as many as it has; only texts that have these
-    words in a row are searched. Both are in normalised form.
+    words in a row are searched. Both are in normalised form. Up to ``few`` quotes (they are counted) are sent to the
+    texts, whose runs of words then are not shuffled.
     """
     columns = wanted.columns
     w = F.split("quote", " ")
@@ -442,7 +443,9 @@ def containing(wanted: DataFrame, own: DataFrame, width: int = 4) -> DataFrame:
 
     runs = F.flatten(F.array(*map(runs_of, widths or [width])))
     starts = words.select("key", F.explode(F.array_distinct(runs)).alias("start"))
-    near = starts.join(wanted.select(*columns, "start"), "start").select("key", *columns).distinct()
+    asked_ = wanted.select(*columns, "start")
+    asked_ = F.broadcast(asked_) if asked_.count() <= few else asked_
+    near = starts.join(asked_, "start").select("key", *columns).distinct()
     spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     return near.join(own, "key").filter(F.contains(spaced("plain"), spaced("quote")))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from quire.operators import jobs, relational
 from quire.plans.registry import query
 from quire.session import table
+from quire.streaming import states
 from quire.sources import tables
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -281,3 +282,19 @@ def approval_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = jobs_.select(F.coalesce(batch, F.col("o_orderkey").cast("string")).alias("grp"), "o_orderkey", "o_totalprice")
     six = relational.top_n(rows, ["grp"], [F.asc("o_orderkey")], 6).groupBy("grp").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("shown"))
     return rows.groupBy("grp").agg(F.count("*").alias("jobs"), F.round(F.sum("o_totalprice"), 2).alias("total")).join(six, "grp").select("grp", "jobs", "shown", "total")
+
+
+WAITS_SQL = """WITH e AS (SELECT event_id AS id, (epoch_us(ts) // 500) / 1e6 AS t, user_id, event_type = 'purchase' AS ok FROM events),
+k AS (SELECT id, t, ok, 'u:' || user_id AS key, 5 AS most, true AS clears FROM e UNION ALL SELECT id, t, ok, 'a:' || (user_id % 10), 20, false FROM e),
+r AS (SELECT *, coalesce(sum((ok AND clears)::INT) OVER (PARTITION BY key ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS era FROM k),
+n AS (SELECT *, CASE WHEN NOT ok THEN CASE WHEN most = 5 THEN lag(t, 4) OVER f ELSE lag(t, 19) OVER f END END AS nth FROM r WINDOW f AS (PARTITION BY key, era, ok ORDER BY t, id)),
+w AS (SELECT id, key, last_value(nth IGNORE NULLS) OVER (PARTITION BY key, era ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 900 - t AS rest FROM n)
+SELECT id, key, CASE WHEN rest > 0 THEN ceil(rest)::BIGINT ELSE 0 END AS wait FROM w"""
+
+
+@query(WAITS_SQL)
+def login_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each attempt must wait, by user and by address; events as attempts (purchases succeed), 500 times as fast."""
+    quick = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 500))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), quick.alias("ts"), F.col("user_id").cast("string").alias("user"), (F.col("user_id") % 10).alias("address"), (F.col("event_type") == "purchase").alias("ok"))
+    return states.login_waits(rows)

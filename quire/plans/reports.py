@@ -275,3 +275,53 @@ def sampled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty pages drawn by a seed: the same ones for the same seed. Which ones is up to the hash, so no SQL states them."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"))
     return docs.orderBy(F.xxhash64("page", F.lit(7)), "page").limit(20)
+
+
+TITLED_SQL = """h AS (SELECT source AS book, doc_id AS page, CASE doc_id % 5 WHEN 0 THEN 'Event ' || doc_id WHEN 1 THEN upper(source) || ' AND ALL' WHEN 2 THEN '12' ELSE 'Part ' || doc_id END AS title FROM documents WHERE n_chars > 2000),
+k AS (SELECT *, coalesce(lead(page) OVER (PARTITION BY book ORDER BY page) - 1, max(page) OVER (PARTITION BY book)) AS to_page FROM h WHERE NOT starts_with(title, 'Event '))"""
+
+
+@query(f"WITH {TITLED_SQL} SELECT book, page, title, greatest(page, to_page) AS to_page FROM k WHERE NOT (upper(title) = title AND lower(title) <> title)")
+def chapter_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters by their headings: events go on with one, titles in capitals end one."""
+    key = F.col("doc_id")
+    title = F.when(key % 5 == 0, F.concat(F.lit("Event "), key)).when(key % 5 == 1, F.concat(F.upper("source"), F.lit(" AND ALL"))).when(key % 5 == 2, "12").otherwise(F.concat(F.lit("Part "), key))
+    heads = table(spark, sf_dir, "documents").filter("n_chars > 2000").select(F.col("source").alias("book"), key.alias("page"), title.alias("title"), F.lit(0).alias("pos"))
+    return relational.chapters(heads, "book", "page", "title").select("book", "page", "title", "to_page")
+
+
+MERGED_SQL = """WITH r AS (SELECT l_suppkey AS page, l_orderkey AS part, l_linenumber * 1000000 + l_partkey AS pos, l_returnflag AS type, 'n' || (l_partkey % 5) AS name, CASE WHEN l_discount > 0.05 THEN 'at ' || l_linenumber END AS location,
+  CASE WHEN l_quantity > 30 THEN 'by ' || l_orderkey ELSE '' END AS how, ['t' || (l_orderkey % 3), 't' || (l_linenumber % 4)] AS targets FROM lineitem),
+t AS (SELECT page, type, name, target, min((part, pos, i)) AS seat FROM (SELECT *, unnest(targets) AS target, unnest([1, 2]) AS i FROM r) GROUP BY ALL),
+c AS (SELECT page, type, name, string_agg(target, ',' ORDER BY seat) AS connects_to FROM t GROUP BY ALL),
+m AS (SELECT page, type, name, min((part, pos)) AS seat, arg_min(location, (part, pos)) FILTER (location <> '') AS location, arg_min(how, (part, pos)) FILTER (how <> '') AS how_to_obtain FROM r GROUP BY ALL)
+SELECT m.page, row_number() OVER (PARTITION BY m.page ORDER BY seat, m.type, m.name) - 1 AS place, m.type, m.name, location, how_to_obtain, connects_to FROM m JOIN c USING (page, type, name)"""
+
+
+@query(MERGED_SQL)
+def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as entities of the parts (orders) of pages (suppliers), those of one type and name as one."""
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select(
+        F.col("l_suppkey").alias("page"),
+        F.col("l_orderkey").alias("part"),
+        (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("pos"),
+        F.col("l_returnflag").alias("type"),
+        F.concat(F.lit("n"), F.col("l_partkey") % 5).alias("name"),
+        F.when(F.col("l_discount") > 0.05, F.concat(F.lit("at "), "l_linenumber")).alias("location"),
+        F.when(F.col("l_quantity") > 30, F.concat(F.lit("by "), "l_orderkey")).otherwise("").alias("how_to_obtain"),
+        F.array(F.concat(F.lit("t"), F.col("l_orderkey") % 3), F.concat(F.lit("t"), F.col("l_linenumber") % 4)).alias("connects_to"),
+    )
+    found = relational.merged_entities(rows, ["page"], ["part", "pos"])
+    return found.withColumn("place", F.col("place").cast("long")).withColumn("connects_to", F.array_join("connects_to", ","))
+
+
+@query("""WITH e AS (SELECT p_brand AS book, p_size AS page, p_name AS name, p_partkey AS key FROM part), l AS (SELECT DISTINCT a.book, a.name AS source, b.name AS target FROM e a JOIN e b ON b.key = 2 * a.key + 1)
+SELECT book, count(*) AS entities, count(DISTINCT name) AS names, count(DISTINCT page) AS pages, coalesce((SELECT count(*) FROM l WHERE l.book = e.book), 0)::BIGINT AS links FROM e GROUP BY book""")
+def entity_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities, distinct names, pages and links of each book."""
+    e = table(spark, sf_dir, "part").select(F.col("p_brand").alias("book"), F.col("p_size").alias("page"), F.col("p_name").alias("name"), F.col("p_partkey").alias("key"))
+    b = e.select(F.floor((F.col("key") - 1) / 2).alias("half"), (F.col("key") % 2).alias("odd"), F.col("name").alias("target")).filter("odd = 1")
+    links = e.join(b, F.col("key") == F.col("half")).select("book", "name", "target").distinct().groupBy("book").agg(F.count("*").alias("links"))
+    counts = e.groupBy("book").agg(F.count("*").alias("entities"), F.countDistinct("name").alias("names"), F.countDistinct("page").alias("pages"))
+    return counts.join(links, "book", "left").select("book", "entities", "names", "pages", F.coalesce("links", F.lit(0)).alias("links"))

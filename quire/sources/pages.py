@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,6 +132,21 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def last_ok(log: DataFrame, key: str = "page", at: str = "at", ok: str = "status = 'ok'") -> DataFrame:
+    """Of each key's records in a log the last that went well, by time; records without a key are left out."""
+    w = Window.partitionBy(key).orderBy(F.desc(at))
+    good = log.filter(ok).filter(F.col(key).isNotNull())
+    return good.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
+def read_journals(spark: SparkSession, folder: str, schema: str, glob: str = "*.jsonl") -> DataFrame:
+    """The records of all journals of a folder with the file that each is from; malformed lines and files that cannot be read
+    are passed over."""
+    reader = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("pathGlobFilter", glob)
+    rows = reader.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").json(folder)
+    return rows.withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+
+
 def binary_hashes(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """path, length, modified and sha256 of files such as photos."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,8 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def single(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows; a key that comes twice ends the job, as which of its rows is to stand is not known. Nulls are keys, too."""
+    w = Window.partitionBy(*keys)
+    wrong = F.raise_error(F.concat(F.lit("a key comes twice: "), F.to_json(F.struct(*keys)))).cast("boolean")
+    return rows.withColumn("__n", F.count("*").over(w)).filter(F.when(F.col("__n") > 1, wrong).otherwise(True)).drop("__n")
+
+
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The target with rows added, in place of those with the same keys."""
+    """The target with rows added, in place of those with the same keys; incoming keys come once."""
+    rows = single(rows, keys)
     return target.join(rows.select(*keys), keys, "left_anti").unionByName(rows.select(*target.columns))
 
 
@@ -29,6 +37,16 @@ def replace_groups(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataF
     return target.join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows.select(*target.columns))
 
 
+def replace_cascade(target: DataFrame, rows: DataFrame, children: list[tuple[DataFrame, DataFrame]], keys: list[str]) -> list[DataFrame]:
+    """The target with the incoming groups replaced, and each table of children (what is there, what comes) with the children
+    of these groups gone and those that come in their place; children of groups that do not come stay."""
+    groups = rows.select(*keys).distinct()
+    out = [target.join(groups, keys, "left_anti").unionByName(rows.select(*target.columns))]
+    for own, new in children:
+        out.append(own.join(groups, keys, "left_anti").unionByName(new.join(groups, keys, "left_semi").select(*own.columns)))
+    return out
+
+
 def write_groups(rows: DataFrame, path: str, partitions: list[str]) -> None:
     """Replaces the incoming partitions of a table of files in one commit; others stay as they are."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
