@@ -86,3 +86,16 @@ def contained_share(inner: Column, outer: Column) -> Column:
 def cache_header(version: Column, current: Column, max_age: int = 31_536_000) -> Column:
     """Files asked for by their current version keep for long, others are asked for again."""
     return F.when(version.eqNullSafe(current) & version.isNotNull(), F.lit(f"private, max-age={max_age}, immutable")).otherwise(F.lit("no-cache"))
+
+
+def brightness_hash(pixels: Column) -> Column:
+    """The 64-bit hash of a picture's eight by eight grey values: a bit is set where one is over their mean; the first is the
+    highest."""
+    mean = F.aggregate(pixels, F.lit(0.0), lambda s, x: s + x) / F.size(pixels)
+    bits = F.transform(pixels, lambda x, i: F.when(x > mean, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(63) - i)).otherwise(F.lit(0).cast("bigint")))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda h, b: h.bitwiseOR(b))
+
+
+def aspect_off(width: Column, height: Column, page_width: Column, page_height: Column) -> Column:
+    """By what share a photo's shape differs from its page's."""
+    return F.abs((width / height) / (page_width / page_height) - 1)

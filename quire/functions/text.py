@@ -139,11 +139,24 @@ def quote_fragments(words: Column) -> Column:
 
 
 def html_escape(text: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 
 
+def marked(text: Column, start: Column, end: Column) -> Column:
+    """HTML of a text with the characters from start (counted from 0) to end in a mark; without one where start is null."""
+    n = F.length(text)
+    part = lambda a, b: html_escape(F.substring(text, a + 1, F.greatest(b - a, F.lit(0))))
+    whole = F.concat(part(F.lit(0), start), F.lit("<mark>"), part(start, end), F.lit("</mark>"), part(end, n))
+    return F.when(start.isNull(), html_escape(text)).otherwise(whole)
+
+
+def local_date(at: Column, zone: str) -> Column:
+    """The day of a moment as a clock in the zone has it, as text."""
+    return F.date_format(F.from_utc_timestamp(F.to_utc_timestamp(at, F.current_timezone()), zone), "yyyy-MM-dd")
+
+
 def label_key(label: Column) -> Column:
     """Labels without white space and dots, lower case."""
     return F.regexp_replace(F.lower(label), r"[\s.]+", "")

@@ -30,27 +30,47 @@ def for_entities(artworks: DataFrame, asked: DataFrame, whole: list[str] | None
     return artworks.join(hit.distinct(), "id", "left_semi")
 
 
-def titled(raw: Column, subject: Column) -> Column:
-    """Forms of a person's name with a title: Name, Title; Name the ...; Name of ...; Title Name."""
+#: Fixed value: types of entities that are persons.
+PERSONS = ("npc", "boss", "merchant")
+
+
+def subjects(entities: DataFrame) -> DataFrame:
+    """q, subject, person and place of what a question is about, from its entities (see retrieval.entity_groups): all but those
+    known from earlier turns alone, in their order."""
+    now = entities.filter("rank <> 2")
+    person = F.arrays_overlap("types", F.array(*map(F.lit, PERSONS)))
+    return now.select("q", F.col("name_norm").alias("subject"), person.alias("person"), F.col("place"))
+
+
+def forms(raw: Column) -> Column:
+    """The persons that a name with a title may mean, normalised: Name, Title; Name the ...; Name of ...; Title Name (but for
+    names with "of")."""
     norm = text.normalized(raw)
-    comma = F.contains(raw, F.lit(",")) & (text.normalized(F.split(raw, ",")[0]) == subject)
-    opens = F.startswith(norm, F.concat(subject, F.lit(" the "))) | F.startswith(norm, F.concat(subject, F.lit(" of ")))
-    closes = F.endswith(norm, F.concat(F.lit(" "), subject)) & ~F.contains(norm, F.lit(" of "))
-    return comma | opens | closes
+    words, n = F.split(norm, " "), F.size(F.split(norm, " "))
+    comma = F.when(F.contains(raw, F.lit(",")), F.array(text.normalized(F.split(raw, ",")[0])))
+    at = F.filter(F.sequence(F.lit(1), n), lambda i: (i < n) & (i > 1) & F.get(words, i - 1).isin("the", "of"))
+    opens = F.transform(at, lambda i: F.array_join(F.slice(words, 1, i - 1), " "))
+    behind = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.array_join(F.slice(words, -k, k), " "))
+    closes = F.when((n > 1) & ~F.contains(norm, F.lit(" of ")), behind)
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.coalesce(comma, none), opens, F.coalesce(closes, none)))
 
 
 def tiers(names: DataFrame, subjects: DataFrame) -> DataFrame:
     """id, subject, tier, exact, name: how well an artwork's names (id, name, origin, confidence) show a subject.
 
     Captions are tier 0, sure guesses 1, likely ones 2, others do not count. Of an artwork's names the best tier
-    stands, exact before titled. subjects: subject, person; a question's few, so they are sent.
+    stands, exact before titled. subjects: subject, person. Both sides meet on equal names in the singular, and persons on
+    the forms of titled names, so neither is sent as a whole nor meets all of the other.
     """
-    both = names.join(F.broadcast(subjects))
-    norm = text.normalized(F.col("name"))
-    exact = (norm == F.col("subject")) | (text.singular(norm) == text.singular(F.col("subject")))
-    rated = both.withColumn("exact", exact).filter(F.col("exact") | (F.col("person") & titled(F.col("name"), F.col("subject"))))
     tier = F.when(F.col("origin") == "caption", 0).when(F.col("confidence") == "high", 1).when(F.col("confidence") == "medium", 2)
-    best = rated.withColumn("tier", tier).filter("tier is not null").groupBy("id", "subject").agg(F.min(F.struct("tier", (~F.col("exact")).alias("loose"), "name")).alias("b"))
+    own = names.withColumn("tier", tier).filter("tier is not null").select("id", "name", "tier")
+    asked = subjects.select("subject", "person").distinct()
+    single = own.withColumn("key", text.singular(text.normalized(F.col("name"))))
+    exact = single.join(asked.withColumn("key", text.singular(F.col("subject"))), "key").withColumn("loose", F.lit(False))
+    titled = own.withColumn("key", F.explode(forms(F.col("name"))))
+    loose = titled.join(asked.filter("person").withColumn("key", F.col("subject")), "key").withColumn("loose", F.lit(True))
+    best = exact.unionByName(loose).groupBy("id", "subject").agg(F.min(F.struct("tier", "loose", "name")).alias("b"))
     return best.select("id", "subject", "b.tier", (~F.col("b.loose")).alias("exact"), "b.name")
 
 

@@ -174,3 +174,18 @@ def to_ask_again(events: DataFrame, mode: str = "mode") -> DataFrame:
     text = F.col("kind") == "text"
     ends = events.filter(F.col(mode) == "citations").groupBy("answer").agg(F.bool_or(F.col("kind") == "fail").alias("failed"), F.bool_or(text).alias("spoke"))
     return ends.filter("failed AND NOT spoke").select("answer")
+
+
+def rebuild_suggestions(log: DataFrame, books: DataFrame, share: float = 0.2) -> DataFrame:
+    """book, replaced, pages, suggested: whether so many of a book's pages were replaced since its last full build that it should
+    be built anew (more than ``share`` of them).
+
+    log: book, seq, page, version, action (retake or rollback), restored, at; books: book, pages (how many), built (when). A
+    retake that a later rollback has undone does not count.
+    """
+    back = log.filter("action = 'rollback'").select("book", "page", F.col("restored").alias("version")).distinct()
+    retakes = log.filter("action = 'retake'").join(back, ["book", "page", "version"], "left_anti")
+    since = retakes.join(books.select("book", "built"), "book").filter(F.col("built").isNull() | (F.col("at") > F.col("built")))
+    n = since.groupBy("book").agg(F.countDistinct("page").alias("replaced"))
+    rows = books.join(n, "book", "left").withColumn("replaced", F.coalesce("replaced", F.lit(0)))
+    return rows.select("book", "replaced", "pages", (F.col("replaced") > F.col("pages") * share).alias("suggested"))

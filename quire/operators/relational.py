@@ -48,13 +48,14 @@ def compressed(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return listed.select(*keys, F.array_join(F.transform("x", lambda x: x["t"]), ",").alias("ranges"))
 
 
-def expanded_ranges(specs: DataFrame, spec: str) -> DataFrame:
-    """Page specs such as 1-3,7 as numbers, each where it occurs first: pos, page."""
-    parts = specs.select(F.posexplode(F.split(F.regexp_replace(F.regexp_replace(spec, "#.*$", ""), r"\s+", ""), ",")).alias("a", "part")).filter("part <> ''")
+def expanded_ranges(specs: DataFrame, spec: str, keys: list[str] | None = None) -> DataFrame:
+    """Page specs such as 1-3,7 as numbers, each where it occurs first in its key's specs: the keys, pos, page."""
+    keys = keys or []
+    parts = specs.select(*keys, F.posexplode(F.split(F.regexp_replace(F.regexp_replace(spec, "#.*$", ""), r"\s+", ""), ",")).alias("a", "part")).filter("part <> ''")
     ends = parts.withColumn("lo", F.split("part", "-")[0].cast("int")).withColumn("hi", F.element_at(F.split("part", "-"), -1).cast("int"))
-    pages = ends.select("a", F.posexplode(F.sequence("lo", "hi")).alias("b", "page"))
-    first = pages.groupBy("page").agg(F.min(F.struct("a", "b")).alias("at"))
-    return first.select("page", F.row_number().over(Window.orderBy("at")).alias("pos"))
+    pages = ends.select(*keys, "a", F.posexplode(F.sequence("lo", "hi")).alias("b", "page"))
+    first = pages.groupBy(*keys, "page").agg(F.min(F.struct("a", "b")).alias("at"))
+    return first.select(*keys, "page", F.row_number().over(Window.partitionBy(*keys).orderBy("at")).alias("pos"))
 
 
 def gaps(rows: DataFrame, value: str, lo: int, hi: int, block: int = 1 << 16) -> DataFrame:

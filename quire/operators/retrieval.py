@@ -277,6 +277,13 @@ def route_pages(own: DataFrame, span: DataFrame, anchors: DataFrame, scores: Dat
     return within_budget(ranked.select("all", *q, "tier", "less", "book", "page", "tokens"), budget, "all", ["tier", "less", "book", "page"], "tokens").select(*key, "tier", "tokens")
 
 
+def listed_pages(lists: DataFrame) -> DataFrame:
+    """q, ord, book, page of lists of pages (q, books, pages: arrays side by side), in their order from 1; pages without a book or
+    a number are none."""
+    each = lists.select("q", F.posexplode(F.arrays_zip(F.col("books").alias("book"), F.col("pages").alias("page"))).alias("at", "p"))
+    return each.select("q", (F.col("at") + 1).alias("ord"), "p.book", "p.page").filter("book is not null and page is not null")
+
+
 def page_chunks(wanted: DataFrame, chunks: DataFrame, per_page: int = 6) -> DataFrame:
     """The first chunks of wanted pages (ord, book, page), in the order wanted."""
     w = Window.partitionBy(*asked(wanted), "ord", "book", "page").orderBy("idx")

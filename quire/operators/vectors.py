@@ -48,9 +48,16 @@ def best_pairs(q: list, m: list, keys: list, x: list, k: int, score: Score) -> p
         rows, asked = stacked([x[i] for i in there]), stacked([m[i] for i in own])
         scores = score(asked, rows)
         scores = np.where(np.isfinite(scores), scores, -np.inf)
-        order = np.lexsort((np.broadcast_to(there_keys, scores.shape), -scores), axis=1)[:, : min(k, len(there))]
-        found = {"q": np.repeat([q[i] for i in own], order.shape[1]), "key": there_keys[order].ravel()}
-        out.append(pd.DataFrame(found | {"score": np.take_along_axis(scores, order, axis=1).ravel()}))
+        n = min(k, len(there))
+        # Only what is as good as the n-th best of its row is sorted: by row, score and key.
+        least = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
+        row, column = np.nonzero(scores >= least[:, None])
+        value = scores[row, column]
+        order = np.lexsort((there_keys[column], -value, row))
+        row, column, value = row[order], column[order], value[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < n
+        found = {"q": [q[own[i]] for i in row[first].tolist()], "key": there_keys[column[first]], "score": value[first]}
+        out.append(pd.DataFrame(found))
     some = pd.concat(out) if out else pd.DataFrame({"q": [], "key": [], "score": []})
     return some[np.isfinite(some["score"].astype(float))]
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import collections, jobs, questions, ranking, reports, search
+from quire.plans import art, collections, jobs, questions, ranking, reports, search
 from quire.plans.registry import QUERIES, SQL
 
-__all__ = ["collections", "jobs", "questions", "ranking", "reports", "search", "queries", "oracle_sql"]
+__all__ = ["art", "collections", "jobs", "questions", "ranking", "reports", "search", "queries", "oracle_sql"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -298,3 +298,13 @@ def login_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     quick = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 500))
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), quick.alias("ts"), F.col("user_id").cast("string").alias("user"), (F.col("user_id") % 10).alias("address"), (F.col("event_type") == "purchase").alias("ok"))
     return states.login_waits(rows)
+
+
+@query(LOG_SQL + """, n AS (SELECT user_id % 10 AS book, count(DISTINCT user_id) AS pages FROM events GROUP BY 1),
+c AS (SELECT page % 10 AS book, count(DISTINCT page) AS replaced FROM r WHERE ts > TIMESTAMP '2024-01-20 00:00:00' AND NOT EXISTS (SELECT 1 FROM b WHERE b.page = r.page AND b.version = r.version) GROUP BY 1)
+SELECT book, coalesce(replaced, 0) AS replaced, pages, coalesce(replaced, 0) > pages * 0.2 AS suggested FROM n LEFT JOIN c USING (book)""")
+def rebuild_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books of which more than a fifth was replaced since their last build; users as pages of ten books."""
+    log = image_log(spark, sf_dir).withColumn("book", F.col("page") % 10)
+    pages = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("book")).agg(F.countDistinct("user_id").alias("pages"))
+    return jobs.rebuild_suggestions(log, pages.withColumn("built", F.lit("2024-01-20 00:00:00").cast("timestamp")))

@@ -58,18 +58,26 @@ def gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.gaps(table(spark, sf_dir, "labels"), "doc_id", 0, hi)
 
 
-@query("""WITH r AS (SELECT source, doc_id, doc_id // 20 - dense_rank() OVER (PARTITION BY source ORDER BY doc_id // 20) AS g FROM documents WHERE lang <> 'en'),
-i AS (SELECT source, min(doc_id // 20) AS a, max(doc_id // 20) AS b FROM r GROUP BY source, g)
+@query("""WITH r AS (SELECT source, doc_id, doc_id // 9 - dense_rank() OVER (PARTITION BY source ORDER BY doc_id // 9) AS g FROM documents),
+i AS (SELECT source, min(doc_id // 9) AS a, max(doc_id // 9) AS b FROM r GROUP BY source, g)
 SELECT source AS book, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS ranges FROM i GROUP BY source""")
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("lang <> 'en'")
-    return relational.compressed(docs.select(F.col("source").alias("book"), F.floor(F.col("doc_id") / 20).alias("page")), ["book"], "page")
+    docs = table(spark, sf_dir, "documents")
+    return relational.compressed(docs.select(F.col("source").alias("book"), F.floor(F.col("doc_id") / 9).alias("page")), ["book"], "page")
+
 
+SPEC_SQL = """WITH s AS (SELECT l_orderkey AS k, min(l_partkey % 50) AS a, max(l_partkey % 50) AS b, min(l_suppkey % 60) AS c, max(l_linenumber) AS d FROM lineitem GROUP BY 1),
+p AS (SELECT k, unnest(range(a, b + 1)) AS page, 0 AS i FROM s UNION ALL SELECT k, c, 1 FROM s UNION ALL SELECT k, unnest(range(d, d + 3)), 2 FROM s)
+SELECT k, page::INT AS page, row_number() OVER (PARTITION BY k ORDER BY min((i, page))) AS pos FROM p GROUP BY k, page"""
 
-@query("SELECT p AS page, row_number() OVER (ORDER BY min(i)) AS pos FROM (SELECT unnest([7, 1, 2, 3, 4, 2, 3, 9]) AS p, unnest(range(0, 8)) AS i) GROUP BY p")
+
+@query(SPEC_SQL)
 def range_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    specs = spark.createDataFrame([("7, 1-4, 2-3, 9 # the rest later",)], "spec string")
-    return relational.expanded_ranges(specs, "spec").select(F.col("page").cast("int").alias("page"), F.col("pos").cast("long").alias("pos"))
+    """A page spec made of every order's lines ("a-b, c ,d-e # rest"), as pages where each occurs first."""
+    lines = table(spark, sf_dir, "lineitem")
+    ends = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.min(F.col("l_partkey") % 50).alias("a"), F.max(F.col("l_partkey") % 50).alias("b"), F.min(F.col("l_suppkey") % 60).alias("c"), F.max("l_linenumber").alias("d"))
+    specs = ends.select("k", F.format_string("%d-%d, %d ,%d-%d # 99, the rest", "a", "b", "c", "d", F.col("d") + 2).alias("spec"))
+    return relational.expanded_ranges(specs, "spec", ["k"]).select("k", "page", F.col("pos").cast("long").alias("pos"))
 
 
 @query("""WITH n AS (SELECT p_brand, p_name, count(*) AS n, min(p_partkey) AS f FROM part GROUP BY 1, 2)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import numbers, text
-from quire.operators import checklists, chunking, names, relational
+from quire.operators import art, art_reports, checklists, chunking, names, relational, retrieval
 from quire.sources import pages, tables
 
 
@@ -113,6 +113,14 @@ def test_small_helpers(spark):
     assert one(spark, text.safe_name(F.lit("../a b/ç (1).JPG"))) == "_1_.JPG"
     assert one(spark, text.label_key(F.lit("Vol. 1 \t"))) == "vol1"
     assert one(spark, text.html_escape(F.lit('<a href="x">&</a>'))) == "&lt;a href=&quot;x&quot;&gt;&amp;&lt;/a&gt;"
+    mark = lambda a, b: one(spark, text.marked(F.lit("a<b 'c'"), F.lit(a).cast("int"), F.lit(b).cast("int")))
+    assert mark(1, 3) == "a<mark>&lt;b</mark> &#39;c&#39;" and mark(None, None) == "a&lt;b &#39;c&#39;" and mark(0, 7) == "<mark>a&lt;b &#39;c&#39;</mark>"
+    at = F.timestamp_seconds(F.lit(1_700_000_000))  # 22:13:20 in UTC
+    assert one(spark, text.local_date(at, "Asia/Tokyo")) == "2023-11-15" and one(spark, text.local_date(at, "America/New_York")) == "2023-11-14"
+    grey = [200 if i % 3 == 0 else 10 for i in range(64)]
+    want = int("".join("1" if v > sum(grey) / 64 else "0" for v in grey), 2)
+    assert one(spark, numbers.brightness_hash(F.lit(grey))) == want - (1 << 64) and one(spark, numbers.brightness_hash(F.lit([5] * 64))) == 0
+    assert one(spark, numbers.aspect_off(F.lit(110), F.lit(100), F.lit(10), F.lit(10))) == pytest.approx(0.1)
     assert one(spark, text.token_count(F.lit("It's 2 words-or 5?"))) == 9
     assert chunking.embedding_input("A > B", "text") == "A > B\n\ntext"
     assert one(spark, numbers.cache_header(F.lit("v1"), F.lit("v1"))) == "private, max-age=31536000, immutable"
@@ -127,3 +135,40 @@ def test_small_helpers(spark):
     tiers = [spark.createDataFrame(rows, "name string, entity string") for rows in ([("a", "A1")], [("a", "A2"), ("b", "B2")])]
     got = names.resolved(spark.createDataFrame([("a",), ("b",), ("c",)], "name string"), tiers).collect()
     assert sorted(map(tuple, got), key=str) == [("a", "A1", 0), ("b", "B2", 1), ("c", None, None)]
+
+
+def test_titles_of_persons(spark):
+    asked = {"Malenia, Blade of Miquella": {"malenia"}, "Ranni the Witch": {"ranni", "witch", "the witch"}, "Queen of the Full Moon": {"queen", "queen of"}, "Knight Bernahl": {"bernahl"}, "Ranni": set(), "": set(), None: None}
+    rows = spark.createDataFrame([(n,) for n in asked], "name string")
+    got = {r["name"]: r["f"] and set(r["f"]) for r in rows.select("name", art.forms(F.col("name")).alias("f")).collect()}
+    assert got["Malenia, Blade of Miquella"] >= {"malenia"} and "miquella" not in got["Malenia, Blade of Miquella"], "of a name with of only its beginning"
+    assert got["Ranni the Witch"] == asked["Ranni the Witch"] and got["Queen of the Full Moon"] == asked["Queen of the Full Moon"]
+    assert got["Knight Bernahl"] == {"bernahl"} and not got["Ranni"] and not got[""]
+
+
+def test_subjects(spark):
+    rows = [(1, "ranni", ["npc"], 3, 1), (1, "staff", ["item", "key_item"], 1, 2), (1, "old one", ["boss"], 2, 3)]
+    entities = spark.createDataFrame(rows, "q long, name_norm string, types array<string>, rank int, place int")
+    assert sorted(map(tuple, art.subjects(entities).collect())) == [(1, "ranni", True, 1), (1, "staff", False, 2)]
+    lists = spark.createDataFrame([(1, ["a", "b", None], [3, 4, 5]), (2, [], []), (3, ["c"], [None])], "q long, books array<string>, pages array<int>")
+    assert [tuple(r) for r in retrieval.listed_pages(lists).collect()] == [(1, 1, "a", 3), (1, 2, "b", 4)]
+
+
+def test_reports_of_art_labels(spark):
+    names_ = [("Ulla", "caption", "low", "exact"), ("Odo", "visual", "low", "prefix"), ("Tim", "visual", "high", "close"), ("Ann", "visual", "medium", "none")]
+    rows = art_reports.to_look_at(spark.createDataFrame(names_, "name string, source string, confidence string, match string"))
+    assert sorted((r["name"], r["why"]) for r in rows.collect()) == [("Ann", "low confidence"), ("Odo", "loose match"), ("Odo", "low confidence"), ("Tim", "loose match")]
+    arts = spark.createDataFrame([(1, [], "character"), (2, None, "character"), (3, ["x"], "character"), (4, [], "sketch")], "id int, names array<string>, kind string")
+    assert sorted(r["id"] for r in art_reports.unnamed(arts, ["character"]).collect()) == [1, 2]
+    spreads = [(1, None, [[0.0, 0.0, 1.0, 0.9]], [(["a", "b"],)]), (2, None, [[0.0, 0.0, 1.0, 0.9]], [(["a"],), (["b"],)]), (3, "Box 2 CUTS the art", [], []), (4, None, [], [(["a", "b", "c"],)]), (5, "", [[0.0, 0.0, 0.5, 0.5]], [(["a", "b"],)])]
+    spreads = spark.createDataFrame(spreads, "page int, notes string, boxes array<array<double>>, artworks array<struct<names:array<string>>>")
+    assert sorted(r["page"] for r in art_reports.suspects(spreads, ["cuts"]).collect()) == [1, 3, 4]
+    pages_ = spark.createDataFrame([("v", 1, "x"), ("v", 2, "y"), ("v", 3, "z")], "book string, page int, sha256 string")
+    files = spark.createDataFrame([("v", 1, "x"), ("v", 2, "other")], "book string, page int, sha256 string")
+    assert sorted(map(tuple, art_reports.missing_files(pages_, files).collect())) == [("v", 2, "differs"), ("v", 3, "missing")]
+    items = spark.createDataFrame([("v", 1, ["blur", "glare"]), ("v", 2, []), ("v", 3, ["glare"]), ("w", 1, None)], "book string, page int, issues array<string>")
+    got = [tuple(r) for r in art_reports.by_issue(items).orderBy("section", "book", "page").collect()]
+    assert got == [("v", 1, "glare", 2, 1), ("v", 3, "glare", 2, 1), ("v", 2, "(no issue listed)", 2, 2), ("w", 1, "(no issue listed)", 2, 2), ("v", 1, "blur", 1, 3)]
+    fault = lambda used, n: one(spark, art_reports.box_fault(F.lit(used) if used else F.array().cast("array<int>"), F.lit(n)))
+    assert fault([1, 2, 2, 9], 3) == "box numbers [9] do not exist (there are 3)" and fault([2, 2, 1], 3) == "boxes [2] are used more than once"
+    assert fault([1], 3) == "boxes [2, 3] are neither in an artwork nor left out" and fault([3, 1, 2], 3) is None and fault([], 0) is None
