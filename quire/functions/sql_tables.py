@@ -20,8 +20,8 @@ CANDIDATES = "q long, norm string, text string, start int, end int, words int, c
 
 
 def clean_name(name: str) -> str:
-    bare = re.sub(r"^[.,:;!?()]+|[.,:;!?()]+$", "", name.strip(" ")).strip(" ")
-    return re.sub(r"['’]+$", "", re.sub(r"['’]s\b.*$", "", bare)).strip(" ")
+    bare = re.sub(checklists.NAME_ENDS, "", name.strip(" ")).strip(" ")
+    return re.sub(r"['’]+$", "", re.sub(checklists.POSSESSIVE, "", bare)).strip(" ")
 
 
 @F.udtf(returnType=CHECKLIST)
@@ -52,7 +52,7 @@ class ParseChecklist:
         known = sorted((markers or "").split(), key=len, reverse=True)
         marker = next((m for m in known if kind == "item" and bare.startswith(m + " ")), None)
         said = bare[len(marker) :].strip(" ") if marker else bare
-        spans = [clean_name(x) for s in re.findall(checklists.BOLD, said) for x in re.split(r",|\band\b", s)]
+        spans = [clean_name(x) for s in re.findall(checklists.BOLD, said) for x in re.split(checklists.LISTED, s)]
         yield row["file"], row["ord"], "error" if error else kind, own, self.path[-1] if self.path else None, [*self.path], said, marker, [s for s in spans if s], raw
 
 

@@ -168,7 +168,7 @@ def safe_name(name: Column) -> Column:
     return F.regexp_replace(base, r"[^A-Za-z0-9._-]+", "_")
 
 
-#: [label, p. 214], with an optional quote after : or |.
+#: Fixed value: the pattern of citations, [label, p. 214], with an optional quote after : or |.
 CITATION = r"\[([^\[\],]{1,40}), ?p\.? ?(\d+)(?:\s*[:|]\s*[\"“]([^\"”]*)[\"”])?\]"
 
 

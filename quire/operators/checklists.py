@@ -15,6 +15,8 @@ HEADING = r"^(#{2,4})\s+(.+?)\s*$"
 ITEM_ID = r"\s*<!--\s*q:([a-z0-9]+)\s*-->\s*$"
 BOLD = r"\*\*([^*]+?)\*\*"
 COLLECTIBLE = r"^([A-Z][\w' ]*?)\s?#\s?(\d+)\b"
+#: Marks at the ends of names, the possessive that ends one, and what parts the names in a span.
+NAME_ENDS, POSSESSIVE, LISTED = r"^[.,:;!?()]+|[.,:;!?()]+$", r"['’]s\b.*$", r",|\band\b"
 
 
 def parsed(files: DataFrame, markers: list[str] | None = None) -> DataFrame:
@@ -54,20 +56,20 @@ def parsed(files: DataFrame, markers: list[str] | None = None) -> DataFrame:
 
 def clean_name(name: Column) -> Column:
     """A name without marks at its ends, cut at a possessive s."""
-    bare = F.trim(F.regexp_replace(F.trim(name), r"^[.,:;!?()]+|[.,:;!?()]+$", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"['’]s\b.*$", ""), r"['’]+$", ""))
+    bare = F.trim(F.regexp_replace(F.trim(name), NAME_ENDS, ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, POSSESSIVE, ""), r"['’]+$", ""))
 
 
 def bold_names(text: Column) -> Column:
     """The names in bold spans; a span may list several, parted by commas or and."""
-    parts = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(BOLD), F.lit(1)), lambda s: F.split(s, r",|\band\b")))
+    parts = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(BOLD), F.lit(1)), lambda s: F.split(s, LISTED)))
     return F.filter(F.transform(parts, clean_name), lambda x: x != "")
 
 
 def bold_spans(text: Column) -> Column:
     """Each bold span as (whole, parts): the name as a whole, which is tried first, and the names that it may list."""
     spans = F.regexp_extract_all(text, F.lit(BOLD), F.lit(1))
-    parts = lambda s: F.filter(F.transform(F.split(s, r",|\band\b"), clean_name), lambda x: x != "")
+    parts = lambda s: F.filter(F.transform(F.split(s, LISTED), clean_name), lambda x: x != "")
     each = F.transform(spans, lambda s: F.struct(clean_name(s).alias("whole"), parts(s).alias("parts")))
     return F.filter(each, lambda x: x["whole"] != "")
 

@@ -26,6 +26,8 @@ RULE = re.compile(r"^\s*\|?(\s*:?-{2,}:?\s*\|)*\s*:?-{2,}:?\s*\|?\s*$")
 TITLE = re.compile(r"\s*>\s*\*\*")
 WORD = re.compile(r"\w+|[^\w\s]")
 JOIN = " > "
+#: What labels and legends of figures begin with, and where a legend's entries part.
+LABELS, LEGEND, ENTRY = "Labels: ", "Legend: ", r",\s*(?=[A-Za-z0-9]{1,4}\s*=)"
 CHUNK = "book string, page int, chunk_idx int, heading_path string, text string, token_count int"
 
 
@@ -151,11 +153,11 @@ class Chunker:
             labels, legend = list(f.get("labels") if f.get("labels") is not None else []), (f.get("legend") or "").strip()
             pieces = [(f.get("description") or "").strip()]
             if labels:
-                pieces += self._fitting("Labels: ", "; ".join(labels), lambda ls=labels: self.pack(ls, "; ", "Labels: "))
+                pieces += self._fitting(LABELS, "; ".join(labels), lambda ls=labels: self.pack(ls, "; ", LABELS))
             if legend:
-                entries = re.split(r",\s*(?=[A-Za-z0-9]{1,4}\s*=)", legend)
-                more = (lambda e=entries: self.pack(e, ", ", "Legend: ")) if len(entries) > 1 else (lambda x=legend: self.pack(self.sentences(x), " ", "Legend: "))
-                pieces += self._fitting("Legend: ", legend, more)
+                entries = re.split(ENTRY, legend)
+                more = (lambda e=entries: self.pack(e, ", ", LEGEND)) if len(entries) > 1 else (lambda x=legend: self.pack(self.sentences(x), " ", LEGEND))
+                pieces += self._fitting(LEGEND, legend, more)
             yield from ((JOIN.join([*root, f"Figure {n}"]), t) for t in self.pack(pieces, "\n\n"))
 
     def _fitting(self, head: str, body: str, split: Callable[[], list[str]]) -> list[str]:

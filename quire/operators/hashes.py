@@ -9,6 +9,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.tables import kept
+
 #: How many bits two photos of one page may differ in, and by how many the next page must be farther.
 SAME, MARGIN = 14, 6
 BITS = 64
@@ -66,7 +68,7 @@ def closest(photos: DataFrame, pages: DataFrame, same: int = SAME, margin: int =
         placed = counted.withColumn("second", second).withColumn("r", F.row_number().over(w)).filter("r = 1")
         return placed.select("photo", "page", "distance", "second")
 
-    found = two(within(known, alike, same, blocks)).checkpoint()
+    found = kept(two(within(known, alike, same, blocks)))
     sure = F.col("second").isNotNull() | (F.col("distance") + margin - 1 <= same)
     rest = found.filter(~sure).join(known.select(F.col("key").alias("photo"), "h"), "photo").select(F.col("photo").alias("key"), "h")
     again = two(within(rest, alike, same + margin - 1, blocks))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from quire.sources.tables import kept
+
 FIGURE = r"(?i)\[?fig(?:ure)?\.?\s*(\d+)"
 
 
@@ -46,7 +48,7 @@ def unverified(uses: DataFrame, known: DataFrame) -> DataFrame:
 def places_within(rows: DataFrame, group: str, by: str) -> DataFrame:
     """Adds place (from 1, by ``by``, without ties) within each group, however large: rows are dealt by ranges of group and
     ``by``; within a range they are numbered, and ranges know how many of their first group came before."""
-    dealt = rows.repartitionByRange(group, by).withColumn("__range", F.spark_partition_id()).checkpoint()
+    dealt = kept(rows.repartitionByRange(group, by).withColumn("__range", F.spark_partition_id()))
     sizes = dealt.groupBy(group, "__range").agg(F.count("*").alias("__n"))
     ahead = F.sum("__n").over(Window.partitionBy(group).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(group, "__range", F.coalesce(ahead, F.lit(0)).alias("__ahead"))

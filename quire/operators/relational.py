@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from quire.sources.tables import kept
+
 
 def latest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     """One row a key: the last by the columns ``by``, which should leave no ties."""
@@ -151,13 +153,13 @@ def chains(members_of: DataFrame, item: str, shared: str, rounds: int = 50) -> D
     Each round lowers every item's label to the least among those that share a value, then to that label's own; it
     ends when nothing changes. Labels are checkpointed each round, to the folder in spark.checkpoint.dir.
     """
-    edges = members_of.select(item, shared).distinct().checkpoint()
-    labels = edges.select(item).distinct().withColumn("chain", F.col(item)).checkpoint()
+    edges = kept(members_of.select(item, shared).distinct())
+    labels = kept(edges.select(item).distinct().withColumn("chain", F.col(item)))
     for _ in range(rounds):
         least = edges.join(labels, item).groupBy(shared).agg(F.min("chain").alias("m"))
         lower = edges.join(least, shared).groupBy(item).agg(F.min("m").alias("m"))
         jump = labels.select(F.col(item).alias("m"), F.col("chain").alias("deeper"))
-        new = lower.join(jump, "m", "left").select(item, F.least("m", F.coalesce("deeper", "m")).alias("chain")).checkpoint()
+        new = kept(lower.join(jump, "m", "left").select(item, F.least("m", F.coalesce("deeper", "m")).alias("chain")))
         changed = new.join(labels.withColumnRenamed("chain", "old"), item).filter("chain <> old").limit(1).count()
         labels = new
         if not changed:

@@ -17,6 +17,7 @@ from pyspark.sql import Window
 
 from quire.functions import text
 from quire.operators import fulltext, relational, vectors
+from quire.sources.tables import kept
 
 
 @dataclass(frozen=True)
@@ -336,17 +337,17 @@ def resolve(questions: DataFrame, entities: DataFrame, pages: DataFrame, links:
     """
     spans = question_candidates(questions)
     known = entities.join(pages, ["book", "page"]).select("book", "page", "page_type", "region", "type", "name", "name_norm")
-    kept = ["q", "matched", "book", "page", "page_type", "region", "type", "name", "name_norm", "similarity", "match", "rank"]
+    fields = ["q", "matched", "book", "page", "page_type", "region", "type", "name", "name_norm", "similarity", "match", "rank"]
     norms = spans.select("q", "norm").distinct()
 
     def matches(names: DataFrame, how: str, rank: int) -> DataFrame:
         found = known.join(names.select("q", F.col("norm").alias("matched")).distinct(), F.col("name_norm") == F.col("matched"))
-        return found.withColumns({"similarity": F.lit(1.0), "match": F.lit(how), "rank": F.lit(rank)}).select(*kept)
+        return found.withColumns({"similarity": F.lit(1.0), "match": F.lit(how), "rank": F.lit(rank)}).select(*fields)
 
     exact = matches(norms, "exact", 3)
     loose = spans.filter("fuzzy").select("q", "norm").join(exact.select("q", F.col("matched").alias("norm")).distinct(), ["q", "norm"], "left_anti")
     pairs = trigram_matches(loose, known, d.trigram_threshold)
-    fuzzy = known.join(pairs.withColumnRenamed("norm", "matched"), "name_norm").withColumns({"match": F.lit("trigram"), "rank": F.lit(1)}).select(*kept)
+    fuzzy = known.join(pairs.withColumnRenamed("norm", "matched"), "name_norm").withColumns({"match": F.lit("trigram"), "rank": F.lit(1)}).select(*fields)
     rows = exact.unionByName(fuzzy)
     if prior is not None:
         rows = rows.unionByName(matches(prior, "prior", 2))
@@ -361,7 +362,7 @@ def resolve(questions: DataFrame, entities: DataFrame, pages: DataFrame, links:
     said = spans.select("q", F.col("norm").alias("matched"), "text")
     rows = rows.join(said, ["q", "matched"], "left").withColumn("text", F.when(F.col("match") == "prior", F.col("name")).otherwise(F.coalesce("text", "matched")))
     # Read by every step below: a checkpoint keeps the matching from being done again.
-    rows = rows.checkpoint()
+    rows = kept(rows)
     groups = entity_groups(rows)
 
     # A region is named on dozens of pages: its own ones are its maps, else its first page.
@@ -413,7 +414,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, index: DataFrame, entities
         lists = lists.unionByName(seen.select("q", F.lit("focus").alias("why"), "key", at.alias("rank")))
         own = own.unionByName(focus.select("q", "book", "page")).distinct()
     fused = rrf(lists, d.rrf_k).join(chunks.select("key", "book", "page"), "key")
-    ranked = anchor_boost(fused, found.pages, own, d.own_boost, d.anchor_boost).checkpoint()
+    ranked = kept(anchor_boost(fused, found.pages, own, d.own_boost, d.anchor_boost))
     if relevance is not None:
         ranked = rerank_head(ranked, relevance, d.rerank_k)
     ready = ready_for_routes(questions.select("q", text.is_route_question(F.col("question")).alias("route")), found.entities)

@@ -18,6 +18,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.sources.tables import kept
+
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Rows of a block of questions and of a block of vectors: what a task holds at once.
 ASKED, HELD = 4096, 16384
@@ -213,7 +215,7 @@ def cell_top(index: Cells, questions: DataFrame, k: int = 40, probes: int = 8, e
     found = in_cells(index, asked.mapInPandas(nearest, schema), k)
     if not exact:
         return ranked(found, k)
-    found = ranked(found, k).drop("rank").checkpoint()
+    found = kept(ranked(found, k).drop("rank"))
     least = found.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(-1.0).alias("least"))
     wider = asked.join(least, "q", "left").select("q", "v", F.coalesce("least", F.lit(-1.0)).alias("least"))
     more = in_cells(index, wider.mapInPandas(others, schema), k)

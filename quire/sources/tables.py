@@ -26,6 +26,14 @@ def single(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.count("*").over(w)).filter(F.when(F.col("__n") > 1, wrong).otherwise(True)).drop("__n")
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows checkpointed in the shared folder: what is read twice is made once, and lost executors cost only their tasks."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
+    return rows.checkpoint()
+
+
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The target with rows added, in place of those with the same keys; incoming keys come once."""
     rows = single(rows, keys)

@@ -6,6 +6,7 @@ page service needs; they are here because its logs lend themselves to them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quire.functions.text import CITATION
 from quire.operators.jobs import MOVES
 
 
@@ -88,9 +90,7 @@ class Citations:
     closes or ``most`` characters have passed."""
 
     def __init__(self, labels: dict[str, str], most: int = 400):
-        import re
-
-        self.marker = re.compile(r"\[([^\[\],]{1,40}), ?p\.? ?(\d+)(?:\s*[:|]\s*[\"“]([^\"”]*)[\"”])?\]")
+        self.marker = re.compile(CITATION)
         self.labels, self.most, self.held = labels, most, ""
 
     def push(self, piece: str) -> list[tuple]:

@@ -10,7 +10,7 @@ ROOT = Path(__file__).resolve().parent.parent
 def test_entry(spark, monkeypatch):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() == 12
+    assert e.entry(spark).count() == 12 * spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").filter("role = 'user'").count()
     assert set(e.oracle_sql()) <= set(e.queries())
 
 

@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 
 
 def test_queries_without_sql(spark, sf_dir):
-    assert set(plans.queries()) - set(plans.oracle_sql()) == {"sampled_pages", "connected_chains"}
+    assert set(plans.queries()) - set(plans.oracle_sql()) == {"sampled_pages", "connected_chains", "lexical_rank_english", "vector_topk_cells"}
     draw = lambda: sorted(map(tuple, plans.queries()["sampled_pages"](spark, sf_dir).collect()))
     assert len(draw()) == 20 and draw() == draw()
 
