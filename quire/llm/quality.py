@@ -49,14 +49,12 @@ def features(text: str) -> np.ndarray:
     n, distinct = len(words), len(set(words))
     again = sum(map(str.__eq__, words, words[1:])) / max(1, n - 1)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=n) if n else np.zeros(1, dtype=np.int64)
-    stretch = 512
-    if len(kinds) >= stretch:
-        blocks = kinds[: len(kinds) // stretch * stretch].reshape(-1, stretch)
-        upper, marks = (blocks == 1).mean(axis=1), (blocks == 6).mean(axis=1)
-        ends = (blocks == 3).mean(axis=1)
-        worst = [upper.max(), marks.max(), ends.max(), upper.min(), (upper > 0.3).mean(), (marks > 0.08).mean()]
-    else:
-        worst = [share[1], share[6], share[3], share[1], float(share[1] > 0.3), float(share[6] > 0.08)]
+    # Stretches of 512 bytes, of which the last reaches back so that it ends with the text; a shorter text is one.
+    stretch = max(1, min(512, len(kinds)))
+    last = max(0, len(kinds) - stretch)
+    blocks = np.lib.stride_tricks.sliding_window_view(kinds, stretch)[[*range(0, last, stretch), last]] if len(kinds) else np.full((1, 1), CLASSES)
+    upper, marks, ends = ((blocks == c).mean(axis=1) for c in (1, 6, 3))
+    worst = [upper.max(), marks.max(), ends.max(), upper.min(), (upper > 0.3).mean(), (marks > 0.08).mean()]
     loud = sum(map(str.isupper, words)) / max(1, n)
     single = sum(1 for w in words if not w[-1:].isalnum()) / max(1, n)
     doubled = text.count("!!") / max(1, n)
