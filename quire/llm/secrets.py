@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key characters with a digit or a vendor's prefix, values assigned to a credential's name
-and private key blocks. The forest sees, of each candidate, its length, the transitions between classes of
+Candidates are runs of 12 key characters or more with a digit or a vendor's prefix, web tokens with their parts in one,
+values of 6 characters or more assigned to a credential's name, and private key blocks. The forest sees, of each candidate, its length, the transitions between classes of
 characters, how much of it a dictionary covers, the path (here: source) it comes from and the words beside it, and was
 trained on labelled findings. Candidates have no greatest length. Everything is made of DataFrame functions and the JVM's forest.
 
@@ -38,6 +38,7 @@ _NAMED = rf"(?i:{CREDENTIALS}){_QUOTE}{_GAP}{_SIGN}{_GAP}{_QUOTE}"
 _BLOCK = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----(?:BEGIN|END) [A-Z0-9 ]*PRIVATE KEY)[^-]*+)*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 BODY = (
     rf"{_NAMED}(?:{_BLOCK}|(?:[^\s\"',;\\]|\\(?!\\*+[\"'])){{6,}}+)"
+    rf"|(?<![A-Za-z0-9])eyJ[{_KEY}]{{4,}}+\.[{_KEY}]{{4,}}+(?:\.[{_KEY}]*+)?+"
     rf"|(?<![{_KEY}])(?=[A-Za-z+/_\-]*+[0-9])[{_KEY}]{{12,}}+={{0,2}}"
     rf"|(?<![A-Za-z0-9])(?={PREFIXES})[{_KEY}]{{12,}}+={{0,2}}"
     rf"|{_BLOCK}"
@@ -75,12 +76,12 @@ def featured(rows: DataFrame) -> DataFrame:
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[a-z]+", "l"), "[A-Z]+", "U"), "[0-9]+", "9"), r"[^lU9]+", "-")
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     return rows.withColumns({
-        "length": F.least(F.length(c), F.lit(128)).cast("double"),
+        "length": F.log1p(F.length(c)),
         "digits": share(c, "0-9"),
         "upper": share(c, "A-Z"),
         "lower": share(c, "a-z"),
         "hex": flag(c.rlike("^[a-f0-9]*[a-f][a-f0-9]*$")),
-        "distinct": F.size(F.array_distinct(F.split(F.substring(c, 1, 64), ""))) / F.least(F.greatest(F.length(c), F.lit(1)), F.lit(64)),
+        "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.greatest(F.length(c), F.lit(1)),
         "transitions": (F.length(kinds) - 1) / F.greatest(F.length(c) - 1, F.lit(1)),
         "vendor": flag(c.rlike(f"^(?:{VENDORS})")),
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(c), f"(?:{DICTIONARY})", "")) / F.greatest(F.length(c), F.lit(1)),
@@ -118,6 +119,7 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (1, say('token = "', "token=", 'auth_token: "', "Bearer ", 'api_key = "', "api-key: "), hexed("i", 40)),
         (1, say('secret = "', 'api_key="', "client_secret: "), dense("j", vary("j", 24, 64))),
         (1, say("", "Authorization: Bearer "), F.concat(F.lit("eyJ"), dense("k", 33), F.lit("_"), dense("l", 40))),
+        (1, say("", "Authorization: Bearer ", "token="), F.concat(F.lit("eyJ"), dense("v2", 30), F.lit("."), dense("w2", vary("w2", 40, 80)), F.lit("."), dense("x2", 43))),
         (1, word, F.concat(F.lit("-----BEGIN PRIVATE KEY-----"), dense("m", 64), F.lit("-----END PRIVATE KEY-----"))),
         (1, word, F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.repeat(F.concat(dense("r2", 64), F.lit("\n")), vary("r2", 4, 24)), F.lit("-----END RSA PRIVATE KEY-----"))),
         (1, say("password=", 'password": "', "pwd: "), F.concat(F.translate(hexed("s2", vary("s2", 4, 8)), "0123456789", "eeaioutnrs"), digits("t2", 1), F.element_at(F.array(*map(F.lit, "!@#$")), vary("t2", 1, 4)), F.translate(hexed("u2", vary("u2", 2, 5)), "0123456789", "eeaioutnrs"))),

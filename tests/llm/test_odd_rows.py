@@ -145,6 +145,16 @@ def test_quality(spark, odd_docs, no_docs, labels):
     assert quality.keep_good(odd_docs, labels.filter("false")).columns == odd_docs.columns
 
 
+def test_quality_reads_every_byte():
+    """The worst stretch of a text may be its last bytes, however few lie beyond whole stretches."""
+    plain = "word " * 205  # two stretches and one byte
+    for tail in ("|||||", "A" * 200, "#" * 511):
+        a, b = quality.features(plain + "x" * len(tail)), quality.features(plain + tail)
+        assert (a[-6:] != b[-6:]).any()
+    short = quality.features("ab|")
+    assert short[-5] == pytest.approx(1 / 3) and not quality.features("")[-6:].any()
+
+
 def test_quality_samples_keep_their_bounds_where_rows_repeat(spark, monkeypatch):
     rows = [(1, "one and the same row")] * 800 + [(1, "another text of this id")] * 50 + [(i, f"text number {i}") for i in range(3, 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -180,6 +190,14 @@ def test_secrets_without_digits(spark):
     assert [r["candidate"] for r in secrets.candidates(late).collect()] == ["x" * 70 + "1"]
 
 
+def test_web_tokens_are_one_candidate(spark):
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    docs = spark.createDataFrame([(0, f"Authorization: Bearer {token} end"), (1, f'token="{token}"'), (2, "see eyJ.a and eyJx.y")], "doc_id long, text string")
+    found = [(r["doc_id"], r["candidate"], r["is_secret"]) for r in secrets.findings(docs).collect()]
+    assert sorted(found) == [(0, token, True), (1, token, True)]
+    assert [r["text"] for r in secrets.redact(docs).orderBy("doc_id").collect()] == ["Authorization: Bearer [SECRET] end", 'token="[SECRET]"', "see eyJ.a and eyJx.y"]
+
+
 def test_secrets_of_any_length_and_shape(spark):
     def found(*texts):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
