@@ -55,9 +55,15 @@ def expanded_ranges(specs: DataFrame, spec: str, keys: list[str] | None = None)
     keys = keys or []
     parts = specs.select(*keys, F.posexplode(F.split(F.regexp_replace(F.regexp_replace(spec, "#.*$", ""), r"\s+", ""), ",")).alias("a", "part")).filter("part <> ''")
     ends = parts.withColumn("lo", F.split("part", "-")[0].cast("int")).withColumn("hi", F.element_at(F.split("part", "-"), -1).cast("int"))
-    pages = ends.select(*keys, "a", F.posexplode(F.sequence("lo", "hi")).alias("b", "page"))
-    first = pages.groupBy(*keys, "page").agg(F.min(F.struct("a", "b")).alias("at"))
-    return first.select(*keys, "page", F.row_number().over(Window.partitionBy(*keys).orderBy("at")).alias("pos"))
+    if not keys:
+        pages = ends.select("a", F.posexplode(F.sequence("lo", "hi")).alias("b", "page"))
+        first = pages.groupBy("page").agg(F.min(F.struct("a", "b")).alias("at"))
+        return first.select("page", F.row_number().over(Window.orderBy("at")).alias("pos"))
+    # A key's ranges are short, its pages many: it is ranges that are grouped, and pages are made within the row.
+    ranges = ends.filter("lo is not null and hi is not null").groupBy(*keys).agg(F.collect_list(F.struct("a", "lo", "hi")).alias("r"))
+    each = F.flatten(F.transform("r", lambda r: F.transform(F.sequence(r["lo"], r["hi"]), lambda p, b: F.struct(r["a"].alias("a"), b.alias("b"), p.alias("page")))))
+    pages = F.array_distinct(F.transform(F.array_sort(each), lambda x: x["page"]))
+    return ranges.select(*keys, F.posexplode(pages).alias("pos", "page")).select(*keys, "page", (F.col("pos") + 1).alias("pos"))
 
 
 def gaps(rows: DataFrame, value: str, lo: int, hi: int, block: int = 1 << 16) -> DataFrame:
