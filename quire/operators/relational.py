@@ -156,20 +156,30 @@ def longest_prefix(rows: DataFrame, prices: DataFrame, name: str) -> DataFrame:
 def chains(members_of: DataFrame, item: str, shared: str, rounds: int = 50) -> DataFrame:
     """item and chain (its smallest item): items that share a value belong together, directly or through others.
 
-    Each round lowers every item's label to the least among those that share a value, then to that label's own; it
-    ends when nothing changes. Labels are checkpointed each round, to the folder in spark.checkpoint.dir.
+    Each round lowers every item to the least of those that share a value with it, and on along these steps to an item
+    that none is below; only such items go on to the next round, with the values of all that came to them. That is half of
+    them at most, and few where values are shared widely. What is made is checkpointed in spark.checkpoint.dir.
     """
     edges = kept(members_of.select(item, shared).distinct())
-    labels = kept(edges.select(item).distinct().withColumn("chain", F.col(item)))
+    labels = None
     for _ in range(rounds):
-        least = edges.join(labels, item).groupBy(shared).agg(F.min("chain").alias("m"))
-        lower = edges.join(least, shared).groupBy(item).agg(F.min("m").alias("m"))
-        jump = labels.select(F.col(item).alias("m"), F.col("chain").alias("deeper"))
-        new = kept(lower.join(jump, "m", "left").select(item, F.least("m", F.coalesce("deeper", "m")).alias("chain")))
-        changed = new.join(labels.withColumnRenamed("chain", "old"), item).filter("chain <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+        least = edges.groupBy(shared).agg(F.min(item).alias("m"))
+        step = kept(edges.join(least, shared).groupBy(item).agg(F.min("m").alias("chain")))
+        moved = step.filter(F.col(item) != F.col("chain")).limit(1).count()
+        if not moved:
+            return step if labels is None else labels
+        for _ in range(64):  # each time the way is half as long
+            on = step.select(F.col(item).alias("chain"), F.col("chain").alias("deeper")).filter("chain <> deeper")
+            step = kept(step.join(on, "chain", "left").select(item, F.coalesce("deeper", "chain").alias("chain"), F.col("deeper").isNotNull().alias("again")))
+            again = step.filter("again").limit(1).count()
+            step = step.drop("again")
+            if not again:
+                break
+        edges = kept(edges.join(step, item).select(F.col("chain").alias(item), shared).distinct())
+        if labels is None:
+            labels = step
+        else:
+            labels = kept(labels.join(step.select(F.col(item).alias("chain"), F.col("chain").alias("deeper")), "chain").select(item, F.col("deeper").alias("chain")))
     raise RuntimeError(f"chains did not settle in {rounds} rounds")
 
 
