@@ -150,7 +150,8 @@ SELECT DISTINCT k FROM (SELECT l.t AS k FROM l JOIN f ON l.s = f.k UNION SELECT
 def one_hop_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     a, b = items.withColumnRenamed("l_partkey", "source"), items.withColumnRenamed("l_partkey", "target")
-    links = a.join(b, "l_orderkey").filter("source < target").select(F.lit("b").alias("book"), "source", "target").distinct()
+    # Pairs stay as they come: one_hop keeps those of the hubs and makes them distinct, so that no task gathers them all.
+    links = a.join(b, "l_orderkey").filter("source < target").select(F.lit("b").alias("book"), "source", "target")
     nodes = items.select(F.lit("b").alias("book"), F.col("l_partkey").alias("name_norm"), F.lit(1).alias("page")).distinct()
     hubs = items.groupBy("l_partkey").count().orderBy(F.desc("count"), "l_partkey").limit(5).select(F.lit("b").alias("book"), F.col("l_partkey").alias("name_norm"))
     return retrieval.one_hop(hubs, nodes, links).select(F.col("name_norm").alias("k")).distinct()
