@@ -130,18 +130,17 @@ def next_work(jobs: DataFrame, locked: DataFrame, claimed: DataFrame, by: list[s
     budget admits. Ties of created go to the smallest id; jobs without a book belong to no lock.
     """
     jobs = jobs.select(*dict.fromkeys([*by, "id", "kind", "status", "txn", "stage", "book", "created"]))
-    held = locked.select("book").distinct().withColumn("held", F.lit(True))
-    open_ = jobs.filter(F.col("txn").isNotNull() & ~F.col("status").eqNullSafe(F.lit("discarded"))).select(F.col("txn").alias("txn")).distinct().withColumn("live", F.lit(True))
-    taken = claimed.select("id").distinct().withColumn("claimed", F.lit(True))
-    rows = jobs.filter(F.col("status").isin("running", "discarded", "uploaded", "confirmed"))
-    rows = rows.join(held, "book", "left").join(open_, "txn", "left").join(taken, "id", "left")
-    status = F.col("status")
-    requeue = (status == "running") & F.col("txn").isNotNull() & F.col("held").isNull()
-    abandon = (status == "discarded") & F.col("txn").isNotNull() & F.col("live").isNull() & ~F.col("stage").eqNullSafe(F.lit("abandoned"))
-    validate = (status == "uploaded") & (F.col("kind") == "retake")
-    run = (status == "confirmed") & F.col("claimed").isNotNull()
-    step = F.when(requeue, 0).when(abandon, 1).when(validate, 2).when(run, 3)
-    rows = rows.withColumn("step", step).filter("step IS NOT NULL")
+    status, txn = F.col("status"), F.col("txn")
+    at = lambda df, step: df.withColumn("step", F.lit(step))
+    # Each step asks only for its own jobs, so that those without a book or a transaction, which may be most, meet in no task.
+    stopped = jobs.filter((status == "running") & txn.isNotNull())
+    requeue = stopped.filter("book is null").unionByName(stopped.filter("book is not null").join(locked.select("book").distinct(), "book", "left_anti").select(*jobs.columns))
+    open_ = jobs.filter(txn.isNotNull() & ~status.eqNullSafe(F.lit("discarded"))).select("txn").distinct()
+    dropped = jobs.filter((status == "discarded") & txn.isNotNull() & ~F.col("stage").eqNullSafe(F.lit("abandoned")))
+    abandon = dropped.join(open_, "txn", "left_anti").select(*jobs.columns)
+    validate = jobs.filter((status == "uploaded") & (F.col("kind") == "retake"))
+    run = jobs.filter((status == "confirmed") & F.col("id").isNotNull()).join(claimed.select("id").distinct(), "id", "left_semi").select(*jobs.columns)
+    rows = at(requeue, 0).unionByName(at(abandon, 1)).unionByName(at(validate, 2)).unionByName(at(run, 3))
     oldest = F.min(F.when(F.col("step") == 2, F.struct("created", "id")))
     names = {f"__worker{i}": c for i, c in enumerate(by)}
     first = rows.groupBy(*(F.col(c).alias(n) for n, c in names.items())).agg(F.min("step").alias("due"), oldest.alias("oldest"))
