@@ -23,6 +23,8 @@ from quire.sources.tables import kept
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Rows of a block of questions and of a block of vectors: what a task holds at once.
 ASKED, HELD = 4096, 16384
+#: Questions whose scores a task holds at once.
+SCORED = 256
 
 
 def cosines(m: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -47,19 +49,21 @@ def best_pairs(q: list, m: list, keys: list, x: list, k: int, score: Score) -> p
         if not there:
             continue
         there_keys = np.array([keys[i] for i in there])
-        rows, asked = stacked([x[i] for i in there]), stacked([m[i] for i in own])
-        scores = score(asked, rows)
-        scores = np.where(np.isfinite(scores), scores, -np.inf)
+        rows = stacked([x[i] for i in there])
         n = min(k, len(there))
-        # Only what is as good as the n-th best of its row is sorted: by row, score and key.
-        least = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-        row, column = np.nonzero(scores >= least[:, None])
-        value = scores[row, column]
-        order = np.lexsort((there_keys[column], -value, row))
-        row, column, value = row[order], column[order], value[order]
-        first = np.arange(len(row)) - np.searchsorted(row, row) < n
-        found = {"q": [q[own[i]] for i in row[first].tolist()], "key": there_keys[column[first]], "score": value[first]}
-        out.append(pd.DataFrame(found))
+        for at in range(0, len(own), SCORED):
+            some = own[at : at + SCORED]
+            scores = score(stacked([m[i] for i in some]), rows)
+            scores = np.where(np.isfinite(scores), scores, -np.inf)
+            # Only what is as good as the n-th best of its row is sorted: by row, score and key.
+            least = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
+            row, column = np.nonzero(scores >= least[:, None])
+            value = scores[row, column]
+            order = np.lexsort((there_keys[column], -value, row))
+            row, column, value = row[order], column[order], value[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < n
+            found = {"q": [q[some[i]] for i in row[first].tolist()], "key": there_keys[column[first]], "score": value[first]}
+            out.append(pd.DataFrame(found))
     some = pd.concat(out) if out else pd.DataFrame({"q": [], "key": [], "score": []})
     return some[np.isfinite(some["score"].astype(float))]
 
@@ -193,14 +197,20 @@ def cell_top(index: Cells, questions: DataFrame, k: int = 40, probes: int = 8, e
         return ranked(asked.select("q", F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("score")).limit(0), k)
     centres, probes = index.centres[cells], min(probes, len(cells))
 
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A question goes to many cells with its vector: few of them at a time."""
         for b in batches:
+            for at in range(0, len(b), SCORED):
+                yield b.iloc[at : at + SCORED]
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in slices(batches):
             if len(b):
                 near = cells[np.argsort(angles(centres, np.array(b["v"].tolist())), axis=1, kind="stable")[:, :probes]]
                 yield b.loc[b.index.repeat(probes)].assign(cell=near.ravel().astype(np.int32))
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             if not len(b):
                 continue
             far = angles(centres, np.array(b["v"].tolist()))
