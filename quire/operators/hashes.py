@@ -44,7 +44,8 @@ def within(photos: DataFrame, pages: DataFrame, radius: int, blocks: int = 4) ->
             sought.append(own.withColumn("b", near).drop("own"))
     own = F.array(*(F.struct(F.lit(i).alias("i"), block("h", i).alias("b")) for i in range(blocks)))
     there = pages.select(F.col("key").alias("page"), "h", F.inline(own))
-    met = reduce(DataFrame.unionByName, sought).join(there, ["i", "b"])
+    # Rows are many times those that sizes are guessed from: neither side is sent whole through the driver.
+    met = reduce(DataFrame.unionByName, sought).join(there.hint("merge"), ["i", "b"])
     far = lambda i: F.bit_count(block("g", i).bitwiseXOR(block("h", i)))
     earlier = [(F.col("i") <= i) | (far(i) > share[i]) for i in range(blocks) if share[i] >= 0]
     distance = F.bit_count(F.col("g").bitwiseXOR(F.col("h"))).cast("long")
