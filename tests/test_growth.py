@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire import plans
-from quire.operators import hashes, jobs, relational, retrieval, vectors
+from quire.operators import fulltext, hashes, jobs, relational, retrieval, vectors
 
 
 def plan(df, capsys):
@@ -64,3 +64,19 @@ def test_scores_are_held_for_few_questions(spark):
 def test_pages_of_photos_are_not_broadcast(spark, capsys):
     rows = spark.createDataFrame([(i, i * 977) for i in range(20)], "key long, h long")
     assert "BroadcastHashJoin" not in plan(hashes.within(rows.filter("key < 3"), rows, 4), capsys)
+
+
+def test_questions_and_chunks_meet_in_blocks(spark, capsys):
+    """Blocks of any size give the same; no row is made for a question and a chunk that is not among its best."""
+    texts = [(i, "a " * (i % 7) + "b c " * (i % 3) + "d " * (i % 2)) for i in range(60)]
+    index = fulltext.postings(spark.createDataFrame(texts, "id long, body string"), "id", None, "body", stem=False)
+    asked = spark.createDataFrame([(0, "a or b"), (1, 'a b or "c d" -e'), (2, "d or zz"), (3, "zz")], "q long, question string")
+    whole = {(r["q"], r["key"], r["rank"], r["score"]) for r in fulltext.search(asked, index, k=5, stem=False).collect()}
+    every = fulltext.search(asked, index, k=None, stem=False).collect()
+    assert whole == {(r["q"], r["key"], r["rank"], r["score"]) for r in every if r["rank"] <= 5} and {q for q, *_ in whole} == {0, 1, 2}
+    found = fulltext.search(asked, index, k=5, stem=False)
+    assert "CoGroup" in plan(found, capsys)
+    terms = fulltext.terms(asked.filter("q = 1"), stem=False)
+    places = index.select("key", "lexeme", "pos", "weight")
+    one, many = ({tuple(r) for r in fulltext.met_in_blocks(terms, places, None, False, asked=1, held=n).collect()} for n in (10_000, 20))
+    assert one == many
