@@ -118,7 +118,9 @@ def resolved(spark: SparkSession, sf_dir: str) -> retrieval.Anchors:
   row_number() OVER (PARTITION BY q ORDER BY rank DESC, similarity DESC, length(text) DESC, name, name_norm) AS place FROM groups""")
 def resolve_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the questions of all conversations speak of."""
-    found = resolved(spark, sf_dir).entities
+    entities, pages, _ = collection(spark, sf_dir)
+    questions, prior = asked(spark, sf_dir, entities)
+    found = retrieval.names_in(questions, entities.drop("key"), pages, prior).entities
     return found.select(
         "q",
         "name_norm",
