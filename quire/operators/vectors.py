@@ -18,6 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import relational
 from quire.sources.tables import kept
 
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -90,7 +91,10 @@ def best(asked: DataFrame, rows: DataFrame, k: int, score: Score = cosines, few:
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return best_pairs(left["q"].tolist(), left["v"].tolist(), right["key"].tolist(), right["v"].tolist(), k, score)
 
-    a, b = max(1, math.ceil(asked.count() / few)), max(1, math.ceil(rows.count() / held))
+    n = asked.count()
+    a, b = max(1, math.ceil(n / few)), max(1, math.ceil(rows.count() / held))
+    # Enough pairs for all tasks.
+    a = max(a, min(n, math.ceil(2 * asked.sparkSession.sparkContext.defaultParallelism / b)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(a)).cast("int").alias("x"), every(b).alias("y"))
     right = rows.select("key", "v", every(a).alias("x"), F.pmod(F.xxhash64("key"), F.lit(b)).cast("int").alias("y"))
@@ -103,6 +107,20 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "key", "score", "rank")
 
 
+def top(asked: DataFrame, rows: DataFrame, k: int, score: Score = cosines, few: int = ASKED) -> DataFrame:
+    """q, key, score, rank: the k best rows (key, v) for each question (q, v), ties by key. Of more than ``few`` questions those
+    with equal vectors are asked once, and so are rows with equal vectors, of which the k least keys can be among the best."""
+    if asked.limit(few + 1).count() <= few:
+        return ranked(best(asked, rows, k, score, few), k)
+    same = Window.partitionBy(F.xxhash64("v"), "v")
+    asked = kept(asked.withColumn("head", F.min("q").over(same)))
+    members = kept(relational.copies(rows, ["v"], "key", k))
+    heads = members.filter("key = head").select("key", "v").distinct()
+    found = kept(best(asked.select(F.col("head").alias("q"), "v").distinct(), heads, k, score, few))
+    found = relational.top_of_copies(found, members.select("head", "key", "n"), k)
+    return asked.select("q", "head").join(found.withColumnRenamed("q", "head"), "head").select("q", "key", "score", "rank")
+
+
 @dataclass(frozen=True)
 class Cells:
     """An index of vectors: centres, and a folder with the vectors by cell. sizes: cell, n, radius (the largest angle between a
