@@ -88,7 +88,9 @@ def content_words(question: Column) -> Column:
     """Distinct words of a question in order, without possessive endings, stop words and single characters."""
     words = F.transform(F.regexp_extract_all(question, F.lit(f"({WORD})"), F.lit(1)), lambda w: F.regexp_replace(w, r"(?i)['’]s$", ""))
     good = F.filter(words, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(*sorted(STOPWORDS)))
-    return F.filter(good, lambda w, i: F.array_position(F.transform(good, F.lower), F.lower(w)) == i + 1)
+    # Within one more array, so that the words are taken once and not for each of them.
+    both = F.transform(F.array(good), lambda g: F.struct(g.alias("w"), F.transform(g, F.lower).alias("low")))
+    return F.transform(both, lambda g: F.filter(g["w"], lambda w, i: F.array_position(g["low"], F.lower(w)) == i + 1))[0]
 
 
 def lexical_query(question: Column) -> Column:

@@ -210,7 +210,7 @@ def retrieved(spark: SparkSession, sf_dir: str) -> retrieval.Retrieved:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_type").alias("kind"))
     body = F.concat_ws(" ", F.lower("kind"), "name")
     chunks = entities.join(part, "key").join(rows, by("key")).select("key", "book", "page", F.lit(0).alias("idx"), "name", body.alias("body"), "embedding")
-    index = fulltext.postings(chunks, "key", "name", "body")
+    index = fulltext.Chunks(chunks, "key", "name", "body")
     return retrieval.retrieve(questions, chunks, index, entities.drop("key"), pages.withColumn("tokens", F.lit(1000)), links, prior=prior)
 
 
