@@ -22,8 +22,8 @@ from quire.operators import relational
 from quire.sources.tables import kept
 
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
-#: Rows of a block of questions and of a block of vectors: what a task holds at once.
-ASKED, HELD = 4096, 16384
+#: Questions that go to the rows, questions of a slice, and vectors that a slice is compared with at once: what a task holds.
+ASKED, SLICE, HELD = 4096, 65536, 16384
 #: Questions whose scores a task holds at once.
 SCORED = 256
 
@@ -35,13 +35,14 @@ def cosines(m: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def stacked(vectors: list) -> np.ndarray:
-    """Vectors of one length as rows; nulls are not numbers."""
+    """Vectors of one length as rows, in double precision; nulls are not numbers."""
     rows = np.array(vectors)
-    return rows.astype(np.float64) if rows.dtype == object else rows
+    return rows.astype(np.float64) if rows.dtype in (object, np.float32) else rows
 
 
-def best_pairs(q: list, m: list, keys: list, x: list, k: int, score: Score) -> pd.DataFrame:
-    """Of the vectors x (of keys) the k of largest score for each of m (of q), ties by key; lengths are kept apart."""
+def best_pairs(q: list, m: list, keys: list, x: list, k: int, score: Score, least: np.ndarray | None = None) -> pd.DataFrame:
+    """Of the vectors x (of keys) the k of largest score for each of m (of q), ties by key; lengths are kept apart. Scores under the
+    question's ``least`` may be left out."""
     out = []
     sizes = [-1 if v is None else len(v) for v in x]
     for size in {len(v) for v in m if v is not None}:
@@ -57,8 +58,10 @@ def best_pairs(q: list, m: list, keys: list, x: list, k: int, score: Score) -> p
             scores = score(stacked([m[i] for i in some]), rows)
             scores = np.where(np.isfinite(scores), scores, -np.inf)
             # Only what is as good as the n-th best of its row is sorted: by row, score and key.
-            least = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-            row, column = np.nonzero(scores >= least[:, None])
+            low = least[some] if least is not None else np.full(len(some), -np.inf)
+            if np.isneginf(low).any():
+                low = np.maximum(low, -np.partition(-scores, n - 1, axis=1)[:, n - 1])
+            row, column = np.nonzero(scores >= low[:, None])
             value = scores[row, column]
             order = np.lexsort((there_keys[column], -value, row))
             row, column, value = row[order], column[order], value[order]
@@ -75,8 +78,8 @@ FOUND = "q long, key long, score double"
 def best(asked: DataFrame, rows: DataFrame, k: int, score: Score = cosines, few: int = ASKED, held: int = HELD) -> DataFrame:
     """q, key and score: the k best of every block of rows (key, v) for each question (q, v); ``ranked`` makes k of them.
 
-    Up to ``few`` questions (they are counted) go to the rows, which then are not shuffled. More are dealt out in blocks, and
-    so are the rows: each pair of blocks is a group of its own, so that no task and not the driver holds more than one.
+    Up to ``few`` questions (they are counted) go to the rows, which then are not shuffled. More are dealt out in slices, and the
+    rows go by each slice: a task holds one slice with the best so far and ``held`` rows, and gives k rows a question.
     """
     if asked.limit(few + 1).count() <= few:
         known = [(r["q"], r["v"]) for r in asked.collect()]
@@ -88,17 +91,45 @@ def best(asked: DataFrame, rows: DataFrame, k: int, score: Score = cosines, few:
 
         return rows.select("key", "v").mapInPandas(run, FOUND)
 
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return best_pairs(left["q"].tolist(), left["v"].tolist(), right["key"].tolist(), right["v"].tolist(), k, score)
+    def go_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A slice's questions stand before its rows.
+        asked_, there, n, slices = {}, {}, {}, {}
+
+        def met(x: int) -> None:
+            if x not in slices:
+                own = pd.concat(asked_.pop(x)) if x in asked_ else pd.DataFrame({"q": [], "v": []})
+                slices[x] = own["q"].tolist(), own["v"].tolist(), None
+            q, m, best_ = slices[x]
+            rows_ = pd.concat(there.pop(x))
+            n[x] = 0
+            least = None
+            if best_ is not None:
+                count = best_.groupby("q")["score"].agg(["size", "min"])
+                least = count["min"].where(count["size"] >= k, -np.inf).reindex(q).fillna(-np.inf).to_numpy()
+            found = best_pairs(q, m, rows_["q"].tolist(), rows_["v"].tolist(), k, score, least)
+            if len(found):
+                both = found if best_ is None else pd.concat([best_, found])
+                both = both.sort_values(["q", "score", "key"], ascending=[True, False, True])
+                slices[x] = q, m, both[both.groupby("q").cumcount() < k]
 
-    n = asked.count()
-    a, b = max(1, math.ceil(n / few)), max(1, math.ceil(rows.count() / held))
-    # Enough pairs for all tasks.
-    a = max(a, min(n, math.ceil(2 * asked.sparkSession.sparkContext.defaultParallelism / b)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(a)).cast("int").alias("x"), every(b).alias("y"))
-    right = rows.select("key", "v", every(a).alias("x"), F.pmod(F.xxhash64("key"), F.lit(b)).cast("int").alias("y"))
-    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(pair, FOUND)
+        for b in batches:
+            for (x, row), some in b.groupby(["x", "row"]):
+                (there if row else asked_).setdefault(x, []).append(some)
+                n[x] = n.get(x, 0) + row * len(some)
+                if n[x] >= held:
+                    met(x)
+        for x in list(there):
+            met(x)
+        for _, _, best_ in slices.values():
+            if best_ is not None:
+                yield best_
+
+    slices = max(asked.sparkSession.sparkContext.defaultParallelism, math.ceil(asked.count() / SLICE))
+    x = F.pmod(F.xxhash64("q"), F.lit(slices)).cast("int")
+    left = asked.select("q", "v", F.lit(0).alias("row"), x.alias("x"))
+    right = rows.select(F.col("key").alias("q"), "v", F.lit(1).alias("row"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("x"))
+    both = left.unionByName(right).repartitionById(slices, "x").sortWithinPartitions("row")
+    return both.mapInPandas(go_by, FOUND)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -112,13 +143,16 @@ def top(asked: DataFrame, rows: DataFrame, k: int, score: Score = cosines, few:
     with equal vectors are asked once, and so are rows with equal vectors, of which the k least keys can be among the best."""
     if asked.limit(few + 1).count() <= few:
         return ranked(best(asked, rows, k, score, few), k)
-    same = Window.partitionBy(F.xxhash64("v"), "v")
-    asked = kept(asked.withColumn("head", F.min("q").over(same)))
-    members = kept(relational.copies(rows, ["v"], "key", k))
-    heads = members.filter("key = head").select("key", "v").distinct()
-    found = kept(best(asked.select(F.col("head").alias("q"), "v").distinct(), heads, k, score, few))
-    found = relational.top_of_copies(found, members.select("head", "key", "n"), k)
-    return asked.select("q", "head").join(found.withColumnRenamed("q", "head"), "head").select("q", "key", "score", "rank")
+    # Vectors are told apart by their digests, so that they are sent nowhere for it.
+    same = F.sha2(F.col("v").cast("string"), 256).alias("same")
+    asked = asked.select("q", "v", same)
+    members_asked = kept(asked.select("q", F.min("q").over(Window.partitionBy("same")).alias("head")))
+    members = kept(relational.copies(rows.select("key", same), ["same"], "key", k).select("head", "key", "n"))
+    heads = rows.select("key", "v").join(members.filter("key = head").select("key").distinct(), "key", "left_semi")
+    own = asked.select("q", "v").join(members_asked.filter("q = head").select("q").distinct(), "q", "left_semi")
+    found = best(own.distinct(), heads.distinct(), k, score, few)
+    found = relational.top_of_copies(found, members, k)
+    return members_asked.join(found.withColumnRenamed("q", "head"), "head").select("q", "key", "score", "rank")
 
 
 @dataclass(frozen=True)
